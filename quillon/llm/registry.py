@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, mixing, packing, records
+from . import fingerprints, jaccard, language, mixing, packing, pii, records, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": pii.op2_pii,
     "op4_mixing": mixing.op4_mixing,
     "op5_records": records.op5_records,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op8_language": language.op8_language,
+    "op9_secrets": secrets.op9_secrets,
     "op10_packing": packing.op10_packing,
 }
 SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
