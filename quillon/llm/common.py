@@ -95,3 +95,29 @@ def range_part(column: Column, bounds: list[int]) -> Column:
 
 def schema_of(df: DataFrame, **more: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(k, v) for k, v in more.items()]])
+
+
+FILTER_BITS = 1 << 24
+
+
+def key_filter(keys: DataFrame, column: str) -> object:
+    """A broadcast bit table of fixed size (2 MB) in which every value of a long column has its bit.
+
+    Values that are not there may pass too, the more the fuller it is; a join then settles it.
+    """
+    import numpy as np
+
+    slot = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int"))
+    filled = keys.groupBy(F.floor(slot / 32).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    table[filled["word"].to_numpy(dtype=np.int64)] = filled["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def passing(table: object, keys: object) -> object:
+    """Which of an Arrow column of longs have their bit in a key_filter's table."""
+    import numpy as np
+
+    at = np.mod(keys.to_numpy(zero_copy_only=False).astype(np.int64), FILTER_BITS)
+    return ((table.value[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1)).astype(bool)

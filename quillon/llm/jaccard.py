@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, ready, stored
+from .common import documents, key_filter, passing, ready, stored
 from .components import components
 from .shingles import mixed, shingle_set
 
@@ -36,8 +36,6 @@ SINGLE = 256
 #: Shingles met most often (a bounded list) go into the last blocks; it steers the work, not the result.
 COMMON, COMMON_LEAST, CHUNK = 50_000, 4, 1_000_000
 SKETCH_BITS = 512
-#: Bits of the fixed-size filter of documents that are in a candidate pair.
-FILTER_BITS = 1 << 24
 
 
 def bands(longest: int = 1 << 40) -> np.ndarray:
@@ -108,9 +106,9 @@ def _sketched(docs: DataFrame) -> DataFrame:
             token, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             keep = times >= COMMON_LEAST
             n = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(token[keep].view(np.int64)), pa.array(times[keep])], names=names)
+            return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary()), pa.array(token[keep].view(np.int64)), pa.array(times[keep])], names=names)
 
-        names = ["doc_id", "n", "class", "sketch", "token", "times"]
+        names = ["doc_id", "text_hash", "n", "class", "sketch", "token", "times"]
         for batch in batches:
             ids, rows = batch["doc_id"], []
             for text in batch["text"].to_pylist():
@@ -123,13 +121,13 @@ def _sketched(docs: DataFrame) -> DataFrame:
                     size += len(s)
             n, c, sk = zip(*rows, strict=True) if rows else ([], [], [])
             void = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sk, pa.binary()), void, void], names=names)
+            yield pa.RecordBatch.from_arrays([ids, batch["text_hash"], pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sk, pa.binary()), void, void], names=names)
             if size > CHUNK:
                 yield recurring()
                 held, size, seen = [], 0, set()
         yield recurring()
 
-    return docs.mapInArrow(run, "doc_id long, n long, class long, sketch binary, token long, times long")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, class long, sketch binary, token long, times long")
 
 
 def _blocks(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
@@ -155,22 +153,15 @@ def _blocks(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """class, shingles of the documents whose id is in wanted, and of a few others that its fixed-size filter lets pass."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = wanted.select(slot.alias("slot")).groupBy((F.col("slot") / 32).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 32).cast("int"))).alias("bits"))
-    filled = words.toPandas()  # at most FILTER_BITS / 32 rows
-    table = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    table[filled["word"].to_numpy(dtype=np.int64)] = filled["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = key_filter(wanted.select(F.xxhash64("doc_id").alias("key")), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch["slot"].to_numpy()
-            hit = (shared.value[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1)
-            texts = batch["text"].filter(pa.array(hit.astype(bool))).to_pylist()
+            texts = batch["text"].filter(pa.array(passing(shared, batch["key"]))).to_pylist()
             sets = [s for t in texts if len(s := shingle_set(t))]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "shingles"])
 
-    return docs.select(slot.alias("slot"), "text").mapInArrow(run, "class long, shingles array<long>")
+    return docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "class long, shingles array<long>")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -199,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark = ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = stored(_sketched(docs))
+    sketched = stored(_sketched(docs.withColumn("text_hash", F.xxhash64("text"))))
     often = sketched.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times"))
     common = np.array([r.token for r in often.orderBy(F.desc("times"), "token").limit(COMMON).collect()], dtype=np.int64)
     rows = sketched.where(F.col("n").isNotNull())
@@ -231,8 +222,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of = classes.select(F.col("class").alias("c"), "rep").join(labels, F.col("c") == F.col("node"), "left").join(least, "component", "left")
     of = stored(of.select("c", F.coalesce("least", "rep").alias("least")))
     out = rows.join(of, F.col("class") == F.col("c"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without those that another of lower id makes redundant; of equal rows one stays.
+
+    Rows without words all stay. Only the rows that go are joined back, by id and text.
+    """
+    d = stored(near_duplicates(docs, percent)).where(F.col("n_shingles") > 0)
+    key = (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    gone = stored(d.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
+    left = docs.join(gone, key, "left_anti")
+    repeated = stored(d.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).count().where("count > 1").drop("count"))
+    if repeated.limit(1).count():
+        again = left.join(repeated, key, "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(repeated, key, "left_anti").unionByName(again)
+    return left
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("text_hash")

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, language, mixing, packing, pii, records, secrets
+from . import dedup, fingerprints, jaccard, knn, language, mixing, packing, pii, records, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_knn": knn.op1_knn,
     "op2_pii": pii.op2_pii,
+    "op3_suffix_dedup": dedup.op3_suffix_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_records": records.op5_records,
     "op6_fingerprints": fingerprints.op6_fingerprints,
@@ -18,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": secrets.op9_secrets,
     "op10_packing": packing.op10_packing,
 }
-SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op1_knn": knn.SQL, "op4_mixing": mixing.SQL}
