@@ -1,11 +1,367 @@
-"""Registered queries and their SQL equivalents."""
+"""Registered queries over the test tables, each with the same result in SQL where SQL has one."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillon.functions import text as T
+from quillon.operators import chunk, evaluate, history, ingest, retrieval, tables, units
+from quillon.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "rrf_hybrid"
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("q_text"))
+
+
+BM25 = """
+WITH w AS (SELECT doc_id AS key, regexp_extract_all(text, '[A-Za-z0-9_]+') AS t FROM documents),
+l AS (SELECT key, CAST(len(t) AS DOUBLE) AS dl FROM w),
+p AS (SELECT term, key, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT key, unnest(t) AS term FROM w) GROUP BY ALL),
+r AS (SELECT term, ln((SELECT count(*) FROM l) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM p GROUP BY term),
+i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
+q AS (SELECT q_id, term, count(*) AS times FROM (SELECT item_id AS q_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT q_id, key, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT sum(dl) / count(*) FROM l)))), 6) AS score
+      FROM p JOIN q USING (term) JOIN i USING (term) JOIN l USING (key) GROUP BY ALL),
+f AS (SELECT item_id AS q_id, l.key AS key, coalesce(s.score, 0) AS score FROM benchmark CROSS JOIN l LEFT JOIN s ON s.q_id = item_id AND s.key = l.key),
+b AS (SELECT q_id, key, score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, key DESC) AS INTEGER) AS rank FROM f QUALIFY rank <= 20)
+"""
+
+
+@query(BM25 + "SELECT * FROM b")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.bm25_topk(table(spark, sf_dir, "documents"), questions(spark, sf_dir), "doc_id", "text")
+
+
+@query(
+    BM25
+    + """, o AS (SELECT item_id AS q_id, doc_id AS key, CAST(row_number() OVER (PARTITION BY item_id ORDER BY abs(n_chars - length(benchmark.text)), doc_id) AS INTEGER) AS rank
+          FROM documents CROSS JOIN benchmark QUALIFY rank <= 20),
+    m AS (SELECT coalesce(b.q_id, o.q_id) AS q_id, coalesce(b.key, o.key) AS key, b.rank AS r1, o.rank AS r2 FROM b FULL JOIN o ON b.q_id = o.q_id AND b.key = o.key),
+    g AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS score FROM m)
+    SELECT q_id, key, score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST) AS INTEGER) AS rank FROM g QUALIFY rank <= 10"""
+)
+def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 fused with a second ranking by nearness in length."""
+    docs, q = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
+    near = docs.select("doc_id", "n_chars").crossJoin(q.select("q_id", F.length("q_text").alias("w")))
+    order = Window.partitionBy("q_id").orderBy(F.abs(F.col("n_chars") - F.col("w")), "doc_id")
+    second = near.select("q_id", F.col("doc_id").alias("key"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= 20)
+    return retrieval.rrf(retrieval.bm25_topk(docs, q, "doc_id", "text"), second)
+
+
+VECTORS = """
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT a.vec_id AS q_id, b.vec_id AS key, round(1.0 - list_dot_product(b.e, a.e), 6) + 0.0 AS distance FROM v a CROSS JOIN v b WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY distance, key) AS INTEGER) AS rank FROM n QUALIFY rank <= 20)
+"""
+
+
+def _vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    q = v.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"))
+    return retrieval.cosine_topk(v, q, "vec_id", "embedding")
+
+
+@query(VECTORS + "SELECT * FROM r")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_hits(spark, sf_dir)
+
+
+@query(VECTORS + "SELECT q_id, min(distance) AS top1, min(distance) > 0.3567 AS rejected FROM r WHERE key <> q_id GROUP BY q_id")
+def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.gate(_vector_hits(spark, sf_dir).where(F.col("key") != F.col("q_id")), 0.3567)
+
+
+@query(
+    VECTORS
+    + """, g AS (SELECT q_id, label, min(rank) AS hit FROM (SELECT a.vec_id AS q_id, a.label, b.vec_id AS key FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+         LEFT JOIN r USING (q_id, key) GROUP BY ALL)
+    SELECT coalesce(label, -1) AS label, count(*) AS n, round(avg(CASE WHEN hit <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN hit <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3,
+           round(avg(CASE WHEN hit <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN hit <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10,
+           round(avg(coalesce(1.0::DOUBLE / hit, 0)), 6) AS mrr, round(avg(hit), 6) AS mean_rank FROM g GROUP BY GROUPING SETS ((), (label))"""
+)
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    q = v.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q_id"), "label")
+    gold = q.join(v, "label").where(F.col("vec_id") != F.col("q_id")).groupBy("q_id", "label").agg(F.collect_list("vec_id").alias("targets"))
+    return retrieval.hit_metrics(_vector_hits(spark, sf_dir), gold, ["label"]).withColumn("label", F.coalesce("label", F.lit(-1)))
+
+
+LINES = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
+l AS (SELECT doc_id, unnest(range(len(s))) AS idx, unnest(s) AS text FROM d)
+"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+
+
+@query(LINES + "SELECT printf('%d_%04d', doc_id, idx) AS block_id, CAST(length(text) AS INTEGER) AS char_len FROM l")
+def blocks_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    rows = _lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "idx", F.lit("text").alias("type"), "text", F.lit(0).alias("page_idx"), none.alias("table_body"), none.alias("img_path"), F.array().cast("array<string>").alias("image_caption"), none.alias("code_body"))
+    return ingest.blocks(rows).select("block_id", "char_len")
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_id AS i, event_id % 4 AS lv, event_type AS t FROM events),
+    w AS (SELECT *, last_value(CASE WHEN lv = 1 THEN t END IGNORE NULLS) OVER o AS t1, max(CASE WHEN lv = 1 THEN i END) OVER o AS i1,
+                 last_value(CASE WHEN lv = 2 THEN t END IGNORE NULLS) OVER o AS t2, max(CASE WHEN lv = 2 THEN i END) OVER o AS i2,
+                 last_value(CASE WHEN lv = 3 THEN t END IGNORE NULLS) OVER o AS t3, max(CASE WHEN lv = 3 THEN i END) OVER o AS i3
+          FROM r WINDOW o AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT i, nullif(concat_ws(' > ', CASE WHEN i1 > -1 THEN t1 END, CASE WHEN i2 > coalesce(i1, -1) THEN t2 END, CASE WHEN i3 > greatest(coalesce(i1, -1), coalesce(i2, -1)) THEN t3 END), '') AS heading_path FROM w"""
+)
+def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("i"), F.col("event_type").alias("t"), (F.col("event_id") % 4).alias("lv"))
+    return ingest.heading_paths(r, "user_id", "i", "lv", "t", 3).select("i", "heading_path")
+
+
+@query(
+    LINES
+    + """, x AS (SELECT lang, l.doc_id, l.text FROM l JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)), a AS (SELECT lang, count(DISTINCT doc_id) AS n FROM x GROUP BY lang),
+    o AS (SELECT lang, text, count(DISTINCT doc_id) AS pages FROM x WHERE text <> '' GROUP BY ALL)
+    SELECT lang, text, pages, round(pages / n, 6) AS share FROM o JOIN a USING (lang) WHERE round(pages / n, 6) >= 0.01"""
+)
+def header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stand in a hundredth of a language's documents."""
+    x = _lines(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return ingest.running_heads(x, "lang", "doc_id", "text", 0.01)
+
+
+@query(
+    LINES
+    + r""", c AS (SELECT *, regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\p{Cf}\p{Co}]', '', 'g') AS s FROM l)
+    SELECT CASE WHEN text = '' THEN 'drop_empty' WHEN trim(s) = '' THEN 'drop_blank' WHEN length(text) - length(regexp_replace(text, '[.…]', '', 'g')) >= 20 THEN 'drop_toc'
+           WHEN NOT regexp_matches(regexp_replace(s, '[\p{P}\s]', '', 'g'), '[0-9A-Za-z一-鿿０-９Ａ-Ｚａ-ｚ]') THEN 'drop_symbols' WHEN length(trim(s)) < 10 THEN 'keep_short'
+           WHEN s <> text THEN 'strip_control_chars' ELSE 'keep' END AS rule, count(*) AS n FROM c GROUP BY ALL"""
+)
+def clean_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    rows = _lines(spark, sf_dir).withColumn("table_html", none).withColumn("img_path", none)
+    return ingest.clean(rows).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    r"""SELECT doc_id, CAST(classes AS INTEGER) AS classes FROM (SELECT doc_id, (CAST(regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS INTEGER)
+    + CAST(regexp_matches(text, '(https?://|www\.)[A-Za-z0-9]') AS INTEGER) + CAST(regexp_matches(text, '\+?[0-9][0-9 ()-]{8,}[0-9]') AS INTEGER)
+    + CAST(regexp_matches(text, '(热线|hotline|Hotline)') AS INTEGER) + CAST(regexp_matches(text, '(地址|Address:|address:)') AS INTEGER)) AS classes FROM documents) WHERE classes >= 2"""
+)
+def contact_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.contact_blocks(table(spark, sf_dir, "documents")).select("doc_id", "classes")
+
+
+@query("SELECT lang, count(*) AS n, min(n_chars) AS least, round(quantile_cont(n_chars, 0.5), 6) AS median, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.9), 6) AS p90, max(n_chars) AS most FROM documents GROUP BY lang")
+def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.length_summary(table(spark, sf_dir, "documents"), "lang", "n_chars")
+
+
+@query(
+    """WITH b AS (SELECT CASE WHEN n_chars < 10 THEN 0 WHEN n_chars < 50 THEN 1 WHEN n_chars < 100 THEN 2 WHEN n_chars < 200 THEN 3 WHEN n_chars < 500 THEN 4 WHEN n_chars < 2001 THEN 5 ELSE 6 END AS bucket FROM documents)
+    SELECT CAST(i AS INTEGER) AS bucket, count(b.bucket) AS n FROM range(7) t(i) LEFT JOIN b ON b.bucket = i GROUP BY i"""
+)
+def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.length_histogram(table(spark, sf_dir, "documents"), "n_chars")
+
+
+@query("SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY source")
+def type_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).count().na.fill(0)
+
+
+@query()
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document packed to 400 to 800 characters with an overlap of one line."""
+    rows = _lines(spark, sf_dir).withColumn("t", F.lit(False)).withColumn("h", F.lit("")).withColumn("n", F.length("text"))
+    return chunk.chunks(chunk.runs(rows, "doc_id", "idx", "h", "t"), "doc_id", "run", "idx", "n")
+
+
+@query(r"SELECT page_id, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS raw_len FROM pages")
+def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.length(F.regexp_replace("html", "<[^>]+>", "")).cast("long").alias("raw_len"))
+
+
+def _nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    g = j.groupBy("r_regionkey", "r_name").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    first = F.concat(F.lit('<tr><td rowspan="'), F.size("names"), F.lit('">'), F.col("r_name"), F.lit("</td><td>"), F.element_at("names", 1), F.lit("</td></tr>"))
+    rest = F.array_join(F.transform(F.slice("names", 2, 1000), lambda n: F.concat(F.lit("<tr><td>"), n, F.lit("</td></tr>"))), "")
+    return g.select("r_regionkey", F.concat(F.lit("<table>"), first, rest, F.lit("</table>")).alias("html"))
+
+
+@query("SELECT r_regionkey, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY n_name) - 1 AS INTEGER) AS row_idx, r_name || ' | ' || n_name AS text FROM nation JOIN region ON n_regionkey = r_regionkey")
+def table_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.expand(_nation_tables(spark, sf_dir), "r_regionkey", "html").select("r_regionkey", "row_idx", "text")
+
+
+@query("SELECT r_regionkey, r_name || ' | ' || n_name AS text FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(r_name || ' | ' || n_name), 'a') AND contains(lower(r_name || ' | ' || n_name), 'i')")
+def table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.lookup(tables.expand(_nation_tables(spark, sf_dir), "r_regionkey", "html"), ["A", "i"], "r_regionkey").select("r_regionkey", "text")
+
+
+@query("SELECT conv_id, turn, array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), ',') AS around FROM conversations")
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = tables.neighbours(table(spark, sf_dir, "conversations"), "conv_id", "turn", item="role")
+    return n.select("conv_id", "turn", F.array_join("around", ",").alias("around"))
+
+
+@query(
+    """WITH u AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN role = 'user' THEN 1 ELSE 0 END AS ahead FROM conversations)
+    SELECT conv_id, turn, role FROM u WHERE ahead < 3 AND role <> 'system'"""
+)
+def history_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.trimmed(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").select("conv_id", "turn", "role")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity * 1.0::DOUBLE / 0.45359237::DOUBLE, 6) AS pounds FROM lineitem")
+def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.lit("kg").alias("u"), F.lit("lb").alias("w"))
+    return units.convert(r, "l_quantity", "u", "w").select("l_orderkey", "l_linenumber", F.round("converted", 6).alias("pounds"))
+
+
+@query(
+    """WITH b AS (SELECT p_brand, min(p_size) + 5 AS lo, max(p_size) - 5 AS hi FROM part GROUP BY p_brand), s AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS v, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM part JOIN b USING (p_brand)),
+    c AS (SELECT *, CASE WHEN lo > hi THEN 'error' WHEN v > hi THEN 'above_max' WHEN v < lo THEN 'below_min' WHEN v = hi OR v = lo THEN 'at_limit' ELSE 'within' END AS verdict FROM s)
+    SELECT p_partkey, verdict, CASE verdict WHEN 'above_max' THEN v - hi WHEN 'below_min' THEN lo - v WHEN 'within' THEN least(hi - v, v - lo) END AS margin FROM c"""
+)
+def limit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    b = p.groupBy("p_brand").agg((F.min("p_size") + 5).cast("double").alias("lo"), (F.max("p_size") - 5).cast("double").alias("hi"))
+    verdict, margin = units.check_limits(F.col("p_size").cast("double"), F.col("lo"), F.col("hi"))
+    return p.join(b, "p_brand").select("p_partkey", verdict.alias("verdict"), margin.alias("margin"))
+
+
+@query(
+    r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '([0-9]),([0-9]{3})\b', '\1\2', 'g'), '[0-9]+(?:\.[0-9]+)?'), lambda x: round(CAST(x AS DOUBLE), 6)))), '|') = '' AS none,
+    len(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '([0-9]),([0-9]{3})\b', '\1\2', 'g'), '[0-9]+(?:\.[0-9]+)?'), lambda x: round(CAST(x AS DOUBLE), 6)))) AS n FROM documents"""
+)
+def numbers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.size(T.numbers(F.col("text"))).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", (n == 0).alias("none"), n.alias("n"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id, 'Fact one [d_c' || lpad(CAST(doc_id % 7 AS VARCHAR), 4, '0') || ']. Fact two d_c' || lpad(CAST(doc_id % 11 AS VARCHAR), 4, '0') || '.' AS answer, ['d_c' || lpad(CAST(doc_id % 7 AS VARCHAR), 4, '0')] AS got FROM documents),
+    c AS (SELECT doc_id, list_distinct(regexp_extract_all(answer, '[A-Za-z0-9_]+_c[0-9]{4}')) AS cited, got FROM a)
+    SELECT doc_id, len(cited) AS cited, len(list_filter(cited, lambda x: NOT list_contains(got, x))) AS fabricated FROM c"""
+)
+def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda m: F.concat(F.lit("d_c"), F.lpad((F.col("doc_id") % m).cast("string"), 4, "0"))
+    answer = F.concat(F.lit("Fact one ["), one(7), F.lit("]. Fact two "), one(11), F.lit("."))
+    cited = T.citations(answer)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(cited).cast("long").alias("cited"), F.size(evaluate.fabricated(cited, F.array(one(7)))).cast("long").alias("fabricated"))
+
+
+@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))")
+def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes found in documents; the quotes are broadcast while they are few."""
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("quote"))
+    return d.join(F.broadcast(b) if b.limit(10_001).count() <= 10_000 else b, F.contains(F.col("text"), F.col("quote"))).select("doc_id", "item_id")
+
+
+@query(
+    """WITH s AS (SELECT count(*) AS n, sum(CASE WHEN quality = toxic THEN 1 ELSE 0 END) / count(*)::DOUBLE AS po, sum(quality) / count(*)::DOUBLE AS a, sum(toxic) / count(*)::DOUBLE AS b FROM labels)
+    SELECT n, round(po, 6) AS agreement, round((po - (a * b + (1 - a) * (1 - b))) / (1 - (a * b + (1 - a) * (1 - b))), 6) AS kappa FROM s"""
+)
+def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.kappa(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query(
+    """WITH s AS (SELECT quality, CAST(sum(toxic) AS BIGINT) AS k, count(*) AS n FROM labels GROUP BY quality), p AS (SELECT *, k / n::DOUBLE AS p FROM s)
+    SELECT quality, k, n, round(greatest(0.0, (p + 1.96::DOUBLE * 1.96 / (2 * n) - 1.96::DOUBLE * sqrt(p * (1 - p) / n + 1.96::DOUBLE * 1.96 / (4 * n * n))) / (1 + 1.96::DOUBLE * 1.96 / n)), 6) AS low,
+           round(least(1.0, (p + 1.96::DOUBLE * 1.96 / (2 * n) + 1.96::DOUBLE * sqrt(p * (1 - p) / n + 1.96::DOUBLE * 1.96 / (4 * n * n))) / (1 + 1.96::DOUBLE * 1.96 / n)), 6) AS high FROM p"""
+)
+def wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "labels").groupBy("quality").agg(F.sum("toxic").cast("long").alias("k"), F.count(F.lit(1)).alias("n"))
+    low, high = evaluate.wilson(F.col("k"), F.col("n"))
+    return s.select("quality", "k", "n", low.alias("low"), high.alias("high"))
+
+
+@query("SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY sha1(CAST(doc_id AS VARCHAR)), doc_id) % 2 = 1 THEN 'dev' ELSE 'test' END AS split FROM documents")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.alternating_split(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "split")
+
+
+@query(
+    """WITH c AS (SELECT lang, count(*) AS c FROM documents GROUP BY lang), q AS (SELECT lang, 40::DOUBLE * c / (SELECT sum(c) FROM c) AS x FROM c),
+    r AS (SELECT lang, floor(x) AS base, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, lang) AS nth FROM q), k AS (SELECT lang, base + CASE WHEN nth <= 40 - (SELECT sum(base) FROM r) THEN 1 ELSE 0 END AS quota FROM r),
+    n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN n_chars BETWEEN 100 AND 500 THEN 1 ELSE 0 END DESC, sha1(CAST(doc_id AS VARCHAR)), doc_id) AS nth FROM documents)
+    SELECT doc_id, n.lang FROM n JOIN k ON n.lang = k.lang WHERE nth <= quota"""
+)
+def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return evaluate.quota_sample(d, "lang", "doc_id", 40, F.col("n_chars").between(100, 500)).select("doc_id", "lang")
+
+
+@query("SELECT user_id, count(*) AS events, min(ts) AS began, max(ts) AS ended, round(sum(value), 4) AS total, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
+def log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.folded(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "value")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def feedback_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.latest(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query(
+    """WITH m AS (SELECT event_type, avg(value) FILTER (day(ts) <= 15) AS a, avg(value) FILTER (day(ts) > 15) AS b FROM events GROUP BY event_type)
+    SELECT event_type, round(a, 6) AS a, round(b, 6) AS b, round(round(b, 6) - round(a, 6), 6) AS delta FROM m WHERE a IS NOT NULL AND b IS NOT NULL"""
+)
+def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    half = lambda c: e.where(c).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("v"))
+    return evaluate.compared(half(F.dayofmonth("ts") <= 15), half(F.dayofmonth("ts") > 15), "event_type", "v")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.windowed(table(spark, sf_dir, "events"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events),
+    c AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g)
+    SELECT user_id, min(ts) AS session_start, count(*) AS n FROM c GROUP BY user_id, k"""
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.sessions(table(spark, sf_dir, "events"))
+
+
+@query(
+    """SELECT 'only_first' AS side, count(*) AS n FROM (SELECT DISTINCT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)
+    UNION ALL SELECT 'only_second', count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'repeated', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)"""
+)
+def consistency_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
+    return evaluate.set_gate(lines, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), "k")
+
+
+@query("SELECT event_id, round((greatest(value - 10, 0) * 2.0::DOUBLE + 10 * 0.5::DOUBLE + value * 8.0::DOUBLE) / 1e6::DOUBLE, 9) AS cost FROM events")
+def cost_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", evaluate.cost(v, F.lit(10), v, 2.0, 0.5, 8.0).alias("cost"))
