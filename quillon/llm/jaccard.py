@@ -10,8 +10,9 @@ documents hold lie in the last blocks. A block is held as the XOR of its shingle
 Candidates whose sizes or 512-bit folded sketches are too far apart go, the rest are
 verified on the sets themselves.
 
-Each group of classes with an equal block is linked to its least class first; where a group
-is then still of several components, all pairs across them are verified too. Components are
+Each group of classes with an equal block is linked to its least class first, then, where a
+group is still of several components, to neighbours in shuffled orders; at last all pairs across
+the components that are left in a group are verified. Components are
 thus those of all links, while no group of similar documents is ever expanded into pairs.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,6 +37,9 @@ SINGLE = 256
 #: Shingles met most often (a bounded list) go into the last blocks; it steers the work, not the result.
 COMMON, COMMON_LEAST, CHUNK = 50_000, 4, 1_000_000
 SKETCH_BITS = 512
+PARTS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+#: Turns in which neighbours of a group in a shuffled order are verified before all pairs across components.
+TURNS = 2
 
 
 def bands(longest: int = 1 << 40) -> np.ndarray:
@@ -54,14 +58,18 @@ def farthest(a: int, b: int, percent: int = PERCENT) -> int:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def block_keys(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of the blocks under which a set is joined, for its own band and as a larger visitor of the one before."""
+def block_keys(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the blocks under which a set is joined, for its own band and as a larger visitor of the one before.
+
+    With each, its place: how many shingles lie in blocks before (0 for blocks of several). In a pair's
+    first equal block the places count shingles that one set has and the other hasn't.
+    """
     n = len(s)
     band = int(np.searchsorted(EDGES, n, side="right")) - 1
     late = np.zeros(n, dtype=bool)
     if len(common):
         late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-    keys = []
+    keys, places = [], []
     largest = n * 100 // percent
     for k in (band, band - 1):
         if k < 0:
@@ -82,7 +90,8 @@ def block_keys(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.
         first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         parity = np.bitwise_xor.reduceat(mixed(tokens), first)[: d + 1]
         keys.append(mixed(parity + mixed(block[first][: d + 1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))))
-    return np.concatenate(keys)
+        places.append(np.arange(len(keys[-1])) * (top < SINGLE))
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def folded(s: np.ndarray) -> bytes:
@@ -136,19 +145,23 @@ def _blocks(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, classes = [], []
+            keys, places, classes = [], [], []
             for text in batch["text"].to_pylist():
                 s = shingle_set(text)
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(c)
-                keys.append(block_keys(s, shared.value, percent))
+                key, place = block_keys(s, shared.value, percent)
+                keys.append(key)
+                places.append(place)
                 classes.append(np.full(len(keys[-1]), c, dtype=np.int64))
             k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.concatenate(classes) if classes else np.zeros(0, np.int64))], names=["key", "class"])
+            c = np.concatenate(classes) if classes else np.zeros(0, np.int64)
+            at = np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(at)], names=["key", "class", "place"])
 
-    return docs.select("text").mapInArrow(run, "key long, class long")
+    return docs.select("text").mapInArrow(run, "key long, class long, place int")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -164,21 +177,42 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "class long, shingles array<long>")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link: size and sketch bounds first, then the sets."""
-    one = classes.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"), F.col("rep").alias("r_a"))
-    two = classes.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"), F.col("rep").alias("r_b"))
-    near = pairs.join(one, "a").join(two, "b")
-    near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = near.where(apart <= F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent)))
-    near = stored(near.select("a", "b", "n_a", "n_b", "r_a", "r_b"))
-    wanted = near.select(F.col("r_a").alias("doc_id")).union(near.select("r_b")).distinct()
-    sets = stored(_sets(docs, wanted))
+def _may_link(place_a: str, place_b: str, n_a: str, n_b: str, percent: int) -> Column:
+    """By size, and by place if the block is the first that the two have in common (in another they may fail)."""
+    size = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return size & ((100 + percent) * (F.col(place_a) + F.col(place_b)) <= (100 - percent) * (F.col(n_a) + F.col(n_b)))
+
+
+def _near(a: str, b: str, percent: int) -> Column:
+    """By the folded sketches, whose Hamming distance is at most the sets' difference."""
+    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in PARTS), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
+def _side(classes: DataFrame, side: str) -> DataFrame:
+    return classes.select(*[F.col(c).alias(side + c) for c in ("n", *PARTS, "rep")], F.col("class").alias(side[0]))
+
+
+def _bounded(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that may link by their sizes and folded sketches."""
+    near = pairs.join(_side(classes, "a_"), "a").join(_side(classes, "b_"), "b")
+    near = near.where((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & _near("a_", "b_", percent))
+    return stored(near.select("a", "b", "a_n", "b_n", "a_rep", "b_rep"))
+
+
+def _linked(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link by their sets."""
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    both = near.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("same"))
-    return stored(both.where(100 * F.col("same") >= percent * (F.col("n_a") + F.col("n_b") - F.col("same"))).select("a", "b").distinct())
+    both = near.join(left, "a").join(right, "b").select("a", "b", "a_n", "b_n", F.size(F.array_intersect("x", "y")).alias("same"))
+    return stored(both.where(100 * F.col("same") >= percent * (F.col("a_n") + F.col("b_n") - F.col("same"))).select("a", "b").distinct())
+
+
+def _still_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of members (key, class, ...) with their components, of the groups that hold several."""
+    labelled = members.join(labels, F.col("class") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "class").alias("component"))
+    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    return stored(labelled.join(several, "key"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -195,28 +229,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     common = np.array([r.token for r in often.orderBy(F.desc("times"), "token").limit(COMMON).collect()], dtype=np.int64)
     rows = sketched.where(F.col("n").isNotNull())
     classes = rows.where(F.col("class").isNotNull()).groupBy("class", "n", F.hex("sketch").alias("hex")).agg(F.min("doc_id").alias("rep"))
-    longs = F.transform(F.sequence(F.lit(0), F.lit(SKETCH_BITS // 32 - 1)), lambda i: F.conv(F.substring("hex", i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
-    classes = stored(classes.select("class", "n", longs.alias("sketch"), "rep"))
+    classes = rows.where(F.col("class").isNotNull()).groupBy("class", "n", F.hex("sketch").alias("hex")).agg(F.min("doc_id").alias("rep"))
+    half = lambda i: F.conv(F.substring("hex", 8 * i + 1, 8), 16, 10).cast("long")
+    parts = [F.shiftleft(half(2 * i), 32).bitwiseOR(half(2 * i + 1)).alias(c) for i, c in enumerate(PARTS)]
+    classes = stored(classes.select("class", "n", *parts, "rep"))
     found = _blocks(docs, np.sort(common.view(np.uint64)), percent)
     group = Window.partitionBy("key")
-    found = found.withColumn("hub", F.min("class").over(group))
-    members = stored(found.where(F.col("class") != F.col("hub")).distinct())
+    found = found.withColumn("hub", F.min(F.struct("class", "place")).over(group))
+    members = stored(found.where(F.col("class") != F.col("hub.class")).select("key", "class", "place", F.col("hub.class").alias("hub"), F.col("hub.place").alias("hub_place")).distinct())
     pairs = members.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    links = _verified(docs, classes, pairs, percent)
-    labels = components(links)
-    # groups of several components: every pair across them
-    everyone = members.select("key", "class").union(members.select("key", F.col("hub").alias("class")).distinct())
-    labelled = everyone.join(labels, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    sized = labelled.join(mixed_keys, "key").join(classes.select("class", "n"), "class")
-    sized = stored(sized.select("key", "class", "component", "n"))
-    x = sized.select("key", F.col("class").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
-    y = sized.select("key", F.col("class").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
-    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    across = across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _verified(docs, classes, across, percent)
-    links = links.union(more)
+    near = _bounded(classes, pairs, percent)
+    wanted = near.select(F.col("a_rep").alias("doc_id")).union(near.select("b_rep")).distinct()
+    links = _linked(near, stored(_sets(docs, wanted)), percent)
     labels = components(links)
+    everyone = members.select("key", "class", "place").union(members.select("key", "hub", "hub_place").distinct())
+    mixed_groups = _still_mixed(everyone.join(classes.select("class", "n"), "class"), labels)
+    sets = stored(_sets(docs, mixed_groups.select("class").distinct().join(classes, "class").select(F.col("rep").alias("doc_id")).distinct()))
+    for turn in range(TURNS + 1):
+        if turn < TURNS:  # neighbours in a shuffled order: as many pairs as members, yet they join most of what can be joined
+            order = Window.partitionBy("key").orderBy(F.xxhash64("class", F.lit(turn)), "class")
+            x = mixed_groups.select(F.col("class").alias("a"), F.col("component").alias("a_c"), F.lag("class").over(order).alias("b"), F.lag("component").over(order).alias("b_c"))
+        else:  # what is left: every pair across components that size, place and sketch allow
+            full = stored(mixed_groups.join(classes.select("class", *PARTS), "class"))
+            one, two = (full.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("place", "n", *PARTS)], F.col("class").alias(side), F.col("component").alias(f"{side}_c")) for side in "ab")
+            x = one.join(two, "key").where((F.col("a") < F.col("b")) & _may_link("a_place", "b_place", "a_n", "b_n", percent) & _near("a_", "b_", percent))
+        across = x.where(F.col("a_c") != F.col("b_c")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = _linked(_bounded(classes, across, percent), sets, percent)
+        if more.limit(1).count():
+            links = stored(links.union(more))
+            labels = components(links)
+            mixed_groups = _still_mixed(mixed_groups.drop("component"), labels)
     reps = labels.join(classes, F.col("node") == F.col("class"))
     least = reps.groupBy("component").agg(F.min("rep").alias("least"))
     of = classes.select(F.col("class").alias("c"), "rep").join(labels, F.col("c") == F.col("node"), "left").join(least, "component", "left")
