@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The units that others are made of.
+POUND, GRAVITY, INCH, GALLON = 0.45359237, 9.80665, 0.0254, 0.003785411784
+POUND_FORCE = POUND * GRAVITY
+PSI = POUND_FORCE / INCH**2
 # Dimension -> spelling -> factor to the dimension's base.
 UNITS = {
-    "length": {"m": 1.0, "mm": 0.001, "cm": 0.01, "km": 1000.0, "in": 0.0254, "ft": 0.3048},
-    "mass": {"kg": 1.0, "g": 0.001, "t": 1000.0, "lb": 0.45359237},
-    "pressure": {"pa": 1.0, "kpa": 1000.0, "mpa": 1_000_000.0, "bar": 100_000.0, "psi": 6894.757293168},
-    "torque": {"n·m": 1.0, "nm": 1.0, "dan·m": 10.0, "kn·m": 1000.0},
-    "flow": {"m3/h": 1 / 3600, "l/min": 0.001 / 60, "m3/s": 1.0, "l/s": 0.001},
-    "volume": {"m3": 1.0, "l": 0.001, "ml": 0.000001},
-    "time": {"s": 1.0, "min": 60.0, "h": 3600.0, "d": 86400.0},
-    "power": {"w": 1.0, "kw": 1000.0, "mw": 1_000_000.0},
-    "speed": {"m/s": 1.0, "km/h": 1 / 3.6},
-    "rotation": {"rpm": 1.0, "r/min": 1.0},
-    "temperature": {"°c": 1.0, "k": 1.0, "°f": 5 / 9},
-}
-# Kelvin of each scale's zero.
-ZERO = {"°c": 273.15, "k": 0.0, "°f": 459.67 * 5 / 9}
+    "length": {
+        "m": 1.0, "米": 1.0, "mm": 0.001, "毫米": 0.001, "cm": 0.01, "厘米": 0.01, "um": 1e-6, "μm": 1e-6, "微米": 1e-6, "丝": 1e-5, "km": 1000.0,
+        "in": INCH, "inch": INCH, "英寸": INCH, '"': INCH, "ft": 0.3048, "英尺": 0.3048, "mil": 2.54e-5, "密耳": 2.54e-5, "thou": 2.54e-5,
+    },
+    "pressure": {
+        "pa": 1.0, "帕": 1.0, "kpa": 1000.0, "千帕": 1000.0, "mpa": 1e6, "兆帕": 1e6, "bar": 1e5, "巴": 1e5, "mbar": 100.0,
+        "psi": PSI, "psig": PSI, "lbf/in2": PSI, "磅/平方英寸": PSI, "kgf/cm2": 98066.5, "kg/cm2": 98066.5, "公斤/平方厘米": 98066.5, "公斤力/平方厘米": 98066.5,
+        "atm": 101325.0, "标准大气压": 101325.0, "mh2o": 9806.65, "米水柱": 9806.65, "mwc": 9806.65, "mmhg": 133.322387415, "毫米汞柱": 133.322387415,
+    },
+    "flow": {
+        "m3/s": 1.0, "m3/h": 1 / 3600, "立方米/小时": 1 / 3600, "立方米/时": 1 / 3600, "l/s": 0.001, "升/秒": 0.001, "l/min": 0.001 / 60, "lpm": 0.001 / 60,
+        "升/分": 0.001 / 60, "升/分钟": 0.001 / 60, "l/h": 0.001 / 3600, "升/小时": 0.001 / 3600, "lh": 0.001 / 3600, "ml/h": 1e-6 / 3600, "ml/min": 1e-6 / 60,
+        "gpm": GALLON / 60, "usgpm": GALLON / 60, "gal/min": GALLON / 60, "加仑/分钟": GALLON / 60,
+    },
+    "volume": {"m3": 1.0, "立方米": 1.0, "l": 0.001, "升": 0.001, "ml": 1e-6, "毫升": 1e-6, "gal": GALLON, "加仑": GALLON},
+    "mass": {"kg": 1.0, "千克": 1.0, "公斤": 1.0, "g": 0.001, "克": 0.001, "t": 1000.0, "吨": 1000.0, "lb": POUND, "磅": POUND, "oz": POUND / 16, "盎司": POUND / 16},
+    "force": {"n": 1.0, "牛": 1.0, "kn": 1000.0, "千牛": 1000.0, "dan": 10.0, "kgf": GRAVITY, "公斤力": GRAVITY, "lbf": POUND_FORCE},
+    "torque": {
+        "n·m": 1.0, "nm": 1.0, "n.m": 1.0, "n-m": 1.0, "牛·米": 1.0, "牛米": 1.0, "kn·m": 1000.0, "kn.m": 1000.0, "knm": 1000.0,
+        "dan·m": 10.0, "dan.m": 10.0, "danm": 10.0, "dan-m": 10.0, "n·cm": 0.01, "kgf·m": GRAVITY, "kgf.m": GRAVITY, "kg·m": GRAVITY, "公斤力·米": GRAVITY,
+        "kgf·cm": GRAVITY / 100, "lbf·ft": POUND_FORCE * 0.3048, "ft·lb": POUND_FORCE * 0.3048, "lb·ft": POUND_FORCE * 0.3048, "ft-lb": POUND_FORCE * 0.3048,
+        "lbf-ft": POUND_FORCE * 0.3048, "英尺-磅": POUND_FORCE * 0.3048, "英尺磅": POUND_FORCE * 0.3048,
+        "lbf·in": POUND_FORCE * INCH, "in·lb": POUND_FORCE * INCH, "in-lb": POUND_FORCE * INCH, "英寸-磅": POUND_FORCE * INCH,
+    },
+    "power": {"w": 1.0, "瓦": 1.0, "kw": 1000.0, "千瓦": 1000.0, "hp": 745.69987158227022, "英制马力": 745.69987158227022, "ps": 735.49875, "马力": 735.49875},
+    "speed": {"m/s": 1.0, "米/秒": 1.0, "ft/s": 0.3048, "英尺/秒": 0.3048, "ft/min": 0.3048 / 60, "m/min": 1 / 60, "km/h": 1 / 3.6},
+    "rotation": {"r/min": 1.0, "rpm": 1.0, "转/分": 1.0, "转/分钟": 1.0, "r/s": 60.0, "rad/s": 60 / (2 * math.pi)},
+    "time": {"s": 1.0, "秒": 1.0, "min": 60.0, "分钟": 60.0, "h": 3600.0, "小时": 3600.0, "d": 86400.0, "天": 86400.0, "周": 604800.0},
+    "share": {"%": 1.0, "‰": 0.1},
+    "temperature": {
+        "°c": 1.0, "c": 1.0, "摄氏度": 1.0, "degc": 1.0, "celsius": 1.0, "°f": 5 / 9, "f": 5 / 9, "华氏度": 5 / 9, "degf": 5 / 9, "fahrenheit": 5 / 9,
+        "k": 1.0, "开": 1.0, "开尔文": 1.0, "kelvin": 1.0,
+    },
+}
+# Kelvin of a scale's zero, by the scale's spellings.
+ZERO = {s: 273.15 for s in ("°c", "c", "摄氏度", "degc", "celsius")} | {s: 459.67 * 5 / 9 for s in ("°f", "f", "华氏度", "degf", "fahrenheit")}
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
@@ -29,8 +57,8 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 
 def unit_key(c: Column) -> Column:
-    out = F.lower(F.regexp_replace(c, r"\s+", ""))
-    for sign, plain in (("℃", "°c"), ("℉", "°f"), ("³", "3"), ("*m", "·m")):
+    out = F.lower(F.regexp_replace(c, r"[\s^]+", ""))
+    for sign, plain in (("℃", "°c"), ("℉", "°f"), ("º", "°"), ("˚", "°"), ("²", "2"), ("³", "3"), ("*", "·"), ("×", "·"), ("µ", "μ")):
         out = F.replace(out, F.lit(sign), F.lit(plain))
     return out
 
@@ -58,3 +86,12 @@ def check_limits(value: Column, low: Column, high: Column) -> tuple[Column, Colu
     )
     margin = F.when(verdict == "above_max", value - high).when(verdict == "below_min", low - value).when(verdict == "within", F.least(high - value, value - low))
     return verdict, F.round(margin, 6)
+
+
+def shown(c: Column) -> Column:
+    """Four significant digits, from 1000 on one decimal, no zeros at the end, never scientific."""
+    text = F.format_string("%.1f", c)
+    for power in range(2, -10, -1):
+        text = F.when(F.abs(c) < 10.0 ** (power + 1), F.format_string(f"%.{3 - power}f", c)).otherwise(text)
+    # the smallest magnitude, set last, is tried first
+    return F.when(c == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import text as T
-from quillon.operators import chunk, evaluate, history, ingest, retrieval, tables, units
+from quillon.operators import chunk, evaluate, grounding, history, ingest, retrieval, tables, units
 from quillon.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -365,3 +365,18 @@ def consistency_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cost_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     return table(spark, sf_dir, "events").select("event_id", evaluate.cost(v, F.lit(10), v, 2.0, 0.5, 8.0).alias("cost"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_size, p_partkey % 3 AS m FROM part)
+    SELECT p_partkey, CAST(CASE WHEN m = 2 AND p_size < 10 THEN 0 ELSE 1 END AS INTEGER) AS n,
+           CASE WHEN m = 0 THEN 'unit_mismatch' WHEN m = 1 THEN 'no_source' ELSE '' END AS statuses FROM p"""
+)
+def numeric_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers about each part held against a source that has another unit, another number or the number itself."""
+    size, m = F.col("p_size"), F.col("p_partkey") % 3
+    answer = F.when(m == 2, F.concat(F.lit("Use size "), size, F.lit(" here."))).otherwise(F.concat(F.lit("Tighten to "), size, F.lit(" N·m.")))
+    told = F.when(m == 0, F.concat(F.lit("Torque: "), size, F.lit(" kgf·m"))).when(m == 1, F.concat(F.lit("Torque: "), size + 1, F.lit(" N·m"))).otherwise(F.concat(F.lit("Size "), size))
+    rows = table(spark, sf_dir, "part").select("p_partkey", answer.alias("answer"), F.array(F.struct(F.lit("doc").alias("kind"), told.alias("text"))).alias("sources"))
+    found = grounding.checked(rows, "p_partkey", "answer", "sources")
+    return found.select("p_partkey", "n", F.array_join(F.transform("issues", lambda i: i["status"]), ",").alias("statuses"))
