@@ -29,3 +29,21 @@ def request_rows(events: DataFrame) -> DataFrame:
     g = events.groupBy("request_id").agg(F.max_by(F.when(end, F.col("event")), F.when(end, F.col("seq"))).alias("final"), F.max_by(F.when(end, F.col("data")), F.when(end, F.col("seq"))).alias("data"), tokens.alias("tokens"))
     answer = F.get_json_object("data", "$.answer")
     return g.select("request_id", F.coalesce("final", F.lit("aborted")).alias("status"), F.when(F.col("final") == "done", F.coalesce(answer, F.col("tokens"))).alias("answer"))
+
+
+def round_answers(events: DataFrame) -> DataFrame:
+    """request_id, answer from (request_id, seq, round, event, data): the tokens of the last round that isn't a thought.
+
+    A round with a `thought` event is one. The answer of the `done` event goes before the tokens. Requests
+    without tokens or a done event have a null answer.
+    """
+    token = F.when(F.col("event") == "token", F.struct("seq", "data"))
+    rounds = events.groupBy("request_id", "round").agg(
+        F.max(F.col("event") == "thought").alias("thought"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(token)), lambda x: x["data"]), "").alias("tokens"),
+        F.count(token).alias("n"),
+        F.max(F.when(F.col("event") == "done", F.struct("seq", "data"))).alias("done"),
+    )
+    spoken = ~F.col("thought") & (F.col("n") > 0)
+    g = rounds.groupBy("request_id").agg(F.max_by(F.when(spoken, F.col("tokens")), F.when(spoken, F.col("round"))).alias("tokens"), F.max("done").alias("done"))
+    return g.select("request_id", F.coalesce(F.get_json_object("done.data", "$.answer"), F.col("tokens")).alias("answer"))
