@@ -229,7 +229,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     common = np.array([r.token for r in often.orderBy(F.desc("times"), "token").limit(COMMON).collect()], dtype=np.int64)
     rows = sketched.where(F.col("n").isNotNull())
     classes = rows.where(F.col("class").isNotNull()).groupBy("class", "n", F.hex("sketch").alias("hex")).agg(F.min("doc_id").alias("rep"))
-    classes = rows.where(F.col("class").isNotNull()).groupBy("class", "n", F.hex("sketch").alias("hex")).agg(F.min("doc_id").alias("rep"))
     half = lambda i: F.conv(F.substring("hex", 8 * i + 1, 8), 16, 10).cast("long")
     parts = [F.shiftleft(half(2 * i), 32).bitwiseOR(half(2 * i + 1)).alias(c) for i, c in enumerate(PARTS)]
     classes = stored(classes.select("class", "n", *parts, "rep"))
