@@ -200,8 +200,10 @@ def _bounded(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return stored(near.select("a", "b", "a_n", "b_n", "a_rep", "b_rep"))
 
 
-def _linked(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link by their sets."""
+def _linked(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link by their sets; only classes of these pairs send theirs."""
+    wanted = near.select(F.col("a_rep").alias("doc_id")).union(near.select("b_rep")).distinct()
+    sets = stored(_sets(docs, wanted))
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     both = near.join(left, "a").join(right, "b").select("a", "b", "a_n", "b_n", F.size(F.array_intersect("x", "y")).alias("same"))
@@ -238,12 +240,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = stored(found.where(F.col("class") != F.col("hub.class")).select("key", "class", "place", F.col("hub.class").alias("hub"), F.col("hub.place").alias("hub_place")).distinct())
     pairs = members.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
     near = _bounded(classes, pairs, percent)
-    wanted = near.select(F.col("a_rep").alias("doc_id")).union(near.select("b_rep")).distinct()
-    links = _linked(near, stored(_sets(docs, wanted)), percent)
+    links = _linked(near, docs, percent)
     labels = components(links)
     everyone = members.select("key", "class", "place").union(members.select("key", "hub", "hub_place").distinct())
     mixed_groups = _still_mixed(everyone.join(classes.select("class", "n"), "class"), labels)
-    sets = stored(_sets(docs, mixed_groups.select("class").distinct().join(classes, "class").select(F.col("rep").alias("doc_id")).distinct()))
     for turn in range(TURNS + 1):
         if turn < TURNS:  # neighbours in a shuffled order: as many pairs as members, yet they join most of what can be joined
             order = Window.partitionBy("key").orderBy(F.xxhash64("class", F.lit(turn)), "class")
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             one, two = (full.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("place", "n", *PARTS)], F.col("class").alias(side), F.col("component").alias(f"{side}_c")) for side in "ab")
             x = one.join(two, "key").where((F.col("a") < F.col("b")) & _may_link("a_place", "b_place", "a_n", "b_n", percent) & _near("a_", "b_", percent))
         across = x.where(F.col("a_c") != F.col("b_c")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = _linked(_bounded(classes, across, percent), sets, percent)
+        more = _linked(_bounded(classes, across, percent), docs, percent)
         if more.limit(1).count():
             links = stored(links.union(more))
             labels = components(links)
