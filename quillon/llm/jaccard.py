@@ -94,18 +94,23 @@ def block_keys(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> tup
     return np.concatenate(keys), np.concatenate(places)
 
 
-def folded(s: np.ndarray) -> bytes:
-    """The parity sketch folded to 512 bits."""
-    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def folded(s: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """The parity sketch folded to a power of two of bits."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide(s: np.ndarray) -> np.ndarray | None:
+    """The parity sketch of a set of over 512 shingles, as words, folded to about a bit for each: the 512 bits fill up there."""
+    return np.frombuffer(folded(s, 1 << (len(s) - 1).bit_length()), dtype="<i8") if len(s) > SKETCH_BITS else None
+
+
 def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, class, sketch), and of shingles that recur (token, times)."""
+    """Rows of documents (doc_id, n, class, sketch, wide), and of shingles that recur (token, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -115,28 +120,28 @@ def _sketched(docs: DataFrame) -> DataFrame:
             token, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             keep = times >= COMMON_LEAST
             n = int(keep.sum())
-            return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary()), pa.array(token[keep].view(np.int64)), pa.array(times[keep])], names=names)
+            return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(token[keep].view(np.int64)), pa.array(times[keep])], names=names)
 
-        names = ["doc_id", "text_hash", "n", "class", "sketch", "token", "times"]
+        names = ["doc_id", "text_hash", "n", "class", "sketch", "wide", "token", "times"]
         for batch in batches:
             ids, rows = batch["doc_id"], []
             for text in batch["text"].to_pylist():
                 s = shingle_set(text)
                 c = class_of(s) if len(s) else None
-                rows.append((len(s), c, folded(s)))
+                rows.append((len(s), c, folded(s), wide(s)))
                 if len(s) and c not in seen:
                     seen.add(c)
                     held.append(s)
                     size += len(s)
-            n, c, sk = zip(*rows, strict=True) if rows else ([], [], [])
+            n, c, sk, wd = zip(*rows, strict=True) if rows else ([], [], [], [])
             void = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, batch["text_hash"], pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sk, pa.binary()), void, void], names=names)
+            yield pa.RecordBatch.from_arrays([ids, batch["text_hash"], pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sk, pa.binary()), pa.array(wd, pa.list_(pa.int64())), void, void], names=names)
             if size > CHUNK:
                 yield recurring()
                 held, size, seen = [], 0, set()
         yield recurring()
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, class long, sketch binary, token long, times long")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, class long, sketch binary, wide array<long>, token long, times long")
 
 
 def _blocks(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
@@ -193,11 +198,28 @@ def _side(classes: DataFrame, side: str) -> DataFrame:
     return classes.select(*[F.col(c).alias(side + c) for c in ("n", *PARTS, "rep")], F.col("class").alias(side[0]))
 
 
-def _bounded(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _wide_near(percent: int) -> Column:
+    """By the wide sketches, of which the longer one, at most twice as long for sets near in size, is folded once more."""
+    words = F.least(F.size("a_wide"), F.size("b_wide"))
+
+    def fold(c: str) -> Column:
+        halves = F.zip_with(F.slice(c, 1, words), F.slice(c, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(c) == words, F.col(c)).otherwise(halves)
+
+    apart = F.aggregate(F.zip_with(fold("a_wide"), fold("b_wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return (100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+
+
+def _bounded(classes: DataFrame, wides: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that may link by their sizes and folded sketches."""
     near = pairs.join(_side(classes, "a_"), "a").join(_side(classes, "b_"), "b")
     near = near.where((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & _near("a_", "b_", percent))
-    return stored(near.select("a", "b", "a_n", "b_n", "a_rep", "b_rep"))
+    near = stored(near.select("a", "b", "a_n", "b_n", "a_rep", "b_rep"))
+    long = near.where(F.least("a_n", "b_n") > SKETCH_BITS)
+    for side in "ab":
+        long = long.join(wides.select(F.col("class").alias(side), F.col("wide").alias(f"{side}_wide")), side)
+    long = long.where(_wide_near(percent)).select(*near.columns)
+    return stored(near.where(F.least("a_n", "b_n") <= SKETCH_BITS).unionByName(long))
 
 
 def _linked(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -234,12 +256,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     half = lambda i: F.conv(F.substring("hex", 8 * i + 1, 8), 16, 10).cast("long")
     parts = [F.shiftleft(half(2 * i), 32).bitwiseOR(half(2 * i + 1)).alias(c) for i, c in enumerate(PARTS)]
     classes = stored(classes.select("class", "n", *parts, "rep"))
+    wides = stored(rows.where(F.col("wide").isNotNull()).groupBy("class").agg(F.any_value("wide").alias("wide")))
     found = _blocks(docs, np.sort(common.view(np.uint64)), percent)
     group = Window.partitionBy("key")
     found = found.withColumn("hub", F.min(F.struct("class", "place")).over(group))
     members = stored(found.where(F.col("class") != F.col("hub.class")).select("key", "class", "place", F.col("hub.class").alias("hub"), F.col("hub.place").alias("hub_place")).distinct())
     pairs = members.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    near = _bounded(classes, pairs, percent)
+    near = _bounded(classes, wides, pairs, percent)
     links = _linked(near, docs, percent)
     labels = components(links)
     everyone = members.select("key", "class", "place").union(members.select("key", "hub", "hub_place").distinct())
@@ -253,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             one, two = (full.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("place", "n", *PARTS)], F.col("class").alias(side), F.col("component").alias(f"{side}_c")) for side in "ab")
             x = one.join(two, "key").where((F.col("a") < F.col("b")) & _may_link("a_place", "b_place", "a_n", "b_n", percent) & _near("a_", "b_", percent))
         across = x.where(F.col("a_c") != F.col("b_c")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = _linked(_bounded(classes, across, percent), docs, percent)
+        more = _linked(_bounded(classes, wides, across, percent), docs, percent)
         if more.limit(1).count():
             links = stored(links.union(more))
             labels = components(links)

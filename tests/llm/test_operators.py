@@ -212,3 +212,24 @@ def test_language(spark, docs, empty):
     assert all(got[i].lang_pred == "und" and got[i].rejected for i in (900, 901, 902))
     model = language.fit(empty)
     assert language.predict(docs, model).where("lang_pred <> 'und'").count() == 0 and language.predict(empty, model).count() == 0
+
+
+def test_jaccard_of_long_documents(spark):
+    """Sets beyond 512 shingles, where wide sketches of equal and of doubled length meet, at and about the bound."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (500, 514, 700, 1025, 1100, 2050, 3000):
+        words = [f"a{x}" for x in rng.integers(0, 1 << 30, n + 4)]
+        rows.append((len(rows), " ".join(words)))
+        for share in (0.02, 0.1, 0.105, 0.11, 0.112, 0.13, 0.2):  # cut from the end, and replaced there
+            k = int(share * n)
+            rows.append((len(rows), " ".join(words[: n + 4 - k])))
+            rows.append((len(rows), " ".join(words[: n + 4 - k] + [f"b{x}" for x in rng.integers(0, 1 << 30, k)])))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    least = list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for _ in rows:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (len(s), least[i]) for i, s in enumerate(sets)}
