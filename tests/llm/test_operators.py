@@ -1,5 +1,6 @@
 """Each operator against brute force on a small table with nulls, empty and long texts, ties, copies and clashing columns."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -214,6 +215,17 @@ def test_language(spark, docs, empty):
     assert language.predict(docs, model).where("lang_pred <> 'und'").count() == 0 and language.predict(empty, model).count() == 0
 
 
+def test_language_keeps_short_rows_and_rejects_random_letters(spark):
+    rng = np.random.default_rng(6)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)) for n in (300, 500, 1000, 2000, 8000) for _ in range(20)]
+    junk += [base64.b64encode(rng.bytes(n)).decode() for n in (300, 1500, 6000) for _ in range(20)]
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    p = language.predict(d.union(more), language.fit(language.training_rows(d))).join(d.select("doc_id", "text"), "doc_id", "left")
+    gone = {r.doc_id for r in p.where("rejected").collect() if r.doc_id < 0 or re.search(r"[^\W\d_]", r.text or "")}
+    assert gone == {-1 - i for i in range(len(junk))}
+
+
 def test_jaccard_of_long_documents(spark):
     """Sets beyond 512 shingles, where wide sketches of equal and of doubled length meet, at and about the bound."""
     rng = np.random.default_rng(5)
