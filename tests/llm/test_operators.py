@@ -226,6 +226,23 @@ def test_language_keeps_short_rows_and_rejects_random_letters(spark):
     assert gone == {-1 - i for i in range(len(junk))}
 
 
+def test_language_of_varieties_and_of_mislabelled_rows(spark):
+    rng = np.random.default_rng(8)
+    syllables = {"a": ["ka", "lo", "mi", "ru", "te"], "b": ["sch", "ein", "ung", "pf", "ach"], "c": ["yor", "wex", "qui", "jah", "zil"], "d": ["dob", "vyn", "gat", "hes", "bur"], "e": ["opt", "ixe", "amu", "ulk", "ery"]}
+    speak = lambda x: " ".join("".join(rng.choice(syllables[x], 3)) for _ in range(int(rng.integers(40, 200))))
+    # "one" has two varieties of like size, "two" one of 8 in 100; 8 in 100 rows of "three" are in truth "two"
+    dealt = {"one": "a" * 50 + "b" * 50, "two": "c" * 92 + "d" * 8, "three": "e" * 92 + "c" * 8}
+    rows = [(lang, x) for lang, given in dealt.items() for x in given * 6]
+    rows = [(i, speak(x), lang, x) for i, (lang, x) in enumerate(rows[j] for j in rng.permutation(len(rows)))]
+    d = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    model = language.fit(language.training_rows(d))
+    truth = {"a": "one", "b": "one", "c": "two", "d": "two", "e": "three"}
+    got = {r.doc_id: (r.lang_pred, r.rejected, r.score > 0.6) for r in language.predict(d, model).collect()}
+    assert got == {i: (truth[x], False, True) for i, _, _, x in rows}
+    sf = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert np.bincount(language.fit(language.training_rows(sf)).of).tolist() == [3, 3, 3, 3]
+
+
 def test_jaccard_of_long_documents(spark):
     """Sets beyond 512 shingles, where wide sketches of equal and of doubled length meet, at and about the bound."""
     rng = np.random.default_rng(5)
