@@ -4,15 +4,18 @@ Documents with the same shingles are one class. A class's sketch is the parity (
 shingles over very many bits, in blocks: each shingle flips one bit of one block, so the
 number of bits, and of blocks, in which two sketches differ is at most the symmetric
 difference of the sets. Sets of a and b shingles with Jaccard of at least t differ in at most
-(a + b)(1 - t)/(1 + t), hence of each one's first d + 1 non-empty blocks one is equal in the
-other (pigeonhole): sketches are joined per size band on blocks. Shingles that very many
-documents hold lie in the last blocks. A block is held as the XOR of its shingles' hashes.
-Candidates whose sizes or 512-bit folded sketches are too far apart go, the rest are
-verified on the sets themselves.
-
-Each group of classes with an equal block is linked to its least class first, then, where a
-group is still of several components, to neighbours in shuffled orders; at last all pairs across
-the components that are left in a group are verified. Components are
+(a + b)(1 - t)/(1 + t) = d, hence of each one's first d + 1 non-empty blocks one is equal in the
+other (pigeonhole): sketches are joined per size band on blocks. A set of at most d non-empty
+blocks (rare, as bands have many more) gives all of them and its band's key of such sets: two of
+these share that key, and one of these shares a block with any other set that it links with.
+Shingles that very many documents hold lie in blocks of their own, which come last. A block is
+held as the XOR of its shingles' hashes. Candidates whose sizes or folded sketches are too far
+apart go, the rest are verified on the texts, which are sent compressed.
+
+Each group of classes with an equal block is linked to its least class first (each task
+does so with its own, so that of a hot block it sends one row a chunk), then, where a
+group is still of several components, to neighbours in a shuffled order; at last the pairs across
+the components that are left in a group are verified, large groups in many cells. Components are
 thus those of all links, while no group of similar documents is ever expanded into pairs.
 """
 
@@ -27,19 +30,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, key_filter, passing, ready, stored
+from .common import discard, documents, fresh, key_filter, passing, ready, shared_folder, stored
 from .components import components
 from .shingles import mixed, shingle_set
 
 PERCENT = 80
-#: Sizes below which a block is a single shingle; above, blocks hold about three.
-SINGLE = 256
+#: Blocks of a band: so many for each hundred shingles of its largest set, and how many at least.
+FILL, LEAST_BLOCKS = 35, 64
 #: Shingles met most often (a bounded list) go into the last blocks; it steers the work, not the result.
 COMMON, COMMON_LEAST, CHUNK = 50_000, 4, 1_000_000
 SKETCH_BITS = 512
 PARTS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
-#: Turns in which neighbours of a group in a shuffled order are verified before all pairs across components.
-TURNS = 2
+#: Members of a cell in which pairs are verified, and pairs of one class that share a copy of its text.
+CELL = 256
+SALTS = 8
+_SPREAD, _BLOCK = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
 
 
 def bands(longest: int = 1 << 40) -> np.ndarray:
@@ -58,18 +63,14 @@ def farthest(a: int, b: int, percent: int = PERCENT) -> int:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def block_keys(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the blocks under which a set is joined, for its own band and as a larger visitor of the one before.
-
-    With each, its place: how many shingles lie in blocks before (0 for blocks of several). In a pair's
-    first equal block the places count shingles that one set has and the other hasn't.
-    """
+def block_keys(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Keys of the blocks under which a set is joined, for its own band and as a larger visitor of the one before."""
     n = len(s)
     band = int(np.searchsorted(EDGES, n, side="right")) - 1
-    late = np.zeros(n, dtype=bool)
+    late = np.zeros(n, dtype=np.uint64)
     if len(common):
-        late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-    keys, places = [], []
+        late = (common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s).astype(np.uint64)
+    spread, value, keys = mixed(s ^ _SPREAD), mixed(s), []
     largest = n * 100 // percent
     for k in (band, band - 1):
         if k < 0:
@@ -78,20 +79,15 @@ def block_keys(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> tup
         if k < band and n > top * 100 // percent:
             continue
         d = farthest(n, largest if k == band else min(top, largest), percent)
-        spread = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
-        if top < SINGLE:
-            block = spread >> np.uint64(1)
-        else:
-            many = np.uint64(max(1, top * 35 // 100))
-            block = spread % many
-        block = block | (late.astype(np.uint64) << np.uint64(63))
+        block = spread % np.uint64(max(LEAST_BLOCKS, top * FILL // 100)) | late << np.uint64(63)
         order = np.argsort(block, kind="stable")
-        block, tokens = block[order], s[order]
+        block, own = block[order], value[order]
         first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        parity = np.bitwise_xor.reduceat(mixed(tokens), first)[: d + 1]
-        keys.append(mixed(parity + mixed(block[first][: d + 1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))))
-        places.append(np.arange(len(keys[-1])) * (top < SINGLE))
-    return np.concatenate(keys), np.concatenate(places)
+        parity = np.bitwise_xor.reduceat(own, first)
+        keys.append(mixed(parity[: d + 1] + mixed(block[first][: d + 1] * _BLOCK + np.uint64(k))))
+        if len(first) <= d:
+            keys.append(mixed(np.array([k], dtype=np.uint64) - _SPREAD))
+    return np.concatenate(keys)
 
 
 def folded(s: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
@@ -111,87 +107,108 @@ def class_of(s: np.ndarray) -> int:
 
 def _sketched(docs: DataFrame) -> DataFrame:
     """Rows of documents (doc_id, n, class, sketch, wide), and of shingles that recur (token, times)."""
+    names = ["doc_id", "text_hash", "n", "class", *PARTS, "wide", "token", "times"]
+    types = [pa.int64()] * (4 + len(PARTS)) + [pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size, seen = 0, set()
 
+        def made(count: int, **columns: object) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(count, t) for c, t in zip(names, types, strict=True)], names=names)
+
         def recurring() -> pa.RecordBatch:
             token, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             keep = times >= COMMON_LEAST
-            n = int(keep.sum())
-            return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(token[keep].view(np.int64)), pa.array(times[keep])], names=names)
+            return made(int(keep.sum()), token=token[keep].view(np.int64), times=times[keep])
 
-        names = ["doc_id", "text_hash", "n", "class", "sketch", "wide", "token", "times"]
         for batch in batches:
-            ids, rows = batch["doc_id"], []
-            for text in batch["text"].to_pylist():
-                s = shingle_set(text)
-                c = class_of(s) if len(s) else None
-                rows.append((len(s), c, folded(s), wide(s)))
-                if len(s) and c not in seen:
+            sets = [shingle_set(t) for t in batch["text"].to_pylist()]
+            classes = [class_of(s) if len(s) else None for s in sets]
+            sketch = np.frombuffer(b"".join(folded(s) for s in sets), dtype="<i8").reshape(len(sets), len(PARTS))
+            parts = {c: sketch[:, i] for i, c in enumerate(PARTS)}
+            yield made(len(sets), doc_id=batch["doc_id"], text_hash=batch["text_hash"], n=[len(s) for s in sets], **{"class": classes}, **parts, wide=[wide(s) for s in sets])
+            for s, c in zip(sets, classes, strict=True):
+                if c is not None and c not in seen:
                     seen.add(c)
                     held.append(s)
                     size += len(s)
-            n, c, sk, wd = zip(*rows, strict=True) if rows else ([], [], [], [])
-            void = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, batch["text_hash"], pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sk, pa.binary()), pa.array(wd, pa.list_(pa.int64())), void, void], names=names)
             if size > CHUNK:
                 yield recurring()
                 held, size, seen = [], 0, set()
         yield recurring()
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, class long, sketch binary, wide array<long>, token long, times long")
+    return docs.mapInArrow(run, f"doc_id long, text_hash long, n long, class long, {', '.join(f'{c} long' for c in PARTS)}, wide array<long>, token long, times long")
 
 
 def _blocks(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
+    """key, class; of a key's classes in one chunk only the least has the key itself, the others have one of their own and in `of` the key and the least."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON hashes
 
+    def dealt(keys: list[np.ndarray], classes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+        c = np.concatenate(classes) if classes else np.zeros(0, np.int64)
+        order = np.lexsort((c, k))
+        k, c = k[order], c[order]
+        first = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
+        least = c[np.flatnonzero(first)][np.cumsum(first) - 1] if len(k) else c
+        yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(c[first]), pa.nulls(int(first.sum()), pa.list_(pa.int64()))], names=["key", "class", "of"])
+        k, c, least = (x[~first & (c != least)] for x in (k, c, least))
+        own = mixed(mixed(k.view(np.uint64)) + c.view(np.uint64)).view(np.int64)
+        of = pa.ListArray.from_arrays(np.arange(0, 2 * len(k) + 1, 2, dtype=np.int32), np.stack([k, least], axis=1).ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(c), of], names=["key", "class", "of"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        keys, classes, size = [], [], 0
         for batch in batches:
-            keys, places, classes = [], [], []
             for text in batch["text"].to_pylist():
                 s = shingle_set(text)
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(c)
-                key, place = block_keys(s, shared.value, percent)
-                keys.append(key)
-                places.append(place)
+                keys.append(block_keys(s, shared.value, percent))
                 classes.append(np.full(len(keys[-1]), c, dtype=np.int64))
-            k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            c = np.concatenate(classes) if classes else np.zeros(0, np.int64)
-            at = np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(at)], names=["key", "class", "place"])
+                size += len(keys[-1])
+            if size > CHUNK:
+                yield from dealt(keys, classes)
+                keys, classes, size = [], [], 0
+        yield from dealt(keys, classes)
 
-    return docs.select("text").mapInArrow(run, "key long, class long, place int")
+    return docs.select("text").mapInArrow(run, "key long, class long, of array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, shingles of the documents whose id is in wanted, and of a few others that its fixed-size filter lets pass."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, packed (the words, compressed) of the documents whose id is in wanted, and of a few others that its fixed-size filter lets pass."""
     shared = key_filter(wanted.select(F.xxhash64("doc_id").alias("key")), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["text"].filter(pa.array(passing(shared, batch["key"]))).to_pylist()
-            sets = [s for t in texts if len(s := shingle_set(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "shingles"])
-
-    return docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "class long, shingles array<long>")
+        import zstandard
 
+        press, seen = zstandard.ZstdCompressor(level=3), set()
+        for batch in batches:
+            classes, packed = [], []
+            for t in batch["text"].filter(pa.array(passing(shared, batch["key"]))).to_pylist():
+                s = shingle_set(t)
+                if len(s) and (c := class_of(s)) not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(c)
+                    classes.append(c)
+                    packed.append(press.compress(t.encode()))
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(packed, pa.binary())], names=["class", "packed"])
 
-def _may_link(place_a: str, place_b: str, n_a: str, n_b: str, percent: int) -> Column:
-    """By size, and by place if the block is the first that the two have in common (in another they may fail)."""
-    size = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return size & ((100 + percent) * (F.col(place_a) + F.col(place_b)) <= (100 - percent) * (F.col(n_a) + F.col(n_b)))
+    return docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "class long, packed binary")
 
 
 def _near(a: str, b: str, percent: int) -> Column:
-    """By the folded sketches, whose Hamming distance is at most the sets' difference."""
+    """By size and by the folded sketches, whose Hamming distance is at most the sets' difference."""
     apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in PARTS), F.lit(0))
-    return (100 + percent) * apart <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
+    return _like(f"{a}n", f"{b}n", percent) & ((100 + percent) * apart <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n")))
+
+
+def _like(n_a: str, n_b: str, percent: int) -> Column:
+    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
 
 
 def _side(classes: DataFrame, side: str) -> DataFrame:
@@ -212,8 +229,7 @@ def _wide_near(percent: int) -> Column:
 
 def _bounded(classes: DataFrame, wides: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that may link by their sizes and folded sketches."""
-    near = pairs.join(_side(classes, "a_"), "a").join(_side(classes, "b_"), "b")
-    near = near.where((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & _near("a_", "b_", percent))
+    near = pairs.join(_side(classes, "a_"), "a").join(_side(classes, "b_"), "b").where(_near("a_", "b_", percent))
     near = stored(near.select("a", "b", "a_n", "b_n", "a_rep", "b_rep"))
     long = near.where(F.least("a_n", "b_n") > SKETCH_BITS)
     for side in "ab":
@@ -223,82 +239,129 @@ def _bounded(classes: DataFrame, wides: DataFrame, pairs: DataFrame, percent: in
 
 
 def _linked(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link by their sets; only classes of these pairs send theirs."""
+    """The pairs that link by their texts' shingles. Only classes of these pairs send their texts; b's goes to a's, of which there is a copy for each CELL pairs."""
+    spark = docs.sparkSession
+    folder = shared_folder(spark)
     wanted = near.select(F.col("a_rep").alias("doc_id")).union(near.select("b_rep")).distinct()
-    sets = stored(_sets(docs, wanted))
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    both = near.join(left, "a").join(right, "b").select("a", "b", "a_n", "b_n", F.size(F.array_intersect("x", "y")).alias("same"))
-    return stored(both.where(100 * F.col("same") >= percent * (F.col("a_n") + F.col("b_n") - F.col("same"))).select("a", "b").distinct())
+    texts = stored(_texts(docs, wanted), folder)
+    cells = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
+    pairs = near.select("a", "b").join(cells, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("cells")).alias("cell"))
+    pairs = pairs.join(texts.select(F.col("class").alias("b"), F.col("packed").alias("y")).hint("merge"), "b")
+    hubs = texts.join(cells, F.col("class") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.col("packed").alias("x"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press, hub, own = zstandard.ZstdDecompressor(), None, np.zeros(0, np.uint64)
+        for batch in batches:
+            hits = []
+            for i, (a, x, y) in enumerate(zip(batch["a"].to_pylist(), batch["x"], batch["y"], strict=True)):
+                if a != hub:
+                    hub, own = a, shingle_set(press.decompress(x.as_py()).decode())
+                other = shingle_set(press.decompress(y.as_py()).decode())
+                same = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * same >= percent * (len(own) + len(other) - same):
+                    hits.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(hits, pa.int64()))
+
+    both = pairs.hint("merge").join(hubs.hint("merge"), ["a", "cell"]).select("a", "b", "x", "y")
+    found = stored(both.mapInArrow(verified, "a long, b long").distinct())
+    discard(spark, folder)
+    return found
 
 
 def _still_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of members (key, class, ...) with their components, of the groups that hold several."""
+    """Rows of members (key, class, n) with their components, of the groups that hold several."""
     labelled = members.join(labels, F.col("class") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "class").alias("component"))
-    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    return stored(labelled.join(several, "key"))
+    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where(F.col("lo") != F.col("hi"))
+    return stored(labelled.join(several.select("key", "size"), "key"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row of docs (doc_id, text).
+def _across(groups: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a < b) of a group's classes of different components that are like in size; a group of more than CELL meets in many cells."""
+    parts = F.ceil(F.col("size") / CELL).cast("int")
+    mine = F.pmod(F.xxhash64("class"), parts).cast("int")
+    every = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
+    dealt = groups.select("key", "class", "n", "component", mine.alias("mine"), F.explode(every).alias("cell"))
+    one, two = (dealt.select("key", "cell", *[F.col(c).alias(f"{side}_{c}") for c in ("n", "component", "mine")], F.col("class").alias(side)) for side in "ab")
+    met = (F.col("a_component") != F.col("b_component")) & (F.col("a") < F.col("b")) & _like("a_n", "b_n", percent)
+    once = ((F.col("a_mine") == F.col("cell.i")) & (F.col("b_mine") == F.col("cell.j"))) | ((F.col("a_mine") == F.col("cell.j")) & (F.col("b_mine") == F.col("cell.i")))
+    return one.join(two, ["key", "cell"]).where(met & once).select("a", "b").distinct()
 
-    Null text, and text without words, has no shingles and links with nothing: its own component. Rows
-    that repeat an id are documents of their own; a null id is not the least of any component but its
-    own. An empty table gives no rows; other columns are not read.
-    """
+
+def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n, root (the component's least class; null without shingles) and least (its least doc_id) of every row of docs (doc_id, text)."""
     spark = ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = stored(_sketched(docs.withColumn("text_hash", F.xxhash64("text"))))
     often = sketched.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times"))
     common = np.array([r.token for r in often.orderBy(F.desc("times"), "token").limit(COMMON).collect()], dtype=np.int64)
     rows = sketched.where(F.col("n").isNotNull())
-    classes = rows.where(F.col("class").isNotNull()).groupBy("class", "n", F.hex("sketch").alias("hex")).agg(F.min("doc_id").alias("rep"))
-    half = lambda i: F.conv(F.substring("hex", 8 * i + 1, 8), 16, 10).cast("long")
-    parts = [F.shiftleft(half(2 * i), 32).bitwiseOR(half(2 * i + 1)).alias(c) for i, c in enumerate(PARTS)]
-    classes = stored(classes.select("class", "n", *parts, "rep"))
-    wides = stored(rows.where(F.col("wide").isNotNull()).groupBy("class").agg(F.any_value("wide").alias("wide")))
+    shingled = rows.where(F.col("class").isNotNull())
+    classes = stored(shingled.groupBy("class").agg(*[F.max(c).alias(c) for c in ("n", *PARTS)], F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")))
+    wides = stored(shingled.where(F.col("wide").isNotNull()).select("class", "wide").groupBy("class").agg(F.any_value("wide").alias("wide")))
     found = _blocks(docs, np.sort(common.view(np.uint64)), percent)
-    group = Window.partitionBy("key")
-    found = found.withColumn("hub", F.min(F.struct("class", "place")).over(group))
-    members = stored(found.where(F.col("class") != F.col("hub.class")).select("key", "class", "place", F.col("hub.class").alias("hub"), F.col("hub.place").alias("hub_place")).distinct())
-    pairs = members.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    near = _bounded(classes, wides, pairs, percent)
-    links = _linked(near, docs, percent)
+    found = found.withColumn("least", F.min("class").over(Window.partitionBy("key")))
+    dealt = F.col("of").isNotNull()
+    members = found.where(dealt | (F.col("class") != F.col("least")))
+    members = members.select(F.when(dealt, F.col("of")[0]).otherwise(F.col("key")).alias("key"), "class", F.when(dealt, F.col("of")[1]).otherwise(F.col("least")).alias("hub"))
+    members = stored(members)
+    links = _linked(_bounded(classes, wides, members.select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), percent), docs, percent)
     labels = components(links)
-    everyone = members.select("key", "class", "place").union(members.select("key", "hub", "hub_place").distinct())
-    mixed_groups = _still_mixed(everyone.join(classes.select("class", "n"), "class"), labels)
-    for turn in range(TURNS + 1):
-        if turn < TURNS:  # neighbours in a shuffled order: as many pairs as members, yet they join most of what can be joined
-            order = Window.partitionBy("key").orderBy(F.xxhash64("class", F.lit(turn)), "class")
-            x = mixed_groups.select(F.col("class").alias("a"), F.col("component").alias("a_c"), F.lag("class").over(order).alias("b"), F.lag("component").over(order).alias("b_c"))
-        else:  # what is left: every pair across components that size, place and sketch allow
-            full = stored(mixed_groups.join(classes.select("class", *PARTS), "class"))
-            one, two = (full.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("place", "n", *PARTS)], F.col("class").alias(side), F.col("component").alias(f"{side}_c")) for side in "ab")
-            x = one.join(two, "key").where((F.col("a") < F.col("b")) & _may_link("a_place", "b_place", "a_n", "b_n", percent) & _near("a_", "b_", percent))
-        across = x.where(F.col("a_c") != F.col("b_c")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = _linked(_bounded(classes, wides, across, percent), docs, percent)
+    everyone = members.select("key", "class").union(members.select("key", "hub")).distinct().join(classes.select("class", "n"), "class")
+    groups = _still_mixed(everyone, labels)
+    order = Window.partitionBy("key").orderBy(F.xxhash64("class"), "class")
+    beside = groups.select(F.col("class").alias("x"), F.col("component").alias("x_c"), F.lag("class").over(order).alias("y"), F.lag("component").over(order).alias("y_c"))
+    beside = beside.where(F.col("x_c") != F.col("y_c")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for last in (False, True):  # neighbours in a shuffled order: as many pairs as members, yet they join most of what can be joined; then what is left
+        more = _linked(_bounded(classes, wides, _across(groups, percent) if last else beside, percent), docs, percent)
         if more.limit(1).count():
             links = stored(links.union(more))
             labels = components(links)
-            mixed_groups = _still_mixed(mixed_groups.drop("component"), labels)
-    reps = labels.join(classes, F.col("node") == F.col("class"))
-    least = reps.groupBy("component").agg(F.min("rep").alias("least"))
-    of = classes.select(F.col("class").alias("c"), "rep").join(labels, F.col("c") == F.col("node"), "left").join(least, "component", "left")
-    of = stored(of.select("c", F.coalesce("least", "rep").alias("least")))
-    out = rows.join(of, F.col("class") == F.col("c"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "text_hash")
+            if not last:
+                groups = _still_mixed(groups.select("key", "class", "n"), labels)
+    linked = F.col("node").isNotNull()
+    of = classes.select(F.col("class").alias("c"), "rep", "rows").join(labels, F.col("c") == F.col("node"), "left").where(linked | (F.col("rows") > 1))
+    of = stored(of.select("c", F.coalesce("component", "c").alias("root"), "rep"))
+    least = of.groupBy("root").agg(F.min("rep").alias("least"))
+    of = salted(of, least, "root").select("c", "root", "least")
+    out = salted(rows.select("doc_id", "text_hash", "n", F.col("class").alias("c")), of, "c", "left")
+    return out.select("doc_id", "text_hash", "n", F.coalesce("root", "c").alias("root"), F.coalesce("least", "doc_id").alias("least"))
+
+
+def salted(many: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """many (a stored table, so that its rows are numbered alike when read again) joined with few, which has a key once; a hot key is SALTS tasks."""
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_salt")
+    dealt = many.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    return dealt.join(few.select("*", salts), [on, "_salt"], how).drop("_salt")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row of docs (doc_id, text).
+
+    Null text, and text without words, has no shingles and links with nothing: its own component. Very
+    long texts are whole sets like any other; equal texts are one class, ties play no part. Rows
+    that repeat an id are documents of their own; a null id is not the least of any component but its
+    own. An empty table gives no rows; other columns are not read.
+    """
+    return classified(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs without those that another of lower id makes redundant; of equal rows one stays.
+    """The rows of docs without those that another makes redundant: of each component the row of least id stays (nulls last, then by the text's hash).
 
-    Rows without words all stay. Only the rows that go are joined back, by id and text.
+    Of rows equal in id and text one stays. Rows without words all stay. Only the rows that go are joined
+    back, by id and text. Columns of any names are kept as they are; an empty table stays empty.
     """
-    d = stored(near_duplicates(docs, percent)).where(F.col("n_shingles") > 0)
-    key = (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
-    gone = stored(d.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
-    left = docs.join(gone, key, "left_anti")
-    repeated = stored(d.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).count().where("count > 1").drop("count"))
+    d = stored(classified(docs, percent).where(F.col("root").isNotNull()).select("doc_id", "text_hash", "root"))
+    place = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")
+    kept = d.groupBy("root").agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    d = stored(salted(d, kept, "root").select("doc_id", "text_hash", place.eqNullSafe(F.col("keeper")).alias("stays")))
+    own = [fresh(docs, c) for c in ("id_of", "hash_of")]
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col(own[0])) & (F.xxhash64(F.col("text").cast("string")) == F.col(own[1]))
+    named = lambda x: x.select(F.col("doc_id").alias(own[0]), F.col("text_hash").alias(own[1]))
+    left = docs.join(named(d.where(~F.col("stays")).distinct()), key, "left_anti")
+    repeated = stored(named(d.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1")))
     if repeated.limit(1).count():
         again = left.join(repeated, key, "left_semi").dropDuplicates(["doc_id", "text"])
         left = left.join(repeated, key, "left_anti").unionByName(again)
@@ -306,4 +369,5 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).drop("text_hash")
+    """Near-duplicate classes of all documents; nulls, empty and long texts, ties and repeated rows as in near_duplicates."""
+    return near_duplicates(documents(spark, sf_dir))
