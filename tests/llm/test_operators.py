@@ -110,6 +110,38 @@ def test_repeats(docs, empty):
     assert sorted(got) == sorted(want) and dedup.remove_repeats(empty).count() == 0
 
 
+def repeats_by_hand(texts, length):
+    data, seen = [(t or "").encode() for t in texts], {}
+    for b in data:
+        for i in range(len(b) - length + 1):
+            seen[b[i : i + length]] = seen.get(b[i : i + length], 0) + 1
+    for b in data:
+        gone = np.zeros(len(b), dtype=bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        yield len(b), int(gone.sum()), bytes(np.frombuffer(b, np.uint8)[~gone])
+
+
+@pytest.mark.parametrize("most", [4096, 2])
+def test_repeats_in_shared_passages(spark, most):
+    """Passages with other bytes before and behind in each document, in one, and stretches of one letter; also where every entry counts as hot."""
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdé \x00"), n))
+    shared = [word(n) for n in (45, 60, 90, 150, 400)]
+    texts = [word(int(rng.integers(0, 30))).join(shared[int(i)][int(rng.integers(0, 9)) :] for i in rng.integers(0, 5, 3)) for _ in range(60)] + ["a" * 300, "ab" * 99, word(3000), None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in dedup.remove_repeats(rows, 40, most).collect()}
+    want = dict(enumerate(repeats_by_hand(texts, 40)))
+    assert got == want
+
+
+def test_suffix_classes_are_sorted():
+    strings = [b"abc", b"ab", b"abd", b"", b"abc", b"a\x00"]
+    order, common = dedup._classes(np.zeros(6, np.int64), strings)
+    assert [strings[i] for i in order] == sorted(strings) and common.tolist() == [-1, 0, 1, 2, 3, 2]
+
+
 def test_mixing(docs, empty):
     m = mixing.mix(docs).collect()
     total = sum(r.size for r in m)
