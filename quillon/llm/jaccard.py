@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, documents, fresh, key_filter, passing, ready, shared_folder, stored
+from .common import discard, documents, fresh, key_filter, passing, ready, salted, shared_folder, stored
 from .components import components
 from .shingles import mixed, shingle_set
 
@@ -43,7 +43,6 @@ SKETCH_BITS = 512
 PARTS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 #: Members of a cell in which pairs are verified, and pairs of one class that share a copy of its text.
 CELL = 256
-SALTS = 8
 _SPREAD, _BLOCK = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -329,13 +328,6 @@ def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "text_hash", "n", F.coalesce("root", "c").alias("root"), F.coalesce("least", "doc_id").alias("least"))
 
 
-def salted(many: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """many (a stored table, so that its rows are numbered alike when read again) joined with few, which has a key once; a hot key is SALTS tasks."""
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_salt")
-    dealt = many.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
-    return dealt.join(few.select("*", salts), [on, "_salt"], how).drop("_salt")
-
-
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row of docs (doc_id, text).
 

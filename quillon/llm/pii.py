@@ -1,9 +1,10 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from them.
 
-Base matches are the seeds. The words around identifier-like tokens are lexical patterns; a
-graph of patterns and tokens is scored in turns (a pattern by the share of its tokens' scores,
-a token by its patterns, seeds fixed at 1). Patterns of high confidence that many different
-seeds support then give the tokens in their context as further spans, of kind `context`.
+Base matches are the seeds. They and identifier-like tokens outside them are instances; the words
+around an instance (lower case, digits as 0, without marks at their ends) and its own shape make lexical
+patterns. A graph of patterns and instances is scored in turns (a pattern by the share of its instances' scores,
+an instance by its patterns, seeds fixed at 1). Patterns of high confidence that many different
+seeds support then give the other instances in their context as further spans, of kind `context`.
 Everything is DataFrame and SQL functions.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import WORD, documents, salted, stored
 from .spans import count_of, found, listed
 
 KINDS = ("email", "ip", "card", "phone")
@@ -24,7 +25,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TOKEN = r"(?:(?<![A-Za-z0-9@._%+#/-])|\G)[A-Za-z@._%+#/-]*+[0-9][A-Za-z0-9@._%+#/-]*+"
-#: Characters beside a token that are looked at for its context.
+#: Characters beside an instance that are looked at for its context.
 CONTEXT = 60
 #: Digits that a token has at least.
 DIGITS = 4
@@ -57,45 +58,57 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, kept["ip"], kept["card"], kept["phone"])
 
 
-def _tokens(text: Column, base: Column) -> Column:
-    """Identifier-like tokens with their contexts and whether they are part of a base span."""
+def _shape(m: Column) -> Column:
+    """Runs of digits as 0, of other letters as a; marks stay."""
+    return F.regexp_replace(F.regexp_replace(m, r"\p{L}+", "a"), "[0-9]+", "0")
+
+
+def _instances(text: Column, base: Column) -> Column:
+    """Base spans, and identifier-like tokens outside them, with the patterns that they stand in."""
     tokens = found(text, TOKEN, "context", len(KINDS), lambda m: F.length(_digits(m)) >= DIGITS)
+    tokens = F.filter(tokens, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    pick = lambda spans, seed: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), F.lit(seed).alias("seed")))
+
+    def word(w: Column) -> Column:
+        bare = F.regexp_replace(w, r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
+        return F.regexp_replace(F.lower(F.when(bare == "", w).otherwise(bare)), "[0-9]+", "0")
 
     def one(s: Column) -> Column:
-        left = F.regexp_extract_all(F.lower(F.substring(text, F.greatest(s["start"] + 1 - CONTEXT, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-        right = F.regexp_substr(F.lower(F.substring(text, s["end"] + 1, F.lit(CONTEXT))), F.lit(r"[^\x20\x09-\x0D]+"))
-        before = F.array_join(F.slice(left, F.greatest(F.size(left) - 1, F.lit(1)), 2), " ")
-        near = F.concat_ws(" _ ", F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("")), F.coalesce(right, F.lit("")))
-        seed = F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("token"), F.array(F.concat(F.lit("before:"), before), F.concat(F.lit("near:"), near)).alias("patterns"), seed.alias("seed"))
+        left = F.transform(F.regexp_extract_all(F.substring(text, F.greatest(s["start"] + 1 - CONTEXT, F.lit(1)), F.least(s["start"], F.lit(CONTEXT))), F.lit(WORD), F.lit(0)), word)
+        after = F.regexp_substr(F.substring(text, s["end"] + 1, F.lit(CONTEXT)), F.lit(WORD))
+        last, before = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2))
+        patterns = F.array(F.concat(F.lit("before:"), before, F.lit(" "), last), F.concat(F.lit("around:"), last, F.lit(" _ "), word(after)), F.concat(F.lit("shape:"), last, F.lit(" "), _shape(s["match"])))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("token"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"), s["seed"].alias("seed"))
 
-    return F.transform(tokens, one)
+    return F.transform(F.concat(pick(base, True), pick(tokens, False)), one)
 
 
 def extract(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS) -> DataFrame:
     """doc_id, text_hash, base and spans (arrays of structs) of every row of docs (doc_id, text).
 
-    Null and empty texts have no spans; repeated rows give repeated results; an empty table gives no
-    rows. Only spans and tokens are stored and shuffled, never texts. A pattern counts if at least
-    `seeds` different seed tokens stand in it and its score reaches `confidence`.
+    Null and empty texts have no spans; very long ones are read whole; repeated rows give repeated results; an empty table gives no
+    rows. Spans that begin together are listed by kind. Only spans and instances are stored and shuffled, never texts. A pattern counts if at least
+    `seeds` different seeds stand in it and its score reaches `confidence`. Hot patterns and instances are joined in parts.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    d = d.select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(F.array(base_spans(F.col("text"))), lambda b: F.struct(b.alias("base"), _tokens(F.col("text"), b).alias("tokens")))[0].alias("all"))
-    d = stored(d.select("doc_id", "text_hash", F.transform("all.base", lambda s: F.struct(s["start"].alias("start"), s["nth"].alias("nth"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), F.col("all.tokens").alias("tokens")))
-    seen = d.where(F.size("tokens") > 0).select("doc_id", "text_hash", F.explode("tokens").alias("t")).select("doc_id", "text_hash", "t.*")
-    seen = seen.withColumn("pattern", F.explode("patterns")).drop("patterns")
-    edges = stored(seen.groupBy("pattern", "token").agg(F.max("seed").alias("seed")))
+    d = d.select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(F.array(base_spans(F.col("text"))), lambda b: F.struct(b.alias("base"), _instances(F.col("text"), b).alias("instances")))[0].alias("all"))
+    d = stored(d.select("doc_id", "text_hash", F.transform("all.base", lambda s: F.struct(s["start"].alias("start"), s["nth"].alias("nth"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"), F.col("all.instances").alias("instances")))
+    seen = d.select("doc_id", "text_hash", F.explode("instances").alias("t")).select("doc_id", "text_hash", "t.start", "t.end", "t.token", "t.seed", F.explode("t.patterns").alias("pattern"))
+    edges = seen.groupBy("pattern", "token").agg(F.max("seed").alias("seed"))
+    shared = edges.groupBy("pattern").agg(F.max("seed").alias("any"), F.count(F.lit(1)).alias("tokens")).where((F.col("tokens") > 1) & (F.col("any") | (F.lit(rounds) > 1))).select("pattern")
+    edges = stored(salted(stored(edges), shared, "pattern"))
     tokens = edges.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("known"))
     patterns = None
-    for _ in range(rounds):
+    for turn in range(rounds):
         tokens = stored(tokens)
-        patterns = edges.select("pattern", "token").join(tokens, "token").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("rate"), F.sum(F.col("known").cast("int")).alias("seeds"))
+        patterns = salted(edges.select("pattern", "token"), tokens, "token").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("rate"), F.sum(F.col("known").cast("int")).alias("seeds"))
         patterns = stored(patterns)
-        weight = F.log1p(-F.least(F.col("rate"), F.lit(0.999)))
-        tokens = edges.select("pattern", "token").join(patterns, "pattern").groupBy("token").agg((1 - F.exp(F.sum(weight))).alias("score")).join(tokens.select("token", "known"), "token")
-        tokens = tokens.select("token", F.when(F.col("known"), 1.0).otherwise(F.col("score")).alias("score"), "known")
+        if turn < rounds - 1:
+            weight = F.log1p(-F.least(F.col("rate"), F.lit(0.999)))
+            scored = salted(edges.select("pattern", "token"), patterns.where(F.col("rate") > 0), "pattern").groupBy("token").agg((1 - F.exp(F.sum(weight))).alias("found"))
+            tokens = tokens.join(scored, "token", "left").select("token", F.when(F.col("known"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("score"), "known")
     good = patterns.where((F.col("rate") >= confidence) & (F.col("seeds") >= seeds)).select("pattern")
-    more = seen.where(~F.col("seed")).join(good, "pattern")
+    more = salted(seen.where(~F.col("seed")), good, "pattern")
     span = F.struct("start", F.lit(len(KINDS)).alias("nth"), F.lit("context").alias("kind"), "end")
     more = more.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set(span).alias("more"))
     out = d.select("doc_id", "text_hash", "base").join(more, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
@@ -103,6 +116,7 @@ def extract(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENC
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; nulls, empty and long texts, ties and repeated rows as in extract."""
     d = extract(documents(spark, sf_dir))
     counts = [count_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
     return d.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
