@@ -1,8 +1,8 @@
 """Secret scans over a trigram inverted index.
 
 From each rule's regular expression follow the trigrams that any match must hold, as a Boolean
-query: some alternative, all of its trigrams. The index has the documents of each such trigram;
-intersecting its postings gives each rule's candidates, which the expression then verifies.
+query: some alternative, all of its trigrams. One pass over each text extracts its trigrams that any
+rule asks for; these are the index's postings. Intersecting them gives each rule's candidates, which the expression then verifies.
 Rules without mandatory trigrams scan every text. DataFrame and SQL functions alone.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, fresh, stored
 from .spans import count_of, found, listed, masked_text
 
 
@@ -38,6 +38,8 @@ MORE = (
     Rule("private_key", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
+#: Members of a character class that still count as alternatives.
+SMALL = 6
 
 
 def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
@@ -59,6 +61,8 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
                     into = into + walk(inner, into) if high == 1 else [[*a, ""] for a in into]
                 else:
                     into = [[*a, ""] if high > 1 else a for a in walk(inner, into)]
+            elif op is c.IN and len(arg) <= SMALL and all(kind is c.LITERAL for kind, _ in arg):
+                into = [[*a[:-1], a[-1] + chr(x).lower()] for a in into for _, x in arg]
             elif op not in (c.ASSERT, c.ASSERT_NOT, c.AT):
                 into = [[*a, ""] for a in into]
             if len(into) > most:
@@ -69,11 +73,20 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
     return found_ if found_ and all(found_) else None
 
 
+def any_of(grams: list[str]) -> str:
+    """A regular expression that stands before each of the trigrams, overlaps included, by first, second and third character."""
+    tree: dict[str, dict[str, set[str]]] = {}
+    for x, y, z in grams:
+        tree.setdefault(x, {}).setdefault(y, set()).add(z)
+    sign = lambda x: x if x.isalnum() else f"\\x{{{ord(x):x}}}"
+    inner = lambda t: "|".join(f"{sign(y)}[{''.join(map(sign, sorted(z)))}]" for y, z in sorted(t.items()))
+    return "(?=(" + "|".join(f"{sign(x)}(?:{inner(t)})" for x, t in sorted(tree.items())) + "))"
+
+
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """gram, doc_id, text_hash: the documents that hold each of the trigrams, case aside."""
-    wanted = F.array(*[F.lit(g) for g in grams])
-    held = F.transform(F.array(F.lower("text")), lambda t: F.filter(wanted, lambda g: F.contains(t, g)))[0]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(held).alias("gram")).distinct()
+    """gram, doc_id, text_hash: the documents that hold each of the trigrams, case aside; one pass over each text for all of them."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_of(grams)), F.lit(1)))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(held).alias("gram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -82,7 +95,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     table = docs.sparkSession.createDataFrame(clauses, "rule string, alternative int, gram string, need int")
     index = postings(docs, sorted({g for _, _, g, _ in clauses}))
     hits = index.join(F.broadcast(table), "gram")  # a row for each trigram of the rules
-    hits = hits.groupBy("doc_id", "text_hash", "rule", "alternative", "need").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("need"))
+    hits = hits.groupBy("doc_id", "text_hash", "rule", "alternative", "need").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == F.col("need"))
     return hits.groupBy("doc_id", "text_hash").agg(F.collect_set("rule").alias("rules"))
 
 
@@ -97,8 +110,8 @@ def _bare(spans: Column) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, text_hash and spans (array of structs) of every row of docs (doc_id, text).
 
-    Null and empty texts have no spans; repeated rows give repeated results; an empty table gives no
-    rows. Candidates meet their texts in a join that Spark broadcasts or shuffles by its own size limit.
+    Null and empty texts have no spans; very long ones are read whole; repeated rows give repeated results; an empty table gives no
+    rows. Spans that begin together are listed by the rules' order. Candidates meet their texts in a join that Spark broadcasts or shuffles by its own size limit.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nth = {r.kind: i for i, r in enumerate(rules)}
@@ -118,16 +131,26 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """docs with every run of secret spans in text replaced by mark, n_chars following; all rows stay."""
-    spans = scan(docs, rules).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("_spans"))
-    spans = stored(spans.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked_text(F.col("text"), F.col("_spans"), mark))
-    new = {"text": text, "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
-    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    """docs with every run of secret spans in text replaced by mark, n_chars following; all rows stay.
+
+    Null and empty texts stay as they are, very long ones are read whole, repeated rows are each replaced.
+    Columns of any names are kept. Only rows with spans are joined back, by id and text.
+    """
+    own = [fresh(docs, c) for c in ("id_of", "hash_of", "spans_of", "text_of")]
+    spans = scan(docs, rules).where(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
+    spans = stored(spans).toDF(*own[:3])
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(own[0])) & (F.xxhash64(F.col("text").cast("string")) == F.col(own[1])), "left")
+    none = F.col(own[2]).isNull()
+    # a column of its own first: within a lambda, `text` would be the new one beside it
+    joined = joined.withColumn(own[3], F.when(none, F.col("text")).otherwise(masked_text(F.col("text"), F.col(own[2]), mark)))
+    new = {"text": F.col(own[3])}
+    if "n_chars" in (c.lower() for c in docs.columns):
+        new["n_chars"] = F.when(none, F.col("n_chars")).otherwise(F.length(own[3]).cast("long"))
+    return joined.select(*[new[c.lower()].alias(c) if c.lower() in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; nulls, empty and long texts, ties and repeated rows as in scan."""
     d = scan(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["nth"] < len(BASE))
     counts = [count_of(F.col("spans"), r.kind).alias(f"n_{r.kind}") for r in BASE]
