@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, documents, prefix_sums, stored, without
+from .common import WORD, documents, fresh, prefix_sums, stored
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-_OWN = ("size", "source_size", "target", "taken", "_mix_source", "_mix_key", "_mix_id")
+_OWN = ("size", "source_size", "target", "taken")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -50,6 +50,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """docs with size, source_size, target and taken: the words that the mix takes, repeats counted.
 
+    Very long texts are counted whole; an empty table gives no rows.
+
     A document's size is its number of words (null or empty text: 0, never taken). A source takes each
     of its documents floor(target / source_size) times, then in key order up to its exact budget; the
     document at the cut is taken in part. Null sources are one source; null ids share one key. Rows
@@ -57,29 +59,31 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     one of the new names are replaced. The cut of each source is one row, joined back by Spark, so no
     text moves unless the sources are too many to broadcast under Spark's own limit.
     """
-    base = without(docs, *_OWN)
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = base.withColumn("size", size).withColumn("_mix_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    base = base.withColumn("_mix_key", F.md5("_mix_id"))
-    sized = stored(base.groupBy("source", "_mix_key", "_mix_id", "size").agg(F.count(F.lit(1)).alias("rows")))
+    kept = [c for c in docs.columns if c.lower() not in _OWN]
+    place = {c.lower(): i for i, c in enumerate(docs.columns)}
+    base = docs.toDF(*[f"column{i}" for i in range(len(docs.columns))])  # so that no name of theirs is one of those below
+    source, text, doc = (F.col(f"column{place[c]}") for c in ("source", "text", "doc_id"))
+    base = base.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")).withColumn("source", source)
+    base = base.withColumn("id", F.coalesce(doc.cast("string"), F.lit(""))).withColumn("key", F.md5("id"))
+    sized = stored(base.groupBy("source", "key", "id", "size").agg(F.count(F.lit(1)).alias("rows")))
     words = sized.withColumn("words", F.col("size") * F.col("rows"))
     targets = stored(source_targets(words.select("source", F.col("words").alias("size")), weights, share, most))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.select(
-        F.col("source").alias("_mix_source"), "source_size", "target", whole.alias("_whole"),
-        F.floor(F.col("target") - whole * F.col("source_size")).cast("long").alias("_rest"),
+        F.col("source").alias("of"), "source_size", "target", whole.alias("whole"),
+        F.floor(F.col("target") - whole * F.col("source_size")).cast("long").alias("rest"),
     )
-    summed = prefix_sums(words, "source", ["_mix_key", "_mix_id", "size"], "words", "before")
-    cut = summed.join(plan, F.col("source").eqNullSafe(F.col("_mix_source")))
-    cut = cut.where((F.col("before") < F.col("_rest")) & (F.col("_rest") <= F.col("before") + F.col("words")))
-    part = F.floor((F.col("_rest") - F.col("before")) / F.col("rows")).cast("long")
-    cut = cut.select(F.col("_mix_source").alias("_cut_source"), F.struct("_mix_key", "_mix_id", "size").alias("_cut"), part.alias("_part"))
-    plan = stored(plan.join(cut, F.col("_mix_source").eqNullSafe(F.col("_cut_source")), "left").drop("_cut_source"))
-    here = F.struct("_mix_key", "_mix_id", "size")
-    more = F.when(F.col("_cut").isNull(), 0).when(here < F.col("_cut"), F.col("size")).when(here == F.col("_cut"), F.col("_part")).otherwise(0)
-    joined = base.join(plan, F.col("source").eqNullSafe(F.col("_mix_source")), "left")
-    taken = (F.col("_whole") * F.col("size") + more).cast("long")
-    return joined.withColumn("taken", taken).select(*[F.col(f"`{c}`") for c in without(docs, *_OWN).columns], "size", "source_size", "target", "taken")
+    summed = prefix_sums(words, "source", ["key", "id", "size"], "words", "before")
+    cut = summed.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    cut = cut.where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("words")))
+    part = F.floor((F.col("rest") - F.col("before")) / F.col("rows")).cast("long")
+    here = F.struct("key", "id", "size")
+    cut = cut.select(F.col("of").alias("cut_of"), here.alias("cut"), part.alias("part"))
+    plan = stored(plan.join(cut, F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of"))
+    more = F.when(F.col("cut").isNull(), 0).when(here < F.col("cut"), F.col("size")).when(here == F.col("cut"), F.col("part")).otherwise(0)
+    joined = base.join(plan, F.col("source").eqNullSafe(F.col("of")), "left")
+    taken = (F.col("whole") * F.col("size") + more).cast("long").alias("taken")
+    return joined.select(*[F.col(f"column{place[c.lower()]}").alias(c) for c in kept], "size", "source_size", "target", taken)
 
 
 def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
@@ -88,9 +92,10 @@ def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
     Documents of which nothing is taken go; n_chars follows the text.
     """
     m = mix(docs, **options)
+    nth = fresh(m, "nth")
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    m = m.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(F.col("taken") > 0)
-    left = F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size"))
+    m = m.withColumn(nth, F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(F.col("taken") > 0)
+    left = F.least(F.col("size"), F.col("taken") - (F.col(nth) - 1) * F.col("size"))
     head = F.concat(F.lit(r"^(?>(?>[\x20\x09-\x0D]*)[^\x20\x09-\x0D]++){"), left.cast("string"), F.lit("}+"))
     text = F.when(left == F.col("size"), F.col("text")).otherwise(F.regexp_substr("text", head))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
@@ -98,6 +103,7 @@ def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents; nulls, empty and long texts, ties and repeated rows as in mix."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -82,6 +82,23 @@ def test_pii_finds_what_stands_in_a_learned_context(spark):
     assert [s.kind for s in got[99]] == ["context"] and got[100] == []
 
 
+def test_pii_finds_unseen_identifiers_in_a_corpus(spark):
+    """Identifiers of a kind that no base pattern knows, dealt over a corpus among numbers that are none."""
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("doc_id", "text").orderBy("doc_id").collect()
+    rng, rows, hidden = np.random.default_rng(2), [], {}
+    for n, (i, text) in enumerate(sf[:600]):
+        cut = text.find(" ", len(text) // 3) + 1 or len(text)
+        number = int(rng.integers(10**7, 10**8))
+        put = {0: f"Contact ID: agent{n}@mail.example.com (file {n % 9}) ", 1: f"contact id {number}-{n % 10}, (file 3) ", 2: f"order of {number} pieces "}.get(n % 5, "")
+        if n % 5 == 1:
+            start = cut + len("contact id ")
+            hidden[i] = f"context:{start}:"
+        rows.append((i, text[:cut] + put + text[cut:]))
+    got = {r.doc_id: [f"context:{s.start}:" for s in r.spans if s.kind == "context"] for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {(i, s) for i, ss in got.items() for s in ss}
+    assert set(hidden.items()) <= found and len(found) <= 1.05 * len(hidden)
+
+
 def test_secrets(docs, empty):
     p = {
         "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12),
@@ -89,8 +106,32 @@ def test_secrets(docs, empty):
     }
     got = sorted(str((r.doc_id, sorted(tuple(s) for s in r.spans))) for r in secrets.scan(docs).collect())
     assert got == sorted(str((i, spans(p, t))) for i, t, *_ in TEXTS)
-    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
-    assert "AKIA" not in clean[11] and clean[1] == BASE and secrets.scan(empty).count() == 0
+    odd = docs.selectExpr("*", "1 as id_of", "2 as hash_of", "3 as spans_of", "4 as _doc")
+    clean = {r.doc_id: r for r in secrets.redact(odd).collect()}
+    assert secrets.redact(odd).columns == odd.columns and clean[11].id_of == 1 and clean[11].n_chars == len(clean[11].text)
+    assert "AKIA" not in clean[11].text and clean[1].text == BASE and secrets.scan(empty).count() == 0 and secrets.redact(empty).count() == 0
+
+
+def test_every_secret_rule(spark):
+    """Each rule has a text that it alone finds, through its trigrams where it has any, and one that it just misses."""
+    hits = {
+        "assign": "My_Api_Key = 'abcdefghijkl'", "access": "AKIA" + "Z" * 14, "hex": "0123456789abcdef", "github": "ghs_" + "Ab1" * 12, "slack": "xoxp-" + "Q1-" * 7,
+        "google": "AIza" + "x" * 35, "jwt": "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 10, "private_key": "-----BEGIN EC PRIVATE KEY-----",
+    }
+    misses = ["api_key = 'abcdefghijk'", "AKIA" + "Z" * 13, "0123456789abcde", "ghs_" + "Ab1" * 11, "xoxz-" + "Q1-" * 7, "AIza" + "x" * 34, "eyJ" + "a" * 10 + ".eyJ" + "b" * 10, "-----BEGIN PUBLIC KEY-----"]
+    rows = [(i, f"é {t} .") for i, t in enumerate([*hits.values(), *misses])]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (kind, t) in enumerate(hits.items()):
+        start = 2 + (3 if kind == "assign" else 0)
+        assert got[i] == [(kind, start, 2 + len(t.rstrip("'")))]
+    assert all(got[8 + i] == [] for i in range(8))
+    assert [r.kind for r in secrets.RULES if not secrets.trigram_query(r.pattern)] == ["hex"]
+
+
+def test_one_pass_finds_every_wanted_trigram():
+    grams = sorted({g for r in secrets.RULES for alternative in secrets.trigram_query(r.pattern) or [] for g in alternative})
+    text = "".join(grams) + "password" * 2 + "-----begin "
+    assert set(re.findall(secrets.any_of(grams).replace("\\x{", "\\x").replace("}", ""), text)) == {text[i : i + 3] for i in range(len(text))} & set(grams)
 
 
 def test_repeats(docs, empty):
@@ -155,6 +196,8 @@ def test_mixing(docs, empty):
     assert sum(rows[0].target for rows in by.values()) == pytest.approx(min(1.5 * total, 2 * total))
     out = mixing.mixed_rows(docs)
     assert out.columns == [c for c in docs.columns if c != "size"] and mixing.mix(empty).count() == 0
+    odd = docs.selectExpr("*", "1 as _part", "2 as cut", "3 as part", "4 as rest", "5 as whole", "6 as nth", "7 as column0")
+    assert {r.column0 for r in mixing.mixed_rows(odd).collect()} == {7} and mixing.mix(odd).count() == len(m)
     assert sum(len(r.text.split()) for r in out.collect()) == sum(r.taken for r in m)
 
 
@@ -232,6 +275,8 @@ def test_jaccard(docs, empty):
     got = [str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard.near_duplicates(docs).collect()]
     assert sorted(got) == sorted(want) and jaccard.near_duplicates(empty).count() == 0
     left = jaccard.one_of_each(docs)
+    odd = docs.selectExpr("doc_id as Doc_Id", "text", "doc_id as id_of", "1 as hash_of", "2 as root")
+    assert jaccard.one_of_each(odd).columns == odd.columns and jaccard.one_of_each(odd).count() == left.count() and jaccard.one_of_each(empty).count() == 0
     assert left.columns == docs.columns and left.where("doc_id in (2, 3, 8)").count() == 0 and left.where("doc_id = 1").count() == 1
 
 
@@ -275,6 +320,31 @@ def test_language_of_varieties_and_of_mislabelled_rows(spark):
     assert np.bincount(language.fit(language.training_rows(sf)).of).tolist() == [3, 3, 3, 3]
 
 
+def test_equal_blocks_of_all_near_sets():
+    """Whatever the sizes, sets that link share a key: also where a set has fewer blocks than the bound asks for."""
+    rng, least = np.random.default_rng(9), jaccard.LEAST_BLOCKS
+    try:
+        for jaccard.LEAST_BLOCKS in (least, 1):  # with few blocks, many sets have too few
+            for n in [*range(1, 40), 60, 100, 181, 182, 250, 300, 700, 2000]:
+                for _ in range(6):
+                    a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+                    gone, new = int(rng.integers(0, n // 5 + 1)), int(rng.integers(0, n // 4 + 1))
+                    b = np.concatenate([a[gone:], rng.integers(0, 1 << 62, new).astype(np.uint64)])
+                    common = np.sort(a[:: int(rng.integers(1, 4))])[:50]
+                    if len(b) and 100 * (n - gone) >= 80 * (n + new):
+                        x, y = (set(jaccard.block_keys(np.unique(z), common).tolist()) for z in (a, b))
+                        assert x & y
+    finally:
+        jaccard.LEAST_BLOCKS = least
+
+
+def test_one_of_each_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text + " x"), (7, text), (7, text + " y"), (7, text + " y"), (None, "alone is this one row"), (None, None), (3, "")]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.doc_id == 7 for r in got) == 1 and len(got) == 4 and sum(r.doc_id is None for r in got) == 2
+
+
 def test_jaccard_of_long_documents(spark):
     """Sets beyond 512 shingles, where wide sketches of equal and of doubled length meet, at and about the bound."""
     rng = np.random.default_rng(5)
