@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -11,17 +12,28 @@ from pyspark.sql.types import StringType
 
 # Characters and patterns that decide results.
 INVISIBLE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\p{Cf}\p{Cs}\p{Co}\p{Cn}]"
-CITATION = r"[A-Za-z0-9_]+_c\d{4}"
+CHUNK_ID = r"[A-Za-z0-9_]+_c[0-9]{4}"
 SENTENCE_END = r"[。！？\n]"
 TERM = r"[A-Za-z0-9_]+"
+CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}"
 CONTACTS = (
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    r"(https?://|www\.)[A-Za-z0-9]",
-    r"\+?[0-9][0-9 ()-]{8,}[0-9]",
-    r"(热线|hotline|Hotline)",
-    r"(地址|Address:|address:)",
+    r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+",
+    r"(?iuU)(?:https?://|www\.)[\w./?=&#\-]+",
+    r"(?U)(?:\+\d{1,3}[- ]?)?\d{3,4}(?:[- ]\d{3,4})+",
+    r"热线",
+    r"(?iu)(straße|strasse|street|road|地址|邮编|postal|Dortmund|Germany|Deutschland|GmbH|有限公司|集团|股份)",
 )
-REFUSAL_MARKS = ("未找到", "没有找到", "无法回答", "not found in the manuals")
+REFUSAL_MARKS = ("检索内容不足", "知识库无相关内容", "无法回答", "未能找到相关")
+REFUSAL_WIDTH = 40
+TRANSITIONS = ("以下是相关信息", "以下是检索到的", "相关内容如下", "回答如下")
+TRANSITION_WIDTH, SENTENCE_LEAST = 25, 10
+EDGE_MARKS, TEXT_EDGE = "*#>-·• \t", " -*·•|"
+# How a citation may be written: a label, ids with or without brackets, the whole in brackets or not.
+LABEL = r"(?:引用\s*的?\s*)?(?:chunk[ _-]?id\s*[:：]?\s*)?"
+ONE_CITED = rf"[\[【]?\s*{CHUNK_ID}\s*[\]】]?"
+SOME_CITED = rf"{ONE_CITED}(?:\s*[,，、;；]?\s*{ONE_CITED})*"
+CITATION = rf"(?:[（(]\s*{LABEL}{SOME_CITED}\s*[)）]|{LABEL}{SOME_CITED})"
+SPACE = r"(?U)\s+"
 
 
 def blank(c: Column) -> Column:
@@ -52,43 +64,156 @@ def preview(c: Column, width: int = 100) -> Column:
     return F.when(F.length(flat) > width, F.concat(F.substring(flat, 1, width), F.lit("…"))).otherwise(flat)
 
 
+@F.pandas_udf(StringType())
+def unescaped(s: pd.Series) -> pd.Series:
+    """Every named and numbered entity as its character."""
+    return s.map(html.unescape, na_action="ignore")
+
+
 def without_tags(c: Column) -> Column:
-    """Tags go, the five common entities are read."""
-    out = F.regexp_replace(c, "<[^>]+>", "")
-    for mark, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(mark), F.lit(sign))
-    return out
+    """Tags go, entities are read."""
+    return unescaped(F.regexp_replace(c, "<[^>]+>", ""))
+
+
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def citations(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(CITATION), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(CHUNK_ID), F.lit(0)))
 
 
 def without_citations(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\s*[\[【(（]?{CITATION}[\]】)）]?", "")
+    """Citations go with their labels and brackets."""
+    return F.regexp_replace(c, f"(?iU){CITATION}", "")
 
 
 def citations_before_stop(c: Column) -> Column:
-    """A bracketed citation after the stop moves in front of it, so that the splitter keeps them together."""
-    return F.regexp_replace(c, rf"([。！？.!?])\s*((?:\[{CITATION}\])+)", "$2$1")
+    """Citations in square brackets after a stop move in front of it, so that the splitter keeps them together."""
+    return F.regexp_replace(c, rf"(?U)([。！？\n])\s*(\[{CHUNK_ID}\](?:\s*\[{CHUNK_ID}\])*)", "$2$1")
+
+
+def any_citations_before_stop(c: Column) -> Column:
+    """Citations after a stop, however written, move in front of it behind a space, which keeps bare ids from joining the word."""
+    return F.regexp_replace(c, rf"(?iU)([。！？])\s*({CITATION})", " $2$1")
 
 
 def sentences(c: Column, least: int = 1) -> Column:
-    parts = F.transform(F.split(c, SENTENCE_END), F.trim)
+    parts = F.transform(F.split(c, SENTENCE_END), stripped)
     return F.filter(parts, lambda s: F.length(s) >= least)
 
 
 def uncited_sentences(c: Column, longer: int = 15) -> Column:
-    return F.filter(sentences(c, 6), lambda s: (F.length(s) > longer) & ~s.rlike(CITATION))
+    return F.filter(sentences(c, 6), lambda s: (F.length(s) > longer) & ~s.rlike(CHUNK_ID))
+
+
+def substantive_sentences(c: Column) -> Column:
+    """array<struct<text, cited>> of the sentences that say something: not short, not ending in a colon, no mere transition.
+
+    Marks of lists and emphasis at the ends don't count; a citation after the stop belongs to its sentence.
+    """
+    bare = F.transform(F.split(any_citations_before_stop(c), SENTENCE_END), lambda s: F.btrim(stripped(s), F.lit(EDGE_MARKS)))
+    mere = lambda s: (F.length(s) <= TRANSITION_WIDTH) & F.exists(F.array(*[F.lit(t) for t in TRANSITIONS]), lambda t: F.contains(s, t))
+    kept = F.filter(bare, lambda s: (F.length(s) >= SENTENCE_LEAST) & ~s.rlike("[：:]$") & ~mere(s))
+    told = F.transform(kept, lambda s: F.struct(F.btrim(without_citations(s), F.lit(TEXT_EDGE)).alias("text"), citations(s).alias("cited")))
+    return F.filter(told, lambda s: F.length(s["text"]) >= 2)
+
+
+def _marked(c: Column) -> Column:
+    return F.exists(F.array(*[F.lit(m) for m in REFUSAL_MARKS]), lambda m: F.contains(c, m))
 
 
 def is_refusal(c: Column) -> Column:
-    """A refusal mark and no citation."""
-    return F.exists(F.array(*[F.lit(m) for m in REFUSAL_MARKS]), lambda m: F.contains(c, m)) & ~c.rlike(CITATION)
+    """A refusal mark, white space and citations aside, and no citation."""
+    return _marked(F.regexp_replace(without_citations(c), SPACE, "")) & ~c.rlike(CHUNK_ID)
+
+
+def is_short_refusal(c: Column) -> Column:
+    """The older form: a refusal mark in a text of at most 40 characters without white space."""
+    bare = F.regexp_replace(c, SPACE, "")
+    return (F.length(bare) <= REFUSAL_WIDTH) & _marked(bare)
+
+
+def refusal_cleaned(c: Column, lead: str = REFUSAL_MARKS[0]) -> Column:
+    """An answer that begins, marks aside, with the refusal's lead loses its citations."""
+    begins = F.startswith(F.ltrim(c, F.lit(EDGE_MARKS + "\n")), F.lit(lead))
+    return F.when(begins, F.regexp_replace(c, rf"(?iU)\s*{CITATION}", "")).otherwise(c)
+
+
+def suspicious_sentences(c: Column, reference: Column, share: float = 0.15) -> Column:
+    """Sentences of which less than `share` of the distinct CJK bigrams stand in the reference; those of under 8 characters, 4 CJK ones, numbers alone or ending in a colon aren't judged."""
+
+    def pairs(s: Column) -> Column:
+        chars = F.regexp_extract_all(s, F.lit(r"[\x{4E00}-\x{9FFF}]"), F.lit(0))
+        shifted = F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0)))
+        return F.array_distinct(F.zip_with(F.slice(chars, 1, F.size(shifted)), shifted, lambda x, y: F.concat(x, y)))
+
+    judged = F.filter(sentences(citations_before_stop(c), 8), lambda s: ~s.rlike("[：:]$") & ~s.rlike(r"^[0-9\s.+-]+$"))
+    rated = F.transform(judged, lambda s: F.struct(s.alias("s"), pairs(s).alias("p")))
+    rated = F.filter(rated, lambda r: F.size(F.regexp_extract_all(r["s"], F.lit(r"[\x{4E00}-\x{9FFF}]"), F.lit(0))) >= 4)
+    return F.transform(F.filter(rated, lambda r: F.size(F.filter(r["p"], lambda x: F.contains(reference, x))) / F.size(r["p"]) < share), lambda r: r["s"])
+
+
+def verified(answer: Column, retrieved: Column, reference: Column) -> Column:
+    """struct<checked, sentences, suspicious, cited, fabricated, uncited>; an empty answer or no evidence is not checked."""
+    moved = citations_before_stop(answer)
+    open_ = (F.coalesce(answer, F.lit("")) != "") & (F.coalesce(F.size(retrieved), F.lit(0)) > 0)
+    none = F.array().cast("array<string>")
+    only = lambda x: F.when(open_, x).otherwise(none)
+    return F.struct(
+        F.coalesce(open_, F.lit(False)).alias("checked"), F.when(open_, F.size(sentences(moved, 6))).otherwise(0).alias("sentences"), only(suspicious_sentences(answer, reference)).alias("suspicious"),
+        only(citations(moved)).alias("cited"), only(F.array_except(citations(moved), retrieved)).alias("fabricated"), only(uncited_sentences(moved)).alias("uncited"),
+    )
+
+
+def keywords(c: Column) -> Column:
+    """Parts between white space, commas and semicolons of either script."""
+    return F.filter(F.split(c, r"(?U)[\s,，、;；]+"), lambda k: k != "")
+
+
+def question_cleaned(c: Column) -> Column:
+    """Without quotation marks and white space around it."""
+    return F.btrim(stripped(c), F.lit("\"'“”「」 "))
+
+
+def report_cell(c: Column, width: int = 60) -> Column:
+    """For a table cell of a report: line breaks as spaces, bars escaped, control characters as ·, cut."""
+    flat = F.replace(F.translate(F.coalesce(c, F.lit("")), "\n\r", "  "), F.lit("|"), F.lit("\\|"))
+    return F.substring(stripped(F.regexp_replace(flat, r"[\x00-\x1F]", "·")), 1, width)
+
+
+def signed(c: Column) -> Column:
+    """Three decimals with the sign."""
+    return F.format_string("%+.3f", c)
+
+
+def linked_citations(c: Column) -> Column:
+    """Citations as links, one for each id; an unfinished one at the end goes."""
+    ended = F.regexp_replace(c, rf"(?i)(?:[（(]\s*)?(?:(?:引用\s*的?\s*)?chunk[ _-]?id\s*[:：]?\s*[\[【]?|[\[【])\s*(?!{CHUNK_ID}$)[A-Za-z0-9_]*$", "")
+    bare = F.regexp_replace(ended, rf"(?i)(?:[（(][ \t]*{LABEL}(?=[\[【 \t]*{CHUNK_ID})|引用[ \t]*的?[ \t]*)?(?:chunk[ _-]?id[ \t]*[:：]?[ \t]*)?[\[【]?[ \t]*({CHUNK_ID})[ \t]*[\]】]?(?:[ \t]*[,，、;；](?=[ \t\[【]*{CHUNK_ID}))?[ \t]*[)）]?", "[cite](#cite-$1)")
+    return bare
+
+
+def page_label(first: Column, last: Column) -> Column:
+    """Pages from 1; null without pages."""
+    return F.when(first == last, F.concat(F.lit("第 "), first, F.lit(" 页"))).otherwise(F.concat(F.lit("第 "), first, F.lit("–"), last, F.lit(" 页")))
+
+
+def duration_label(ms: Column) -> Column:
+    return F.when(ms >= 1000, F.concat(F.format_string("%.1f", ms / 1000), F.lit(" 秒"))).otherwise(F.concat(F.format_string("%.0f", ms.cast("double")), F.lit(" 毫秒")))
+
+
+def digit_share(c: Column) -> Column:
+    return F.when(F.length(c) > 0, F.regexp_count(c, F.lit(r"\p{Nd}")) / F.length(c)).otherwise(0.0)
+
+
+def cjk_share(c: Column) -> Column:
+    return F.when(F.length(c) > 0, F.regexp_count(c, F.lit(r"[\x{4E00}-\x{9FFF}]")) / F.length(c)).otherwise(0.0)
 
 
 def loose(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "[^0-9a-z一-鿿]", "")
+    return F.regexp_replace(match_text(c), "[^0-9a-z一-鿿]", "")
 
 
 def grams(c: Column, n: int) -> Column:
@@ -109,7 +234,7 @@ def contact_classes(c: Column) -> Column:
 
 def only_symbols(c: Column) -> Column:
     """After punctuation and white space go, no CJK and no ASCII or full-width letter or digit is left."""
-    return ~F.regexp_replace(c, r"[\p{P}\s]", "").rlike("[0-9A-Za-z一-鿿０-９Ａ-Ｚａ-ｚ]")
+    return ~F.regexp_replace(c, r"(?U)[\p{P}\s]", "").rlike(rf"[0-9A-Za-z{CJK}\x{{FF10}}-\x{{FF5A}}]")
 
 
 def injection_guard(c: Column, tag: str = "manual_text") -> Column:
@@ -125,9 +250,9 @@ def nfkc(s: pd.Series) -> pd.Series:
 def match_text(c: Column) -> Column:
     """For matching quotes: NFKC, no backslashes or tags, no white space but one space between digits, lower case, one dash."""
     out = F.regexp_replace(nfkc(c), r"\\", "")
-    out = F.regexp_replace(out, r"</?[A-Za-z][^>]*>", "")
-    out = F.regexp_replace(out, r"(?<=[0-9])\s+(?=[0-9])", "\u0000")
-    out = F.replace(F.regexp_replace(out, r"\s+", ""), F.lit("\u0000"), F.lit(" "))
+    out = F.regexp_replace(out, r"<[^>]+>", "")
+    out = F.regexp_replace(out, r"(?U)(?<=[\d.])\s+(?=[\d.])", "\u0000")
+    out = F.replace(F.regexp_replace(out, SPACE, ""), F.lit("\u0000"), F.lit(" "))
     return F.regexp_replace(F.lower(out), "[‐‑‒–—―−]", "-")
 
 

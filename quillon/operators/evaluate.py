@@ -27,14 +27,144 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return s.select("n", F.round(po, 6).alias("agreement"), F.when(pe < 1, F.round((po - pe) / (1 - pe), 6)).alias("kappa"))
 
 
-def alternating_split(rows: DataFrame, stratum: str, key: str) -> DataFrame:
-    """rows with split: dev, test, dev ... within each stratum in the order of sha1(key)."""
-    w = Window.partitionBy(stratum).orderBy(F.sha1(F.col(key).cast("string")), key)
-    return rows.withColumn("split", F.when(F.row_number().over(w) % 2 == 1, "dev").otherwise("test"))
+def confusion(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b, n: the pairs of two labels; kappa of any labels follows from it."""
+    return rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def kappa_of(pairs: DataFrame) -> DataFrame:
+    """n, agreement and kappa of a confusion table; null without pairs, and where chance agreement is 1."""
+    total = pairs.agg(F.sum("n").cast("double").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))).cast("double").alias("same"))
+    side = lambda c: pairs.groupBy(F.col(c).alias("label")).agg(F.sum("n").cast("double").alias(f"n{c}"))
+    chance = side("a").join(side("b"), "label").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0.0)).alias("both"))
+    po, pe = F.coalesce("same", F.lit(0.0)) / F.col("n"), F.col("both") / (F.col("n") * F.col("n"))
+    return total.crossJoin(F.broadcast(chance)).select(F.col("n").cast("long").alias("n"), F.round(po, 6).alias("agreement"), F.when(pe < 1, F.round((po - pe) / (1 - pe), 6)).alias("kappa"))  # one row
 
 
-def quota_sample(rows: DataFrame, stratum: str, key: str, total: int, preferred: Column) -> DataFrame:
-    """Largest-remainder quotas by stratum; preferred rows first, then by sha1(key). Ties of remainders go to the smaller stratum."""
+def alternating_split(rows: DataFrame, stratum: str, key: str, existing: DataFrame | None = None) -> DataFrame:
+    """rows with split: dev, test, dev ... within each stratum in the order of sha1(key).
+
+    Keys that `existing` (key, split) holds keep theirs; new ones first make up for the side that has fewer of their stratum.
+    """
+    if existing is None:
+        w = Window.partitionBy(stratum).orderBy(F.sha1(F.col(key).cast("string")), key)
+        return rows.withColumn("split", F.when(F.row_number().over(w) % 2 == 1, "dev").otherwise("test"))
+    d = rows.join(existing.select(key, F.col("split").alias("_old")), key, "left")
+    have = d.groupBy(F.col(stratum).alias("_of")).agg((F.count_if(F.col("_old") == "dev") - F.count_if(F.col("_old") == "test")).alias("_lead"))
+    w = Window.partitionBy(stratum, F.col("_old").isNull()).orderBy(F.sha1(F.col(key).cast("string")), key)
+    d = d.join(have, F.col(stratum).eqNullSafe(F.col("_of"))).drop("_of").withColumn("_k", F.row_number().over(w))
+    lead = F.abs("_lead")
+    short = F.when(F.col("_lead") > 0, "test").otherwise("dev")
+    new = F.when(F.col("_k") <= lead, short).when((F.col("_k") - lead) % 2 == 1, "dev").otherwise("test")
+    return d.withColumn("split", F.coalesce("_old", new)).drop("_old", "_lead", "_k")
+
+
+def split_table(rows: DataFrame, by: str) -> DataFrame:
+    """by, dev, test, total with a row for all (by null)."""
+    of = lambda s: F.count_if(F.col("split") == s)
+    return rows.rollup(by).agg(of("dev").alias("dev"), of("test").alias("test"), F.count(F.lit(1)).alias("total"))
+
+
+def strays(split: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Split entries that have no item."""
+    return split.join(items.select(key), key, "left_anti")
+
+
+def calibration_sample(rows: DataFrame, key: str, flagged: Column, overlap: str, total: int) -> DataFrame:
+    """All flagged rows; of the others half of what is left of `total` by least overlap, the rest by sha1(key)."""
+    marked = rows.withColumn("_f", F.coalesce(flagged, F.lit(False)))
+    must, rest = marked.where("_f"), marked.where(~F.col("_f"))
+    left = must.agg(F.greatest(F.lit(total) - F.count(F.lit(1)), F.lit(0)).alias("_left"))
+    low = rest.orderBy(F.col(overlap).asc_nulls_last(), key).limit(total // 2)
+    low = low.withColumn("_n", F.row_number().over(Window.orderBy(F.col(overlap).asc_nulls_last(), key))).crossJoin(F.broadcast(left)).where(F.col("_n") <= F.floor(F.col("_left") / 2)).drop("_n", "_left")  # at most total / 2 rows
+    other = rest.join(low.select(key), key, "left_anti").orderBy(F.sha1(F.col(key).cast("string")), key).limit(total)
+    other = other.withColumn("_n", F.row_number().over(Window.orderBy(F.sha1(F.col(key).cast("string")), key))).crossJoin(F.broadcast(left)).where(F.col("_n") <= F.ceil(F.col("_left") / 2)).drop("_n", "_left")  # at most total rows
+    tagged = lambda d, why: d.drop("_f").withColumn("why", F.lit(why))
+    return tagged(must, "flagged").unionByName(tagged(low, "low_overlap")).unionByName(tagged(other, "random"))
+
+
+def rates(rows: DataFrame, by: list[str], hit: Column) -> DataFrame:
+    """by, k, n, rate: how often a probe was noticed."""
+    return rows.groupBy(*by).agg(F.count_if(hit).alias("k"), F.count(F.lit(1)).alias("n")).withColumn("rate", F.round(F.col("k") / F.col("n"), 6))
+
+
+def attack_table(rows: DataFrame, attack: str, guard: str, success: str) -> DataFrame:
+    """attack, off, on, n: successes with the guard off and on."""
+    hit = lambda g: F.count_if(F.col(success) & (F.col(guard) == g))
+    return rows.groupBy(attack).agg(hit(False).alias("off"), hit(True).alias("on"), F.count(F.lit(1)).alias("n"))
+
+
+def fingerprint(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """rows, fingerprint: 16 hexadecimal digits that change with any id or text, whatever the order or partitions; nothing is collected."""
+    one = F.conv(F.substring(F.sha1(F.concat_ws("\x1f", F.col(key).cast("string"), F.coalesce(F.col(text), F.lit("")))), 1, 14), 16, 10).cast("decimal(20,0)")
+    s = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(one), F.lit(0)).alias("_s"))
+    return s.select("rows", F.substring(F.sha1(F.concat_ws(":", F.col("rows").cast("string"), F.col("_s").cast("decimal(38,0)").cast("string"))), 1, 16).alias("fingerprint"))
+
+
+def flattened(rows: DataFrame, json: str) -> DataFrame:
+    """path, value of every leaf of a JSON object column (maps within maps, to four levels; other values as text)."""
+    at = rows.select(F.lit("").alias("path"), F.col(json).alias("value"))
+    done = None
+    for _ in range(4):
+        is_map = F.coalesce(F.col("value").rlike(r"^\s*\{"), F.lit(False))
+        leaf = at.where(~is_map)
+        done = leaf if done is None else done.unionByName(leaf)
+        inner = at.where(is_map).select("path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value"))
+        at = inner.select(F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), "value")
+    return done.unionByName(at)
+
+
+def json_diff(old: DataFrame, new: DataFrame, json: str) -> DataFrame:
+    """path, old, new of every leaf that differs between two JSON objects; `missing` says on which side there is none."""
+    a, b = flattened(old, json).withColumn("_a", F.lit(True)), flattened(new, json).withColumn("_b", F.lit(True))
+    both = a.withColumnRenamed("value", "old").join(b.withColumnRenamed("value", "new"), "path", "full_outer")
+    missing = F.when(F.col("_a").isNull(), "old").when(F.col("_b").isNull(), "new")
+    return both.withColumn("missing", missing).where(F.col("missing").isNotNull() | ~F.col("old").eqNullSafe(F.col("new"))).select("path", "old", "new", "missing")
+
+
+def line_diff(a: DataFrame, b: DataFrame, text: str) -> DataFrame:
+    """side, line: the lines that only one of two texts has, for checks that prompts differ where they should."""
+    lines = lambda d: d.select(F.explode(F.split(text, "\n")).alias("line"))
+    only = lambda x, y, name: lines(x).exceptAll(lines(y)).select(F.lit(name).alias("side"), "line")
+    return only(a, b, "first").union(only(b, a, "second"))
+
+
+def resumed(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Items that have no answer yet: what a run that was broken off still has to do."""
+    return items.join(done.select(key).distinct(), key, "left_anti")
+
+
+def ordered_gate(a: DataFrame, b: DataFrame, position: str, key: str) -> DataFrame:
+    """position, first, second: places at which two ordered lists differ."""
+    both = a.select(position, F.col(key).alias("first")).join(b.select(position, F.col(key).alias("second")), position, "full_outer")
+    return both.where(~F.col("first").eqNullSafe(F.col("second")))
+
+
+def difficulty(chunk_type: Column, text: Column, neighbours: Column) -> Column:
+    """hard: a table of over 30 % digits; medium: there are neighbours; easy."""
+    from quillon.functions.text import digit_share
+
+    return F.when((chunk_type == "table") & (digit_share(text) > 0.3), "hard").when(F.size(neighbours) > 0, "medium").otherwise("easy")
+
+
+def overridden(rows: DataFrame, key: str, dropped: DataFrame, changes: DataFrame, value: str) -> DataFrame:
+    """rows without the dropped keys, `value` replaced where changes (key, value) has one."""
+    kept = rows.join(F.broadcast(dropped.select(key)), key, "left_anti")  # hand-made lists
+    return kept.join(F.broadcast(changes.select(key, F.col(value).alias("_new"))), key, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
+
+
+def compared_runs(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, a, b, delta and points (delta of a share, in hundredths, with sign) for the keys that both runs have."""
+    both = a.select(*keys, F.col(value).alias("a")).join(b.select(*keys, F.col(value).alias("b")), keys)
+    both = both.withColumn("delta", F.round(F.col("b") - F.col("a"), 6))
+    return both.withColumn("points", F.format_string("%+.1f", 100 * F.col("delta")))
+
+
+def quota_sample(rows: DataFrame, stratum: str, key: str, total: int, preferred: Column, covered: str | None = None) -> DataFrame:
+    """Largest-remainder quotas by stratum; preferred rows first, then by sha1(key). Ties of remainders go to the smaller stratum.
+
+    With `covered`, the first row of each of its values comes before all others of the stratum, as long as the quota lasts.
+    """
     counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("c"))
     n = counts.agg(F.sum("c").alias("all"))
     exact = F.lit(total) * F.col("c") / F.col("all")
@@ -42,6 +172,11 @@ def quota_sample(rows: DataFrame, stratum: str, key: str, total: int, preferred:
     short = q.agg((F.lit(total) - F.sum("base")).alias("short"))
     q = q.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("left"), stratum))).crossJoin(F.broadcast(short))  # a row for each stratum
     q = q.select(stratum, (F.col("base") + (F.col("nth") <= F.col("short")).cast("int")).alias("quota"))
+    if covered:
+        first = Window.partitionBy(stratum, covered).orderBy(F.desc(F.coalesce(preferred, F.lit(False)).cast("int")), F.sha1(F.col(key).cast("string")), key)
+        rows = rows.withColumn("_first", (F.row_number().over(first) == 1).cast("int"))
+        order = Window.partitionBy(stratum).orderBy(F.desc("_first"), F.desc(F.coalesce(preferred, F.lit(False)).cast("int")), F.sha1(F.col(key).cast("string")), key)
+        return rows.withColumn("nth", F.row_number().over(order)).join(q, stratum).where(F.col("nth") <= F.col("quota")).drop("quota", "_first")
     order = Window.partitionBy(stratum).orderBy(F.desc(F.coalesce(preferred, F.lit(False)).cast("int")), F.sha1(F.col(key).cast("string")), key)
     return rows.withColumn("nth", F.row_number().over(order)).join(q, stratum).where(F.col("nth") <= F.col("quota")).drop("quota")
 

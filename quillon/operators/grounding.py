@@ -44,6 +44,7 @@ def _either(spellings: set[str]) -> str:
     return "|".join(re.escape(s) + ("(?![A-Za-z])" if s[-1].isascii() and s[-1].isalpha() else "") for s in sorted(spellings, key=lambda s: (-len(s), s)))
 
 
+# A number alone, and what joins a range.
 NUMBER = r"(?<![0-9.])[0-9]+(?:\.[0-9]+)?(?![0-9]|\.[0-9])"
 TO = r"\s*[~–—至到-]\s*"
 QUANTITY = rf"(?i){NUMBER}(?: ?(?:{_either(set(IDENTITY) - NOT_AFTER_NUMBER)}))?(?:{TO}(?=[0-9]))?"
@@ -54,6 +55,11 @@ def _identity(unit: Column) -> Column:
     return F.try_element_at(F.from_json(F.lit(json.dumps(IDENTITY)), "map<string,string>"), unit_key(unit))
 
 
+def identity_of(unit: Column) -> Column:
+    """The identity of a unit's spelling; null if it isn't known."""
+    return _identity(unit)
+
+
 def _dimension(identity: Column) -> Column:
     return F.substring_index(identity, ":", 1)
 
@@ -67,6 +73,7 @@ def folded(c: Column) -> Column:
 def plain(c: Column, join_decimals: bool = False) -> Column:
     """Text for reading quantities: no formula marks, thousands commas or spaces within units; `2. 5` as 2.5 on demand."""
     out = folded(c)
+    # fixed values: marks of formulas and what they stand for
     for pattern, by in (
         (r"\^?\{?\\(?:circ|degree)\}?", "°"), (r"\\cdot", "·"), (r"\\times", "×"), (r"\\(?:mathrm|text|textrm|operatorname|mathbf|mbox|rm)\s*", ""),
         (r"\\[,!]", ""), (r"[${}\\]", ""), (r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", ""),
@@ -116,6 +123,13 @@ def mentioned_units(c: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(free, bound), lambda u: u["id"].isNotNull()))
 
 
+def rounds_evenly(num: Column, value: Column, exact: Column) -> Column:
+    """Whether rounding exact, halves to the even digit, to the decimals of num gives value; the form for answers' numbers."""
+    places = F.length(F.regexp_extract(num, r"\.([0-9]+)$", 1))
+    scale = F.pow(F.lit(10.0), places)
+    return F.abs(F.rint(exact * scale) / scale - value) < F.lit(1e-9)
+
+
 def rounds_to(num: Column, value: Column, exact: Column) -> Column:
     """Whether value, written as num, is exact rounded to as many decimals."""
     places = F.length(F.regexp_extract(num, r"\.([0-9]+)$", 1))
@@ -134,7 +148,7 @@ def _supports(q: Column, s: Column) -> Column:
     """True: the source bears the quantity out; false: it has the number with another unit; null: it says nothing."""
     value, dim = F.round(q["value"], 6), _dimension(q["id"])
     equal = lambda c: F.abs(c["value"] - q["value"]) < 1e-9
-    computed = F.exists(s["found"], lambda c: (equal(c) | rounds_to(q["num"], q["value"], c["value"])) & F.coalesce(c["id"] == q["id"], F.lit(True)))
+    computed = F.exists(s["found"], lambda c: (equal(c) | rounds_evenly(q["num"], q["value"], c["value"])) & F.coalesce(c["id"] == q["id"], F.lit(True)))
     alike = F.filter(s["found"], lambda c: equal(c) & F.coalesce(_dimension(c["id"]) == dim, F.lit(False)))
     row_units = F.flatten(F.transform(F.filter(s["rows"], lambda r: F.array_contains(r["numbers"], value)), lambda r: r["units"]))
     pieces = F.split(unit_key(q["unit"]), r"[·/.\-]")
@@ -181,6 +195,11 @@ def untraced(answer: Column, pool: Column) -> Column:
     return F.filter(nums, lambda n: ~(F.array_contains(pool, F.round(n.cast("double"), 6)) | rounded(n)))
 
 
+def answer_numbers(answer: Column) -> Column:
+    """The distinct numbers of an answer as written, without citations and list marks."""
+    return F.array_distinct(F.regexp_extract_all(plain(F.regexp_replace(without_citations(F.coalesce(answer, F.lit(""))), LIST_MARK, "")), F.lit(NUMBER), F.lit(0)))
+
+
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow}
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions.text import blank, char_len, contact_classes, only_symbols, strip_invisible
+from quillon.functions.text import blank, char_len, contact_classes, only_symbols, strip_invisible, stripped
 
 TOC_DOTS, SHORT, LONG, GARBAGE = 20, 10, 2000, 0.3
 BUCKETS = ((0, 10), (10, 50), (50, 100), (100, 200), (200, 500), (500, 2001))
@@ -47,21 +47,79 @@ def running_heads(rows: DataFrame, doc: str, page: str, text: str, share: float
 
 
 def clean(rows: DataFrame) -> DataFrame:
-    """rows (text, table_html, img_path) with clean_text and rule, the first that fires: empty, blank, toc, symbols, strip, short or keep."""
+    """rows (type, text, table_html, img_path) with clean_text and rule, the first that fires.
+
+    Nothing at all, blank once invisible characters are gone, a table of contents, symbols alone, a table
+    without a body: dropped. What stays is marked if characters went or if it is short. Rules after the second see the text without invisible characters.
+    """
+    has = lambda c: ~blank(F.col(c))
     text = strip_invisible(F.col("text"))
-    dots = F.length(F.col("text")) - F.length(F.regexp_replace("text", r"[.…]", ""))
+    changed = has("text") & (text != F.col("text"))
+    dots = F.regexp_count(text, F.lit("[.…]"))
     rule = (
-        F.when(blank(F.col("text")) & blank(F.col("table_html")) & blank(F.col("img_path")), "drop_empty")
-        .when(~blank(F.col("text")) & (F.trim(text) == ""), "drop_blank")
-        .when(F.coalesce(dots, F.lit(0)) >= TOC_DOTS, "drop_toc")
-        .when(~blank(F.col("text")) & only_symbols(text), "drop_symbols")
-        .when(~blank(F.col("text")) & (F.length(F.trim(text)) < SHORT), "keep_short")
-        .when(text != F.col("text"), "strip_control_chars")
+        F.when(~has("text") & ~has("table_html") & ~has("img_path"), "drop_empty")
+        .when(changed & (stripped(text) == ""), "drop_control_chars")
+        .when(has("text") & (dots >= TOC_DOTS), "drop_toc")
+        .when(has("text") & only_symbols(text), "drop_pure_symbol")
+        .when((F.col("type") == "table") & ~has("table_html") & ~has("img_path"), "drop_empty_table")
+        .when(changed, "strip_control_chars")
+        .when(has("text") & (F.length(text) < SHORT), "keep_short")
         .otherwise("keep")
     )
     return rows.withColumn("rule", rule).withColumn("clean_text", text)
 
 
+#: What a text may hold without being garbage: white space, and these ranges (fixed values).
+READABLE = r"\x{20}-\x{7E}\x{A0}-\x{FF}\x{2000}-\x{206F}\x{2100}-\x{214F}\x{2200}-\x{22FF}\x{2500}-\x{257F}\x{3000}-\x{303F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{FF00}-\x{FFEF}"
+
+
+def garbage_share(c: Column) -> Column:
+    return F.when(F.length(c) > 0, F.regexp_count(c, F.lit(rf"(?U)[^\s{READABLE}]")) / F.length(c)).otherwise(0.0)
+
+
+def anomalies(blocks_: DataFrame) -> DataFrame:
+    """A row for each block and class (empty, short, long, toc, garbage) that it is in; a block may be in several."""
+    text, has = F.col("text"), ~blank(F.col("text"))
+    flags = {
+        "empty": ~has & blank(F.col("table_html")) & blank(F.col("img_path")), "short": has & (F.col("char_len") < SHORT), "long": F.col("char_len") > LONG,
+        "toc": has & (F.regexp_count(text, F.lit("[.…]")) >= TOC_DOTS), "garbage": has & (garbage_share(text) > GARBAGE),
+    }
+    classes = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in flags.items()]))
+    return blocks_.withColumn("class", F.explode(classes))
+
+
+def shortlist(rows: DataFrame, by: str, order: list[str], most: int = 10) -> DataFrame:
+    """The first `most` rows of each group, with how many there are and how many are left out."""
+    w = Window.partitionBy(by).orderBy(*order)
+    total = rows.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
+    kept = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
+    return kept.join(total, by).withColumn("omitted", F.greatest(F.col("total") - most, F.lit(0)))
+
+
+def uneven_tables(rows: DataFrame, html: str = "table_html") -> DataFrame:
+    """rows with columns (the most cells of a row) and uneven (rows differ in cells); only bare `<tr>` count as rows here."""
+    cells = F.transform(F.regexp_extract_all(F.col(html), F.lit(r"(?s)<tr>(.*?)</tr>"), F.lit(1)), lambda r: F.regexp_count(r, F.lit("<t[hd]")))
+    return rows.withColumn("columns", F.coalesce(F.array_max(cells), F.lit(0))).withColumn("uneven", F.size(F.array_distinct(F.coalesce(cells, F.array().cast("array<int>")))) > 1)
+
+
+def before_after(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """key, before, after, deleted over the keys of either."""
+    count = lambda d, name: d.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    both = count(before, "before").join(count(after, "after"), key, "full_outer").na.fill(0, ["before", "after"])
+    return both.withColumn("deleted", F.col("before") - F.col("after"))
+
+
+def heading_depths(rows: DataFrame, path: str = "heading_path") -> DataFrame:
+    """depth, n of heading paths; none is depth 0."""
+    depth = F.when(blank(F.col(path)), 0).otherwise(F.size(F.split(path, " > ")))
+    return rows.groupBy(depth.alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_count(rows: DataFrame, doc: str = "doc_id", page: str = "page_idx") -> DataFrame:
+    """doc, pages: pages are numbered from 0; a document without any has 0."""
+    return rows.groupBy(doc).agg(F.coalesce(F.max(page) + 1, F.lit(0)).alias("pages"))
+
+
 def contact_blocks(rows: DataFrame, least: int = 2) -> DataFrame:
     return rows.withColumn("classes", contact_classes(F.col("text"))).where(F.col("classes") >= least)
 

@@ -1,8 +1,13 @@
-"""Lexical and vector retrieval over batches of questions, and their fusion."""
+"""Lexical and vector retrieval over batches of questions, their fusion, and search with filters."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,47 +17,107 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 PER_PATH, RRF_K = 20, 60
 
 
-def bm25_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """postings (term, key, tf), lengths (key, dl), and idf (term, idf), negative idf raised to EPSILON times the mean.
+@dataclass
+class Index:
+    """words (key, terms, dl), idf (term, idf) and stats (n, avgdl, mean: of the vocabulary's raw idf)."""
 
-    One shuffle by (term, key), pre-aggregated; lengths come from the same rows.
-    """
-    words = docs.select(F.col(key).alias("key"), terms(F.col(text)).alias("terms"))
-    lengths = words.select("key", F.size("terms").alias("dl"))
-    postings = words.select("key", F.explode("terms").alias("term")).groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf"))
-    n = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    raw = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(F.broadcast(n))
-    raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + F.lit(0.5).cast("double")) - F.log(F.col("df") + F.lit(0.5).cast("double")))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.lit(EPSILON).cast("double") * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return postings, lengths, idf
-
-
-def bm25_topk(docs: DataFrame, questions: DataFrame, key: str, text: str, k: int = PER_PATH) -> DataFrame:
+    words: DataFrame
+    idf: DataFrame
+    stats: DataFrame
+
+    def write(self, folder: str) -> Index:
+        """Overwrite the index's tables, the terms of each document and their weights, and read them back."""
+        for name in ("words", "idf", "stats"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        return Index.read(self.words.sparkSession, folder)
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str) -> Index:
+        return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("words", "idf", "stats")))
+
+
+def bm25_index(docs: DataFrame, key: str, text: str) -> Index:
+    """Negative idf is raised to EPSILON times the vocabulary's mean. Only a count for each term is shuffled."""
+    words = docs.select(F.col(key).alias("key"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms"))
+    size = words.agg(F.count(F.lit(1)).cast("double").alias("n"), (F.sum("dl").cast("double") / F.count(F.lit(1)).cast("double")).alias("avgdl"))
+    half = F.lit(0.5).cast("double")
+    df = words.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    raw = df.crossJoin(F.broadcast(size)).select("term", (F.log(F.col("n") - F.col("df") + half) - F.log(F.col("df") + half)).alias("raw"))  # one row
+    stats = size.crossJoin(F.broadcast(raw.agg(F.avg("raw").alias("mean"))))  # one row
+    idf = raw.crossJoin(F.broadcast(stats.select("mean"))).select("term", F.when(F.col("raw") < 0, F.lit(EPSILON).cast("double") * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return Index(words, idf, stats)
+
+
+def bm25_topk(index: Index, questions: DataFrame, k: int = PER_PATH, allowed: DataFrame | None = None) -> DataFrame:
     """q_id, key, score, rank: every question has min(k, documents) rows; documents without a shared term score 0.
 
-    Ties go to the larger key. Only postings of question terms are scored; zero-score documents fill up
-    from the k largest keys, never from a product of questions and documents.
+    questions has q_id and q_text. allowed (q_id, key): the documents that count for a question; the
+    weights stay those of all documents. Ties go to the larger key.
+
+    Only terms of questions are counted and only shared ones scored. Fillers: where the mean idf isn't
+    negative no score is, so fewer than k documents are above 0 and among the 2k largest keys k are not;
+    where it is negative (tiny tables), every key is one.
     """
-    postings, lengths, idf = bm25_index(docs, key, text)
-    asked = questions.select("q_id", F.explode(terms(F.col("q_text"))).alias("term")).groupBy("q_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    mean = lengths.agg((F.sum("dl").cast("double") / F.count(F.lit(1)).cast("double")).alias("avgdl"))
-    weight = F.col("idf") * F.col("tf") * F.lit(K1 + 1).cast("double") / (F.col("tf") + F.lit(K1).cast("double") * (F.lit(1 - B).cast("double") + F.lit(B).cast("double") * F.col("dl") / F.col("avgdl")))
-    hits = postings.join(asked, "term").join(idf, "term").join(lengths, "key").crossJoin(F.broadcast(mean))
+    asked = questions.select("q_id", F.explode(terms(F.coalesce(F.col("q_text"), F.lit("")))).alias("term")).groupBy("q_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    weighed = asked.join(index.idf, "term")
+    d = lambda x: F.lit(x).cast("double")
+    tf = index.words.select("key", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weight = F.col("idf") * F.col("tf") * d(K1 + 1) / (F.col("tf") + d(K1) * (d(1 - B) + d(B) * F.col("dl") / F.col("avgdl")))
+    hits = tf.join(weighed, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
     scored = hits.groupBy("q_id", "key").agg(F.round(F.sum(F.col("times") * weight), 6).alias("score"))
-    # a document may be filler only if it is among the k + (scored) largest keys: k zero-score ones suffice
-    fill = questions.select("q_id").crossJoin(F.broadcast(lengths.select("key").orderBy(F.desc("key")).limit(4 * k)))
+    if allowed is None:
+        keys = index.words.select("key")
+        largest = keys.orderBy(F.desc("key")).limit(2 * k)
+        negative = keys.crossJoin(F.broadcast(index.stats.select("mean"))).where(F.col("mean") < 0).select("key")
+        fill = questions.select("q_id").crossJoin(F.broadcast(largest)).union(questions.select("q_id").crossJoin(negative)).distinct()  # 2k rows
+    else:
+        scored = scored.join(allowed.select("q_id", "key"), ["q_id", "key"], "left_semi")
+        fill = allowed.select("q_id", "key")
     fill = fill.join(scored, ["q_id", "key"], "left_anti").withColumn("score", F.lit(0.0))
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), F.desc("key"))
     return scored.unionByName(fill).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def cosine_topk(vectors: DataFrame, questions: DataFrame, key: str, vector: str, k: int = PER_PATH) -> DataFrame:
-    """q_id, key, distance (1 - dot, six digits), rank by distance, then key; questions (q_id, q_vec) are the broadcast side while they are small."""
-    dot = F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), F.col("q_vec").cast("array<double>"), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    pairs = vectors.select(F.col(key).alias("key"), vector).crossJoin(questions.select("q_id", "q_vec"))
+def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """Each Arrow batch as one row: ids and the matrix of its vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flat = b["v"].flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([b["k"].to_pylist()], pa.list_(pa.int64())), pa.array([flat], pa.binary())], names=["ids", "flat"])
+
+    return rows.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull()).mapInArrow(run, "ids array<long>, flat binary")
+
+
+def cosine_topk(vectors: DataFrame, questions: DataFrame, key: str, vector: str, k: int = PER_PATH, tagged: str | None = None) -> DataFrame:
+    """q_id, key, distance (1 - dot, six digits), rank by distance, then key; questions has q_id and q_vec, ids are longs.
+
+    Blocks of questions meet blocks of vectors in matrix products; each pair of blocks gives its best,
+    which are ranked. With `tagged`, a column of both sides, only vectors of the question's tag count (null: any).
+    """
+    tag = tagged or "_tag"
+    if tagged is None:
+        vectors, questions = vectors.withColumn(tag, F.lit(None).cast("string")), questions.withColumn(tag, F.lit(None).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for q_ids, q_flat, ids, flat in zip(*(b[c].to_pylist() for c in ("q_ids", "q_flat", "ids", "flat")), strict=True):
+                q, v = (np.frombuffer(f).reshape(len(i), -1) for f, i in ((q_flat, q_ids), (flat, ids)))
+                dot = q @ v.T
+                last = np.partition(dot, -k, axis=1)[:, -k] if dot.shape[1] > k else np.full(len(q), -np.inf)
+                row, col = np.nonzero(dot >= last[:, None] - 2e-6)  # what rounding may make equal to the last
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(q_ids)[row]), pa.array(np.array(ids)[col]), pa.array(dot[row, col])], names=["q_id", "key", "dot"])
+
+    found = None
+    tags = [None] if tagged is None else [r[0] for r in questions.select(tag).distinct().collect()]  # as many as kinds of filter
+    for t in tags:
+        own = vectors if t is None else vectors.where(F.col(tag) == t)
+        asked = _blocks(questions.where(F.col(tag).eqNullSafe(F.lit(t))), "q_id", "q_vec").toDF("q_ids", "q_flat")
+        part = _blocks(own, key, vector).crossJoin(asked).mapInArrow(run, "q_id long, key long, dot double")
+        found = part if found is None else found.union(part)
     order = Window.partitionBy("q_id").orderBy("distance", "key")
-    near = pairs.select("q_id", "key", (F.round(F.lit(1.0) - dot, 6) + F.lit(0.0)).alias("distance"))
+    near = found.select("q_id", "key", (F.round(F.lit(1.0) - F.col("dot"), 6) + F.lit(0.0)).alias("distance"))
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -65,6 +130,26 @@ def rrf(first: DataFrame, second: DataFrame, k: int = 10, constant: int = RRF_K)
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "key", "score", "rank")
 
 
+def search(index: Index, vectors: DataFrame, questions: DataFrame, key: str, vector: str, tau: float, k: int = 5, tagged: str | None = None) -> DataFrame:
+    """The search tool: q_id, rank, key, score, distance, top1, low_confidence.
+
+    questions has q_id, q_text, q_vec and, with `tagged`, the tag to which a question is confined (null: none): vectors are
+    filtered before ranking, lexical hits after scoring, under the weights of all documents. What only the lexical
+    path found gets its distance too; top1 is the nearest distance within the filter.
+    """
+    allowed = None
+    if tagged is not None:
+        own = vectors.select(F.col(key).alias("key"), F.col(tagged).alias("_of"))
+        allowed = questions.select("q_id", tagged).join(own, F.col(tagged).isNull() | (F.col(tagged) == F.col("_of"))).select("q_id", "key")
+    near = cosine_topk(vectors, questions, key, vector, tagged=tagged)
+    fused = rrf(near, bm25_topk(index, questions, allowed=allowed), k)
+    dot = F.aggregate(F.zip_with(F.col("_v").cast("array<double>"), F.col("q_vec").cast("array<double>"), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    met = fused.join(vectors.select(F.col(key).alias("key"), F.col(vector).alias("_v")), "key", "left").join(questions.select("q_id", "q_vec"), "q_id")
+    top = near.groupBy("q_id").agg(F.min("distance").alias("top1"))
+    out = met.withColumn("distance", F.round(F.lit(1.0) - dot, 6) + F.lit(0.0)).join(top, "q_id", "left")
+    return out.select("q_id", "rank", "key", "score", "distance", "top1", (F.col("top1") > tau).alias("low_confidence"))
+
+
 def gate(ranked: DataFrame, tau: float) -> DataFrame:
     """q_id, top1, rejected: whether the nearest hit is farther than tau."""
     return ranked.groupBy("q_id").agg(F.min("distance").alias("top1")).withColumn("rejected", F.col("top1") > tau)
@@ -72,7 +157,26 @@ def gate(ranked: DataFrame, tau: float) -> DataFrame:
 
 def hit_metrics(ranked: DataFrame, gold: DataFrame, by: list[str], ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Recall@k, MRR and mean hit rank by GROUPING SETS ((), (each of by)); gold has q_id, targets, and by."""
-    hit = gold.withColumn("key", F.explode("targets")).join(ranked, ["q_id", "key"], "left").groupBy("q_id", *by).agg(F.min("rank").alias("hit"))
+    hit = first_hits(ranked, gold, by)
     recall: list[Column] = [F.round(F.avg(F.coalesce((F.col("hit") <= k).cast("double"), F.lit(0.0))), 6).alias(f"recall_{k}") for k in ks]
     more = [F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("hit"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg("hit"), 6).alias("mean_rank")]
     return hit.groupingSets([[], *[[F.col(b)] for b in by]], *[F.col(b) for b in by]).agg(F.count(F.lit(1)).alias("n"), *recall, *more)
+
+
+def first_hits(ranked: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
+    """q_id, by, hit: the best rank of any target; null is a miss."""
+    return gold.withColumn("key", F.explode("targets")).join(ranked, ["q_id", "key"], "left").groupBy("q_id", *by).agg(F.min("rank").alias("hit"))
+
+
+def worse(base: DataFrame, other: DataFrame) -> DataFrame:
+    """q_id, base, other: questions whose hit (q_id, hit) came later or was missed in the other run."""
+    both = base.select("q_id", F.col("hit").alias("base")).join(other.select("q_id", F.col("hit").alias("other")), "q_id")
+    return both.where(F.col("base").isNotNull() & (F.col("other").isNull() | (F.col("other") > F.col("base"))))
+
+
+def reranked(ranked: DataFrame, texts: DataFrame, questions: DataFrame, scorer, k: int = 10) -> DataFrame:
+    """The ranking by a scorer's score (a pandas function of question and text), of which the first k stay."""
+    score = F.pandas_udf(scorer, "double")
+    rows = ranked.join(texts, "key").join(questions.select("q_id", "q_text"), "q_id").withColumn("score", score("q_text", "text"))
+    order = Window.partitionBy("q_id").orderBy(F.desc("score"), "rank")
+    return rows.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k).select("q_id", "key", "score", F.col("new_rank").alias("rank"))

@@ -2,39 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.functions import text as T
 from quillon.operators import chunk, evaluate, grounding, history, ingest, retrieval, tables, units
+from quillon.plans import answers, corpus, tools  # noqa: F401
+from quillon.plans.base import ORACLES, QUERIES, query, questions, table  # noqa: F401
 from quillon.streaming import events as stream
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "rrf_hybrid"
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("q_text"))
-
-
 BM25 = """
 WITH w AS (SELECT doc_id AS key, regexp_extract_all(text, '[A-Za-z0-9_]+') AS t FROM documents),
 l AS (SELECT key, CAST(len(t) AS DOUBLE) AS dl FROM w),
@@ -51,36 +30,61 @@ b AS (SELECT q_id, key, score, CAST(row_number() OVER (PARTITION BY q_id ORDER B
 
 @query(BM25 + "SELECT * FROM b")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_topk(table(spark, sf_dir, "documents"), questions(spark, sf_dir), "doc_id", "text")
-
-
-@query(
-    BM25
-    + """, o AS (SELECT item_id AS q_id, doc_id AS key, CAST(row_number() OVER (PARTITION BY item_id ORDER BY abs(n_chars - length(benchmark.text)), doc_id) AS INTEGER) AS rank
-          FROM documents CROSS JOIN benchmark QUALIFY rank <= 20),
-    m AS (SELECT coalesce(b.q_id, o.q_id) AS q_id, coalesce(b.key, o.key) AS key, b.rank AS r1, o.rank AS r2 FROM b FULL JOIN o ON b.q_id = o.q_id AND b.key = o.key),
-    g AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS score FROM m)
-    SELECT q_id, key, score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST) AS INTEGER) AS rank FROM g QUALIFY rank <= 10"""
-)
-def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 fused with a second ranking by nearness in length."""
-    docs, q = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    near = docs.select("doc_id", "n_chars").crossJoin(q.select("q_id", F.length("q_text").alias("w")))
-    order = Window.partitionBy("q_id").orderBy(F.abs(F.col("n_chars") - F.col("w")), "doc_id")
-    second = near.select("q_id", F.col("doc_id").alias("key"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= 20)
-    return retrieval.rrf(retrieval.bm25_topk(docs, q, "doc_id", "text"), second)
+    return retrieval.bm25_topk(retrieval.bm25_index(table(spark, sf_dir, "documents"), "doc_id", "text"), questions(spark, sf_dir))
 
 
 VECTORS = """
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-n AS (SELECT a.vec_id AS q_id, b.vec_id AS key, round(1.0 - list_dot_product(b.e, a.e), 6) + 0.0 AS distance FROM v a CROSS JOIN v b WHERE a.vec_id % 50 = 0),
+n AS (SELECT a.vec_id AS q_id, b.vec_id AS key, round(1.0 - list_dot_product(b.e, a.e), 6) + 0.0 AS distance FROM v a CROSS JOIN v b WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY distance, key) AS INTEGER) AS rank FROM n QUALIFY rank <= 20)
 """
 
 
+def _hybrid_tables(spark: SparkSession, sf_dir: str) -> tuple[retrieval.Index, DataFrame, DataFrame]:
+    """The documents that have a vector of their id are the chunks; a question's vector is that of the item's id."""
+    v = table(spark, sf_dir, "embeddings")
+    docs = table(spark, sf_dir, "documents").join(v.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    q = questions(spark, sf_dir).join(v.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec")), "q_id")
+    return retrieval.bm25_index(docs, "doc_id", "text"), docs.select("doc_id", "lang", "embedding"), q
+
+
+HYBRID = """
+WITH documents2 AS (SELECT d.*, CAST(embedding AS DOUBLE[]) AS e FROM documents d JOIN embeddings ON doc_id = vec_id),
+benchmark2 AS (SELECT b.*, CAST(embedding AS DOUBLE[]) AS e FROM benchmark b JOIN embeddings ON item_id = vec_id), """ + BM25.strip().removeprefix("WITH ").replace("documents", "documents2").replace("benchmark", "benchmark2").replace(
+    "f AS (SELECT item_id AS q_id, l.key AS key, coalesce(s.score, 0) AS score FROM benchmark2 CROSS JOIN l", "f AS (SELECT item_id AS q_id, l.key AS key, coalesce(s.score, 0) AS score FROM benchmark2 JOIN documents2 ON {filter} JOIN l ON l.key = doc_id"
+) + """, n AS (SELECT item_id AS q_id, doc_id AS key, round(1.0 - list_dot_product(b.e, d.e), 6) + 0.0 AS distance FROM benchmark2 b JOIN documents2 d ON {filter}),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY distance, key) AS INTEGER) AS rank FROM n QUALIFY rank <= 20),
+m AS (SELECT coalesce(b.q_id, o.q_id) AS q_id, coalesce(b.key, o.key) AS key, o.rank AS r1, b.rank AS r2 FROM b FULL JOIN o ON b.q_id = o.q_id AND b.key = o.key),
+g AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0), 9) AS score FROM m),
+h AS (SELECT q_id, key, score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST) AS INTEGER) AS rank FROM g)
+"""
+
+
+@query(HYBRID.replace("{filter}", "true") + "SELECT * FROM h WHERE rank <= 10")
+def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearness of vectors fused with BM25 over the same chunks."""
+    index, v, q = _hybrid_tables(spark, sf_dir)
+    return retrieval.rrf(retrieval.cosine_topk(v, q, "doc_id", "embedding"), retrieval.bm25_topk(index, q))
+
+
+LANGUAGES = "lang = ['de', 'en', 'es', 'fr'][1 + item_id % 4]"
+
+
+@query(
+    HYBRID.replace("{filter}", LANGUAGES)
+    + """SELECT h.q_id, h.rank, h.key, h.score, n.distance, t.top1, t.top1 > 0.3567 AS low_confidence FROM h JOIN n ON n.q_id = h.q_id AND n.key = h.key
+         JOIN (SELECT q_id, min(distance) AS top1 FROM n GROUP BY q_id) t ON t.q_id = h.q_id WHERE h.rank <= 5"""
+)
+def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search tool, each question confined to one language: vectors filtered before ranking, lexical hits after scoring."""
+    index, v, q = _hybrid_tables(spark, sf_dir)
+    q = q.withColumn("lang", F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (1 + F.col("q_id") % 4).cast("int")))
+    return retrieval.search(index, v, q, "doc_id", "embedding", 0.3567, tagged="lang")
+
+
 def _vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    q = v.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"))
+    q = v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"))
     return retrieval.cosine_topk(v, q, "vec_id", "embedding")
 
 
@@ -96,7 +100,7 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     VECTORS
-    + """, g AS (SELECT q_id, label, min(rank) AS hit FROM (SELECT a.vec_id AS q_id, a.label, b.vec_id AS key FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+    + """, g AS (SELECT q_id, label, min(rank) AS hit FROM (SELECT a.vec_id AS q_id, a.label, b.vec_id AS key FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
          LEFT JOIN r USING (q_id, key) GROUP BY ALL)
     SELECT coalesce(label, -1) AS label, count(*) AS n, round(avg(CASE WHEN hit <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN hit <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3,
            round(avg(CASE WHEN hit <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN hit <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10,
@@ -104,7 +108,7 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q = v.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q_id"), "label")
+    q = v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("q_id"), "label")
     gold = q.join(v, "label").where(F.col("vec_id") != F.col("q_id")).groupBy("q_id", "label").agg(F.collect_list("vec_id").alias("targets"))
     return retrieval.hit_metrics(_vector_hits(spark, sf_dir), gold, ["label"]).withColumn("label", F.coalesce("label", F.lit(-1)))
 
@@ -115,15 +119,10 @@ l AS (SELECT doc_id, unnest(range(len(s))) AS idx, unnest(s) AS text FROM d)
 """
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
-
-
 @query(LINES + "SELECT printf('%d_%04d', doc_id, idx) AS block_id, CAST(length(text) AS INTEGER) AS char_len FROM l")
 def blocks_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
-    rows = _lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "idx", F.lit("text").alias("type"), "text", F.lit(0).alias("page_idx"), none.alias("table_body"), none.alias("img_path"), F.array().cast("array<string>").alias("image_caption"), none.alias("code_body"))
+    rows = corpus.lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "idx", F.lit("text").alias("type"), "text", F.lit(0).alias("page_idx"), none.alias("table_body"), none.alias("img_path"), F.array().cast("array<string>").alias("image_caption"), none.alias("code_body"))
     return ingest.blocks(rows).select("block_id", "char_len")
 
 
@@ -148,27 +147,28 @@ def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that stand in a hundredth of a language's documents."""
-    x = _lines(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    x = corpus.lines(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     return ingest.running_heads(x, "lang", "doc_id", "text", 0.01)
 
 
 @query(
     LINES
-    + r""", c AS (SELECT *, regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\p{Cf}\p{Co}]', '', 'g') AS s FROM l)
-    SELECT CASE WHEN text = '' THEN 'drop_empty' WHEN trim(s) = '' THEN 'drop_blank' WHEN length(text) - length(regexp_replace(text, '[.…]', '', 'g')) >= 20 THEN 'drop_toc'
-           WHEN NOT regexp_matches(regexp_replace(s, '[\p{P}\s]', '', 'g'), '[0-9A-Za-z一-鿿０-９Ａ-Ｚａ-ｚ]') THEN 'drop_symbols' WHEN length(trim(s)) < 10 THEN 'keep_short'
-           WHEN s <> text THEN 'strip_control_chars' ELSE 'keep' END AS rule, count(*) AS n FROM c GROUP BY ALL"""
+    + r""", k AS (SELECT *, CASE WHEN idx % 5 = 4 THEN 'table' ELSE 'text' END AS type, regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\p{Cf}\p{Co}]', '', 'g') AS s FROM l)
+    SELECT CASE WHEN text = '' THEN 'drop_empty' WHEN s <> text AND regexp_full_match(s, '[\s\p{Z}]*') THEN 'drop_control_chars' WHEN length(s) - length(replace(replace(s, '.', ''), '…', '')) >= 20 THEN 'drop_toc'
+           WHEN NOT regexp_matches(regexp_replace(s, '[\p{P}\s\p{Z}]', '', 'g'), '[0-9A-Za-z\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{FF10}-\x{FF5A}]') THEN 'drop_pure_symbol' WHEN type = 'table' THEN 'drop_empty_table'
+           WHEN s <> text THEN 'strip_control_chars' WHEN length(s) < 10 THEN 'keep_short' ELSE 'keep' END AS rule, count(*) AS n FROM k GROUP BY ALL"""
 )
 def clean_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as blocks, every fifth a table without a body."""
     none = F.lit(None).cast("string")
-    rows = _lines(spark, sf_dir).withColumn("table_html", none).withColumn("img_path", none)
+    rows = corpus.lines(spark, sf_dir).withColumn("type", F.when(F.col("idx") % 5 == 4, "table").otherwise("text")).withColumn("table_html", none).withColumn("img_path", none)
     return ingest.clean(rows).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    r"""SELECT doc_id, CAST(classes AS INTEGER) AS classes FROM (SELECT doc_id, (CAST(regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS INTEGER)
-    + CAST(regexp_matches(text, '(https?://|www\.)[A-Za-z0-9]') AS INTEGER) + CAST(regexp_matches(text, '\+?[0-9][0-9 ()-]{8,}[0-9]') AS INTEGER)
-    + CAST(regexp_matches(text, '(热线|hotline|Hotline)') AS INTEGER) + CAST(regexp_matches(text, '(地址|Address:|address:)') AS INTEGER)) AS classes FROM documents) WHERE classes >= 2"""
+    r"""SELECT doc_id, CAST(classes AS INTEGER) AS classes FROM (SELECT doc_id, (CAST(regexp_matches(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+') AS INTEGER)
+    + CAST(regexp_matches(text, '(?i)(https?://|www\.)[\p{L}\p{N}_./?=&#-]+') AS INTEGER) + CAST(regexp_matches(text, '(\+\d{1,3}[- ]?)?\d{3,4}([- ]\d{3,4})+') AS INTEGER)
+    + CAST(contains(text, '热线') AS INTEGER) + CAST(regexp_matches(text, '(?i)(straße|strasse|street|road|地址|邮编|postal|Dortmund|Germany|Deutschland|GmbH|有限公司|集团|股份)') AS INTEGER)) AS classes FROM documents) WHERE classes >= 2"""
 )
 def contact_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.contact_blocks(table(spark, sf_dir, "documents")).select("doc_id", "classes")
@@ -187,40 +187,42 @@ def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.length_histogram(table(spark, sf_dir, "documents"), "n_chars")
 
 
-@query("SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY source")
+@query("SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang IS NULL OR lang NOT IN ('de', 'en', 'es', 'fr')) AS other FROM documents GROUP BY source")
 def type_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).count().na.fill(0)
+    """Documents by source and language, any further or missing language as `other`."""
+    known = ["de", "en", "es", "fr"]
+    kind = F.when(F.col("lang").isin(known), F.col("lang")).otherwise("other")
+    return table(spark, sf_dir, "documents").withColumn("kind", kind).groupBy("source").pivot("kind", [*known, "other"]).count().na.fill(0)
 
 
-@query()
+@query(
+    """WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS n FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, n, list_transform(range(len(n) + 1), lambda k: coalesce(list_sum(n[:k]), 0)) AS c FROM l),
+    r AS (SELECT doc_id, 0 AS chunk, 0 AS a, CASE WHEN len(n) = 0 THEN 0 ELSE least(len(n), len(list_filter(c, lambda x: x < 400)), greatest(len(list_filter(c, lambda x: x <= 800)) - 1, len(list_filter(c, lambda x: x <= 0)))) END AS b FROM c
+          UNION ALL
+          SELECT doc_id, chunk + 1, i, least(len(n), len(list_filter(c, lambda x: x < c[i + 1] + 400)), greatest(len(list_filter(c, lambda x: x <= c[i + 1] + 800)) - 1, len(list_filter(c, lambda x: x <= c[i + 1]))))
+          FROM (SELECT r.doc_id, r.chunk, greatest(r.b - 1, r.a + 1) AS i, c.n, c.c FROM r JOIN c ON r.doc_id = c.doc_id WHERE r.b < len(c.n)))
+    SELECT r.doc_id, CAST(1 AS BIGINT) AS run, CAST(chunk AS BIGINT) AS chunk, CAST(a AS BIGINT) AS first, CAST(b - 1 AS BIGINT) AS last, CAST(b - a AS BIGINT) AS items, CAST(c[b + 1] - c[a + 1] AS BIGINT) AS chars FROM r JOIN c ON r.doc_id = c.doc_id"""
+)
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document packed to 400 to 800 characters with an overlap of one line."""
-    rows = _lines(spark, sf_dir).withColumn("t", F.lit(False)).withColumn("h", F.lit("")).withColumn("n", F.length("text"))
+    rows = corpus.lines(spark, sf_dir).withColumn("t", F.lit(False)).withColumn("h", F.lit("")).withColumn("n", F.length("text"))
     return chunk.chunks(chunk.runs(rows, "doc_id", "idx", "h", "t"), "doc_id", "run", "idx", "n")
 
 
-@query(r"SELECT page_id, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS raw_len FROM pages")
+@query(r"SELECT page_id, length(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&')) AS raw_len FROM pages")
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.length(F.regexp_replace("html", "<[^>]+>", "")).cast("long").alias("raw_len"))
-
-
-def _nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    g = j.groupBy("r_regionkey", "r_name").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
-    first = F.concat(F.lit('<tr><td rowspan="'), F.size("names"), F.lit('">'), F.col("r_name"), F.lit("</td><td>"), F.element_at("names", 1), F.lit("</td></tr>"))
-    rest = F.array_join(F.transform(F.slice("names", 2, 1000), lambda n: F.concat(F.lit("<tr><td>"), n, F.lit("</td></tr>"))), "")
-    return g.select("r_regionkey", F.concat(F.lit("<table>"), first, rest, F.lit("</table>")).alias("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(T.without_tags(F.col("html"))).cast("long").alias("raw_len"))
 
 
 @query("SELECT r_regionkey, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY n_name) - 1 AS INTEGER) AS row_idx, r_name || ' | ' || n_name AS text FROM nation JOIN region ON n_regionkey = r_regionkey")
 def table_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.expand(_nation_tables(spark, sf_dir), "r_regionkey", "html").select("r_regionkey", "row_idx", "text")
+    return tables.expand(corpus.nation_tables(spark, sf_dir), "r_regionkey", "html").select("r_regionkey", "row_idx", "text")
 
 
 @query("SELECT r_regionkey, r_name || ' | ' || n_name AS text FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(r_name || ' | ' || n_name), 'a') AND contains(lower(r_name || ' | ' || n_name), 'i')")
 def table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.lookup(tables.expand(_nation_tables(spark, sf_dir), "r_regionkey", "html"), ["A", "i"], "r_regionkey").select("r_regionkey", "text")
+    return tables.lookup(tables.expand(corpus.nation_tables(spark, sf_dir), "r_regionkey", "html"), ["A", "i"], "r_regionkey").select("r_regionkey", "text")
 
 
 @query("SELECT conv_id, turn, array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), ',') AS around FROM conversations")
@@ -230,11 +232,16 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH u AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN role = 'user' THEN 1 ELSE 0 END AS ahead FROM conversations)
-    SELECT conv_id, turn, role FROM u WHERE ahead < 3 AND role <> 'system'"""
+    """WITH c AS (SELECT conv_id, turn, role, text || CASE WHEN role = 'assistant' THEN ' [d_c0001]' ELSE '' END AS text FROM conversations),
+    u AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN role = 'user' THEN 1 ELSE 0 END AS ahead FROM c),
+    s AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN replace(text, '[d_c0001]', '') ELSE text END AS text FROM u WHERE ahead < 3 AND role <> 'system')
+    SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND length(text) > 600 THEN left(text, 600) || '……' ELSE text END AS text FROM s"""
 )
 def history_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.trimmed(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").select("conv_id", "turn", "role")
+    """The last three user turns and what follows each; citations, put at the end of answers here, go."""
+    c = table(spark, sf_dir, "conversations")
+    c = c.withColumn("text", F.when(F.col("role") == "assistant", F.concat("text", F.lit(" [d_c0001]"))).otherwise(F.col("text")))
+    return history.trimmed(c, "conv_id", "turn", "role", "text").select("conv_id", "turn", "role", "text")
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_quantity * 1.0::DOUBLE / 0.45359237::DOUBLE, 6) AS pounds FROM lineitem")
@@ -256,12 +263,10 @@ def limit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '([0-9]),([0-9]{3})\b', '\1\2', 'g'), '[0-9]+(?:\.[0-9]+)?'), lambda x: round(CAST(x AS DOUBLE), 6)))), '|') = '' AS none,
-    len(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '([0-9]),([0-9]{3})\b', '\1\2', 'g'), '[0-9]+(?:\.[0-9]+)?'), lambda x: round(CAST(x AS DOUBLE), 6)))) AS n FROM documents"""
+    r"""SELECT doc_id, array_to_string(list_transform(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '([0-9]),([0-9]{3})\b', '\1\2', 'g'), '[0-9]+(?:\.[0-9]+)?'), lambda x: round(CAST(x AS DOUBLE), 6)))), lambda x: printf('%.6f', x)), '|') AS numbers FROM documents"""
 )
 def numbers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.size(T.numbers(F.col("text"))).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", (n == 0).alias("none"), n.alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(T.numbers(F.col("text")), lambda x: F.format_string("%.6f", x)), "|").alias("numbers"))
 
 
 @query(
@@ -276,15 +281,19 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(cited).cast("long").alias("cited"), F.size(evaluate.fabricated(cited, F.array(one(7)))).cast("long").alias("fabricated"))
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))")
+@query(
+    r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(replace(text, chr(92), '')), '<[^>]+>', '', 'g'), '[‐‑‒–—―−]', '-', 'g'), '([0-9.])\s+([0-9.])', '\1' || chr(1) || '\2', 'g') AS t FROM documents),
+    b AS (SELECT item_id, regexp_replace(regexp_replace(regexp_replace(lower(replace(text, chr(92), '')), '<[^>]+>', '', 'g'), '[‐‑‒–—―−]', '-', 'g'), '([0-9.])\s+([0-9.])', '\1' || chr(1) || '\2', 'g') AS t FROM benchmark),
+    x AS (SELECT doc_id, regexp_replace(t, '[\s\p{Z}]+', '', 'g') AS t FROM d), y AS (SELECT item_id, regexp_replace(t, '[\s\p{Z}]+', '', 'g') AS t FROM b)
+    SELECT doc_id, item_id FROM x JOIN y ON contains(x.t, y.t)"""
+)
 def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole quotes found in documents, save for case, dashes and white space; the quotes are broadcast while they are few.
+    """Whole quotes found in documents, save for case, dashes and white space.
 
-    The SQL holds the first 60 characters as they are: the same pairs on sf0.001 and sf0.01, but 244 to 247 on sf0.1.
+    Each quote is met under one hashed stretch of its letters that documents are cut into at every place; only what shares it is searched.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", T.match_text(F.col("text")).alias("text"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", T.match_text(F.col("text")).alias("quote"))
-    return d.join(F.broadcast(b) if b.limit(10_001).count() <= 10_000 else b, F.contains(F.col("text"), F.col("quote"))).select("doc_id", "item_id")
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return corpus.contained(d, "doc_id", "text", b, "item_id", "text")
 
 
 @query(

@@ -1,7 +1,10 @@
-"""Event streams: watermarked windows, and the fold of a request's events into one row."""
+"""Event streams: watermarked windows, and the fold of a request's events into one row, on a batch or a stream."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +50,50 @@ def round_answers(events: DataFrame) -> DataFrame:
     spoken = ~F.col("thought") & (F.col("n") > 0)
     g = rounds.groupBy("request_id").agg(F.max_by(F.when(spoken, F.col("tokens")), F.when(spoken, F.col("round"))).alias("tokens"), F.max("done").alias("done"))
     return g.select("request_id", F.coalesce(F.get_json_object("done.data", "$.answer"), F.col("tokens")).alias("answer"))
+
+
+FOLDED = "request_id string, status string, answer string, elapsed_ms double"
+_STATE = "tokens string, first double, last double"
+
+
+def once_each(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Events without those that are sent again, by request and place; on a stream within the watermark."""
+    if events.isStreaming:
+        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_id", "seq"])
+    return events.dropDuplicates(["request_id", "seq"])
+
+
+def folded_stream(events: DataFrame, late: str = "1 minute", patience_ms: int = 60_000) -> DataFrame:
+    """A row for each request of a stream (request_id, seq, event, data, ts), as soon as its last event comes.
+
+    Tokens are joined; an answer in the `done` event goes before them. A request that hears nothing for
+    patience_ms of event time after its last event is `aborted`, without an answer, but with the time it lasted.
+    Only the tokens so far and two times are kept for each open request.
+    """
+    import json
+
+    ends = KINDS_THAT_END
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        tokens, first, last = state.get if state.exists else ("", float("inf"), float("-inf"))
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], "aborted", None, (last - first) * 1000)], columns=["request_id", "status", "answer", "elapsed_ms"])
+            return
+        rows = pd.concat(list(batches)).sort_values("seq")
+        times = rows["ts"].astype("int64") / 10 ** {"ns": 9, "us": 6, "ms": 3, "s": 0}[rows["ts"].dt.unit]
+        first, last = min(first, float(times.min())), max(last, float(times.max()))
+        tokens += "".join(rows.loc[rows["event"] == "token", "data"])
+        final = rows[rows["event"].isin(ends)]
+        if len(final):
+            end = final.iloc[-1]
+            told = json.loads(end["data"] or "{}") if end["event"] == "done" else {}
+            answer = (told.get("answer") if isinstance(told.get("answer"), str) else tokens) if end["event"] == "done" else None
+            state.remove()
+            yield pd.DataFrame([(key[0], end["event"], answer, (last - first) * 1000)], columns=["request_id", "status", "answer", "elapsed_ms"])
+        else:
+            state.update((tokens, first, last))
+            state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + patience_ms)
+
+    seen = events.withWatermark("ts", late) if not events.isStreaming else once_each(events, late)
+    return seen.groupBy("request_id").applyInPandasWithState(fold, FOLDED, _STATE, "append", "EventTimeTimeout")
