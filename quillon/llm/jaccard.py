@@ -276,14 +276,14 @@ def _still_mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labelled.join(several.select("key", "size"), "key"))
 
 
-def _across(groups: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a < b) of a group's classes of different components that are like in size; a group of more than CELL meets in many cells."""
+def _across(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a < b) of a group's classes of different components that may link by size and sketch; a group of more than CELL meets in many cells."""
     parts = F.ceil(F.col("size") / CELL).cast("int")
     mine = F.pmod(F.xxhash64("class"), parts).cast("int")
     every = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    dealt = groups.select("key", "class", "n", "component", mine.alias("mine"), F.explode(every).alias("cell"))
-    one, two = (dealt.select("key", "cell", *[F.col(c).alias(f"{side}_{c}") for c in ("n", "component", "mine")], F.col("class").alias(side)) for side in "ab")
-    met = (F.col("a_component") != F.col("b_component")) & (F.col("a") < F.col("b")) & _like("a_n", "b_n", percent)
+    dealt = groups.join(classes.select("class", *PARTS), "class").select("key", "class", "n", "component", *PARTS, mine.alias("mine"), F.explode(every).alias("cell"))
+    one, two = (dealt.select("key", "cell", *[F.col(c).alias(f"{side}_{c}") for c in ("n", "component", "mine", *PARTS)], F.col("class").alias(side)) for side in "ab")
+    met = (F.col("a_component") != F.col("b_component")) & (F.col("a") < F.col("b")) & _near("a_", "b_", percent)
     once = ((F.col("a_mine") == F.col("cell.i")) & (F.col("b_mine") == F.col("cell.j"))) | ((F.col("a_mine") == F.col("cell.j")) & (F.col("b_mine") == F.col("cell.i")))
     return one.join(two, ["key", "cell"]).where(met & once).select("a", "b").distinct()
 
@@ -313,7 +313,7 @@ def classified(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     beside = groups.select(F.col("class").alias("x"), F.col("component").alias("x_c"), F.lag("class").over(order).alias("y"), F.lag("component").over(order).alias("y_c"))
     beside = beside.where(F.col("x_c") != F.col("y_c")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     for last in (False, True):  # neighbours in a shuffled order: as many pairs as members, yet they join most of what can be joined; then what is left
-        more = _linked(_bounded(classes, wides, _across(groups, percent) if last else beside, percent), docs, percent)
+        more = _linked(_bounded(classes, wides, _across(groups, classes, percent) if last else beside, percent), docs, percent)
         if more.limit(1).count():
             links = stored(links.union(more))
             labels = components(links)
