@@ -73,12 +73,6 @@ def salted(many: DataFrame, few: DataFrame, on: str, how: str = "inner") -> Data
     return dealt.join(few.select("*", salts), [on, "_salt"], how).drop("_salt")
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """Drop columns whose names an operator makes itself, whatever their case."""
-    gone = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
-
-
 def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, out: str) -> DataFrame:
     """`out`: the sum of `value` over the rows of the same `group` that come before, by `order`.
 
@@ -97,26 +91,11 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, out: st
     return joined.withColumn(out, (F.col("_within") + F.col("_offset")).cast("long")).drop("_group", "_at", "_offset", "_within", "_part")
 
 
-def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
-    """At most parts - 1 rising values of a long column that cut its rows into about equal ranges."""
-    if parts < 2:
-        return []
-    probs = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(column, probs, min(1_000_000, 20 * parts)).alias("q")).first()
-    return sorted(set(row.q or []))
-
-
-def range_part(column: Column, bounds: list[int]) -> Column:
-    """How many of the bounds are at or below the column (null: none), found in two steps of about sqrt(n)."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    tops = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-    nested = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
-    top = F.size(F.filter(tops, lambda x: x <= column))
-    inner = F.size(F.filter(F.element_at(nested, top), lambda x: x <= column))
-    return F.when(column.isNull() | (top == 0), 0).otherwise((top - 1) * step + inner).cast("int")
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """doc_id, text dealt by ranges over as many tasks as there are partitions, and sorted by both, null ids first. An id of very many rows is divided by its texts' beginnings."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n = max(1, docs.rdd.getNumPartitions())
+    return d.repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
 
 
 def schema_of(df: DataFrame, **more: T.DataType) -> T.StructType:

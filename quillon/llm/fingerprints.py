@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import documents, range_bounds, range_part, ready
+from .common import documents, in_ranges, ready, stored
 
 BUCKETS = 128
 #: Offsets of the triplets in the window, each hashed with a multiplier of its own.
@@ -83,65 +84,68 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """part, peek, doc_id, text: rows dealt by ranges of doc_id and sorted; a part ends with the first rows of the next (peek = 1).
-
-    The last part ends with the first rows of all. Null ids come first, rows that share an id by text.
-    Texts are moved once; besides, only the rows with a part's first id are sent twice.
-    """
-    bounds = range_bounds(docs, "doc_id", max(1, docs.rdd.getNumPartitions()))
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("part", range_part(F.col("doc_id"), bounds))
-    lows = d.groupBy("part").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("void"))
-    used = sorted(lows.collect(), key=lambda r: r.part)  # a row for each part
-    first: list[int | None] = [None] * (len(bounds) + 1)
-    before = [0] * (len(bounds) + 1)
-    for i, r in enumerate(used):
-        first[r.part] = None if r.void else r.low
-        before[r.part] = used[i - 1].part  # of the first: the last
-    at = F.col("part") + 1
-    low = F.element_at(F.array(*[F.lit(x).cast("long") for x in first]), at)
-    own = F.struct(F.col("part").alias("p"), F.lit(0).alias("peek"))
-    peek = F.struct(F.element_at(F.array(*[F.lit(x) for x in before]), at).alias("p"), F.lit(1).alias("peek"))
-    d = d.withColumn("to", F.explode(F.when(low.eqNullSafe(F.col("doc_id")), F.array(own, peek)).otherwise(F.array(own))))
-    d = d.select(F.col("to.p").alias("part"), F.col("to.peek").alias("peek"), "doc_id", "text")
-    return d.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "peek", "doc_id", "text")
-
-
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next document.
 
     The edited text ends with the first floor(n/4) code points (or all) of the next document in
     place of its own last ones; after the last document comes the first, so a lone document is
-    its own next. Null text is empty.
+    its own next. Documents are ordered by doc_id, null first, rows that share an id by text; null text is empty, very long texts
+    are whole, repeated rows are documents of their own, an empty table gives no rows.
+
+    Rows are dealt by ranges and sorted, texts moved once. A part's last document meets the next part's first
+    in a second step, for which each part stores these two texts.
     """
     ready(docs.sparkSession)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    edges, edge_types = ["part", "first_text", "last_text"], [pa.int32(), pa.string(), pa.string()]
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+    def beside(doc: int | None, text: str, own: str, following: str, its: str) -> tuple:
+        k = len(text) // 4
+        edited = (text[: len(text) - k] + following[:k]).encode()
+        e = digest(edited)
+        return (doc, len(text), hashlib.sha256(edited).hexdigest(), own, e, likeness(own, e), likeness(own, its))
+
+    def made(rows: list[tuple], *edge: object) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        fixed = [pa.array([x] * len(rows), t) for x, t in zip(edge or (None, None, None), edge_types, strict=True)]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *fixed], names=[*names, *edges])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last row, its part and digest
+        from pyspark import TaskContext
+
+        first, held = None, None
         for batch in batches:
             rows: list[tuple] = []
-            for part, peek, doc, text in zip(*(batch[c].to_pylist() for c in ("part", "peek", "doc_id", "text")), strict=True):
-                text = text or ""
-                if held is not None and held[0] != part:
-                    held = None
-                if held is None and peek:
-                    continue
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 own = digest(text.encode())
-                if held is not None:
-                    _, last, t, d = held
-                    k = len(t) // 4
-                    edited = (t[: len(t) - k] + text[:k]).encode()
-                    e = digest(edited)
-                    rows.append((last, len(t), hashlib.sha256(edited).hexdigest(), d, e, likeness(d, e), likeness(d, own)))
-                held = None if peek else (part, doc, text, own)
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+                if held is None:
+                    first = text
+                else:
+                    rows.append(beside(*held, text, own))
+                held = doc, text, own
+            yield made(rows)
+        if held is not None:
+            doc, text, own = held
+            yield made([(doc, len(text), None, own, None, None, None)], TaskContext.get().partitionId(), first, text)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = zip(*(b[c].to_pylist() for c in ("doc_id", "last_text", "fingerprint", "following")), strict=True)
+            columns = list(zip(*(beside(doc, text, own, f, digest(f.encode())) for doc, text, own, f in found), strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(run, schema)
+    d = in_ranges(docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    done = stored(d.mapInArrow(run, f"{schema}, part int, first_text string, last_text string"))
+    ends = done.where(F.col("part").isNotNull())
+    every = Window.orderBy("part")  # a number for each part
+    after = ends.select(F.col("part").alias("at"), F.coalesce(F.lead("part").over(every), F.min("part").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("then"))
+    firsts = ends.select(F.col("part").alias("then"), F.col("first_text").alias("following"))
+    last = ends.join(after, F.col("part") == F.col("at")).join(firsts, "then").select("doc_id", "last_text", "fingerprint", "following").mapInArrow(close, schema)
+    return done.where(F.col("part").isNull()).select(*names).union(last)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents; nulls, empty and long texts, ties and repeated rows as in edited_fingerprints."""
     return edited_fingerprints(documents(spark, sf_dir))

@@ -94,6 +94,7 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, toke
 def pack(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, group: int = GROUP, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of docs (doc_id, text) with its sequence and offset there.
 
+    Null and empty texts have the end id alone, very long ones are cut; pieces of one length and id go by their checksum and row.
     Every document has one id at least (the end id); repeated rows are documents of their own; an
     empty table gives no rows; other columns are not read. Pieces are rows of a few numbers, stored
     once, so nothing is tokenised twice; groups are of about `group` pieces whatever the input's size
@@ -124,4 +125,5 @@ def pack(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, group: int =
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed; nulls, empty and long texts, ties and repeated rows as in pack."""
     return pack(documents(spark, sf_dir))

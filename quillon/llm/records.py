@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, range_bounds, range_part, ready, shared_folder
+from .common import documents, in_ranges, ready, shared_folder
 from .tokens import encoder
 
 END_ID = 1
@@ -67,14 +67,12 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
 
     Null or empty text is a record of the end id alone; null ids come first; rows that share an id
     follow each other by text. An empty table gives no files and an empty index. Texts are dealt by
-    ranges of doc_id and moved once. A file is written under a name of its task's attempt and then
+    ranges of doc_id (and of the texts' beginnings, where many rows share an id) and moved once. A file is written under a name of its task's attempt and then
     renamed, so a task that runs again, or twice, leaves one whole file.
     """
     spark = ready(docs.sparkSession)
-    path, parts = tokenizer or vocabulary(), max(1, docs.rdd.getNumPartitions())
-    bounds = range_bounds(docs, "doc_id", parts)
-    dealt = docs.select(range_part(F.col("doc_id"), bounds).alias("part"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "text")
+    path = tokenizer or vocabulary()
+    dealt = in_ranges(docs)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -82,8 +80,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
         encode, fs, root = encoder(path), *filesystem(folder)
         word = encode.dtype.itemsize
         end = np.array([end_id], dtype=encode.dtype).tobytes()
-        out, part, seq, temp, at = None, None, 0, "", 0
-        attempt = TaskContext.get().taskAttemptId()
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        out, seq, temp, at = None, 0, f"{root}/.part-{part:06d}-{attempt}", 0
         fs.create_dir(root, recursive=True)
 
         def close() -> None:
@@ -95,15 +93,12 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
             rows = batch.to_pydict()
             ids = encode.encode(rows["text"])
             index: dict[str, list] = {k: [] for k in ("part", "seq", "doc_id", "file", "offset", "length", "n_tokens")}
-            for p, doc, i in zip(rows["part"], rows["doc_id"], ids, strict=True):
-                if p != part:
-                    close()
-                    part, seq, at = p, 0, 0
-                    temp = f"{root}/.part-{p:06d}-{attempt}"
+            for doc, i in zip(rows["doc_id"], ids, strict=True):
+                if out is None:
                     out = fs.open_output_stream(temp)
                 record = frame(struct.pack("<q", NULL_ID if doc is None else doc) + i + end)
                 out.write(record)
-                for k, v in zip(index, (p, seq, doc, f"part-{p:06d}.{word}.rec", at, len(record), len(i) // word + 1), strict=True):
+                for k, v in zip(index, (part, seq, doc, f"part-{part:06d}.{word}.rec", at, len(record), len(i) // word + 1), strict=True):
                     index[k].append(v)
                 seq, at = seq + 1, at + len(record)
             yield pa.RecordBatch.from_pydict(index, schema=pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("n_tokens", pa.int64())]))
@@ -155,6 +150,7 @@ def token_starts(records: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def op5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's record, read back; nulls, empty and long texts, repeated rows and ties of ids as in write_records."""
     docs = documents(spark, sf_dir)
     folder = shared_folder(spark)
     index = write_records(docs, folder)

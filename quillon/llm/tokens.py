@@ -1,8 +1,9 @@
-"""Token ids of whole texts, equal to the tokenizers library's, through a word cache.
+"""Token ids of whole texts, equal to the tokenizers library's, through a word cache where the file allows one.
 
 The word-level BPE drops white space and never merges across it, so a text's ids are
 its words' ids in a row. Each Python worker keeps the ids of words it has met; new
-plain words go through a vectorised BPE, all others through the library itself.
+plain words go through a vectorised BPE, all others through the library itself. Files whose
+normaliser, splitter or model is of another kind are read by the library alone.
 """
 
 from __future__ import annotations
@@ -33,6 +34,23 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in keep else chr(next(rest)) for b in range(256)]
 
 
+# The steps before the model under which a text's ids are its lower-case words' ids in a row.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizers file is of the kind that the word cache is made for."""
+    steps = (spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers")
+    model = spec["model"]
+    plain = not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens") or [])
+    return steps == (NORMALIZER, SPLITTER) and plain and bool(model.get("end_of_word_suffix")) and all(model.get(k) == v for k, v in MODEL.items()) and not spec.get("post_processor")
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian bytes of `dtype`."""
 
@@ -41,8 +59,12 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         spec = json.loads(self.library.to_str())
-        vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
+        self.by_words = by_words(spec)
+        self.signs = [t["content"] for t in spec.get("added_tokens") or []]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        if not self.by_words:
+            return
+        vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
         self.cache: dict[bytes, bytes] = {}
         signs = byte_symbols()
         self.inner = np.array([vocab[s] for s in signs], dtype=np.int64)
@@ -151,9 +173,12 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """None counts as the empty text; text that holds a special token's sign goes to the library whole."""
+        if not self.by_words:
+            made = self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in made]
         words: list[list[bytes] | None] = []
         for t in texts:
-            if t and "<|" in t:
+            if t and any(x in t for x in self.signs):
                 words.append(None)
                 continue
             raw = (t or "").encode()

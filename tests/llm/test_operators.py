@@ -54,6 +54,26 @@ def test_knn(spark):
     assert not got and knn.top_k(d.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_knn_over_many_slices(spark, monkeypatch):
+    """Slices and blocks of a few vectors each, as far more data would have, and an id of many rows."""
+    monkeypatch.setattr(knn, "SLICE", 20)
+    monkeypatch.setattr(knn, "BLOCK", 3)
+    monkeypatch.setattr(knn, "SUMMARY", 6)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(5, 6)) * 3
+    v = [(i, [float(np.float32(x)) for x in centre[i % 5] + rng.normal(size=6) * 0.1]) for i in range(400)]
+    v += [(50, v[50][1])] * 30 + [(1000 + i, v[7][1]) for i in range(90)]
+    got = {}
+    for r in knn.top_k(spark.createDataFrame(v, "vec_id long, embedding array<float>"), F.col("id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    q = [(i, np.floor(256 * np.array(x, dtype=np.float32).astype(float))) for i, x in v]
+    for i, x in dict(q).items():
+        if i % 50 == 0:
+            want = sorted(((-int(x @ y), j) for j, y in q if j != i))[:5]
+            assert sorted(got.pop(i)) == [(n + 1, j, -s) for n, (s, j) in enumerate(want)]
+    assert not got
+
+
 def spans(patterns, text):
     out = []
     for n, (kind, (p, keep)) in enumerate(patterns.items()):
@@ -183,6 +203,17 @@ def test_suffix_classes_are_sorted():
     assert [strings[i] for i in order] == sorted(strings) and common.tolist() == [-1, 0, 1, 2, 3, 2]
 
 
+def test_other_tokenizers_go_to_the_library():
+    from tokenizers import Tokenizer
+
+    from quillon.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    texts = ["The Pump  runs\n at 3 bar.", "", None, "ÄÖ é <|endoftext|> x"]
+    assert not made.by_words and [np.frombuffer(b, made.dtype).tolist() for b in made.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_mixing(docs, empty):
     m = mixing.mix(docs).collect()
     total = sum(r.size for r in m)
