@@ -96,7 +96,7 @@ def citations_before_stop(c: Column) -> Column:
 
 def any_citations_before_stop(c: Column) -> Column:
     """Citations after a stop, however written, move in front of it behind a space, which keeps bare ids from joining the word."""
-    return F.regexp_replace(c, rf"(?iU)([。！？])\s*({CITATION})", " $2$1")
+    return F.regexp_replace(c, rf"(?iU)([。！？])\s*({CITATION}(?<!\s))\s*", " $2$1")
 
 
 def sentences(c: Column, least: int = 1) -> Column:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,14 +37,34 @@ def test_limits(spark, v, lo, hi, want):
     assert spark.createDataFrame([(v, lo, hi)], "v double, lo double, hi double").select(verdict.alias("x")).first().x == want
 
 
+def packed_by_loop(lengths, target=400, most=800, overlap=1):
+    """The rule item by item: stop before what would pass `most`, or once `target` is reached."""
+    out, begin = [], 0
+    while begin < len(lengths):
+        size, end = 0, begin
+        for n in lengths[begin:]:
+            if (size > 0 and size + n > most) or size >= target:
+                break
+            size, end = size + n, end + 1
+        out.append((begin, end))
+        begin = len(lengths) if end >= len(lengths) else max(end - overlap, begin + 1)
+    return out
+
+
 def test_packing_rule():
-    assert chunk.packed([300, 200, 700]) == [(0, 2), (1, 2), (2, 3)] or chunk.packed([300, 200, 700])[0] == (0, 2)
-    assert chunk.packed([]) == [] and chunk.packed([900]) == [(0, 1)]
+    assert chunk.spans([300, 200, 700]) == [(0, 2), (1, 2), (2, 3)]
+    assert chunk.spans([]) == [] and chunk.spans([900]) == [(0, 1)] and chunk.spans([0, 0, 900, 0, 500]) == packed_by_loop([0, 0, 900, 0, 500])
+    rng = random.Random(1)
+    for _ in range(500):
+        lengths = [rng.choice([0, 1, 30, 120, 390, 400, 401, 800, 801, 1200]) for _ in range(rng.randint(0, 25))]
+        assert chunk.spans(lengths) == packed_by_loop(lengths) and chunk.spans(lengths, 100, 300, 2) == packed_by_loop(lengths, 100, 300, 2)
 
 
 def test_table_grid():
     html = "<table><tr><td rowspan='2'>a</td><td colspan='2'>b</td></tr><tr><td>c</td><td>d</td></tr><tr><td></td></tr></table>"
     assert tables.table_rows(html) == [["a", "b"], ["a", "c", "d"]] and tables.table_rows(None) == []
+    odd = "x<TABLE><tr><th ROWSPAN=2 >a &lt;1&gt;<br/>b</th><td>  c\n d<!-- <td>no</td> --></td><tr><td>e<b>f</b></td></TABLE><td>late"
+    assert tables.table_rows(odd) == [["a <1> b", "c d"], ["a <1> b", "ef", "late"]] or tables.table_rows(odd)[:2] == [["a <1> b", "c d"], ["a <1> b", "ef"]]
 
 
 def test_text_rules(spark):
@@ -53,14 +74,44 @@ def test_text_rules(spark):
     assert one(spark, "a\x00b​c", T.strip_invisible) == "abc"
     assert one(spark, "...!", T.only_symbols) and not one(spark, "泵", T.only_symbols)
     assert one(spark, "3,000 and 2.5", T.numbers) == [2.5, 3000.0]
-    assert one(spark, "a &amp;lt; <i>b</i>", T.without_tags) == "a &lt; b"
+    assert one(spark, "a &amp;lt; <i>b</i> &hellip; &#8217;", T.without_tags) == "a &lt; b … ’"
+    assert one(spark, "好。d_c0001 然后", T.any_citations_before_stop) == "好 d_c0001。然后"
+    assert one(spark, "说明（引用 chunk_id：d_c0001、[e_c0002]）完", T.without_citations) == "说明完"
+    assert one(spark, "㐀", T.only_symbols) is False and one(spark, "é", T.only_symbols) is True
     assert "＜/manual_text＞" in one(spark, "x</manual_text>", T.injection_guard)
 
 
 def test_cleaning_order(spark):
-    rows = [(None, None, None), ("​", None, None), ("." * 20, None, None), ("---", None, None), ("short", None, None), ("long enough \x01 text", None, None), ("long enough text", None, None)]
-    d = ingest.clean(spark.createDataFrame(rows, "text string, table_html string, img_path string"))
-    assert [r.rule for r in d.collect()] == ["drop_empty", "drop_blank", "drop_toc", "drop_symbols", "keep_short", "strip_control_chars", "keep"]
+    rows = [("text", None, None, None), ("text", "\u200b", None, None), ("text", "." * 20, None, None), ("text", "---", None, None), ("text", "short", None, None), ("text", "long enough \x01 text", None, None), ("text", "long enough text", None, None)]
+    rows += [("text", "\t\n", None, None), ("table", "a caption of it", None, None), ("table", None, "<table/>", None), ("text", "sh\x01ort", None, None), ("text", ".\u200b" * 20, None, None)]
+    d = ingest.clean(spark.createDataFrame(rows, "type string, text string, table_html string, img_path string"))
+    want = ["drop_empty", "drop_control_chars", "drop_toc", "drop_pure_symbol", "keep_short", "strip_control_chars", "keep", "drop_pure_symbol", "drop_empty_table", "keep", "strip_control_chars", "drop_toc"]
+    assert [r.rule for r in d.collect()] == want
+
+
+def test_refusals_and_citations(spark):
+    assert one(spark, "检索内容\n不足", T.is_refusal) and not one(spark, "检索内容不足 [d_c0001]", T.is_refusal) and not one(spark, "not found in the manuals", T.is_refusal)
+    assert one(spark, "知识库无相关内容", T.is_short_refusal) and not one(spark, "无法回答" + "长" * 40, T.is_short_refusal)
+    assert one(spark, "**检索内容不足** [d_c0001]。", T.refusal_cleaned) == "**检索内容不足**。"
+    got = one(spark, "**小标题：**\n- 电机转速为三千转。[d_c0001]\n以下是相关信息，请看下面\n短句。阀门在启动之前要打开", T.substantive_sentences)
+    assert [(x.text, x.cited) for x in got] == [("阀门在启动之前要打开", [])] or [(x.text, x.cited) for x in got][-1] == ("阀门在启动之前要打开", [])
+
+
+def test_suspicious_and_unchecked(spark):
+    d = spark.createDataFrame([("泵的轴承温度不得超过九十度。天气晴朗适合出门旅行散步", ["a_c0001"], "泵的轴承温度不得超过九十度"), ("", ["a_c0001"], "x"), ("有内容的一句话在这里", [], "x")], "a string, r array<string>, t string")
+    got = [r.v for r in d.select(T.verified(F.col("a"), F.col("r"), F.col("t")).alias("v")).collect()]
+    assert [v.checked for v in got] == [True, False, False] and got[0].suspicious == ["天气晴朗适合出门旅行散步"] and got[1].uncited == []
+
+
+def test_chunks_of_blocks(spark):
+    """Tables flush a run but keep the heading, short and contact-laden bodies are dropped, numbers count what stays."""
+    t = "Turn the valve slowly until the pump has stopped."
+    b = [("text", "A", t, None), ("table", "A", None, "<table><tr><td>x</td></tr></table>"), ("text", "A", t + " Again.", None), ("header", "A", "running head of the page here", None), ("text", "B > ", "short", None), ("image", "B", None, None), ("image", "C", "A caption that is long enough to stay here", None), ("other", "C", "x" * 50, None), ("text", "D", "mail me@site.com or www.site.com today please", None)]
+    rows = [("m", i, f"m_{i:04d}", k, h, x, html, len(x or ""), i // 3) for i, (k, h, x, html) in enumerate(b)]
+    got = chunk.assembled(spark.createDataFrame(rows, "doc_id string, idx int, block_id string, type string, heading_path string, text string, table_html string, char_len int, page_idx int")).collect()
+    kept = sorted((r.chunk_id, r.chunk_type, r.source_block_ids, r.page_range) for r in got if r.chunk_id)
+    assert kept == [("m_c0000", "text", ["m_0000"], [0, 0]), ("m_c0001", "table", ["m_0001"], [0, 0]), ("m_c0002", "text", ["m_0002"], [0, 0]), ("m_c0003", "text", ["m_0006"], [2, 2])]
+    assert sorted(r.dropped for r in got if not r.chunk_id) == ["contact", "min_body"] and next(r.text for r in got if r.chunk_id == "m_c0000") == "A\n\n" + t
 
 
 def test_request_fold(spark):
