@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import jaccard, language, mixing, packing, secrets
-from quillon.llm.common import documents, ready, stored
+from quillon.llm.common import discard, documents, ready, shared_folder, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    """The last stage's rows. Each stage's table is written before the next one begins, and the one before it deleted."""
+    docs, before = documents(spark, sf_dir), None
+    for _, stage in STAGES[:-1]:
+        folder = shared_folder(spark)
+        docs = stored(stage(spark, docs, sf_dir), folder)
+        if before:
+            discard(spark, before)
+        before = folder
+    return STAGES[-1][1](spark, docs, sf_dir)

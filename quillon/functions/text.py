@@ -201,6 +201,7 @@ def page_label(first: Column, last: Column) -> Column:
 
 
 def duration_label(ms: Column) -> Column:
+    """Whole milliseconds, from a second on in tenths (halves up)."""
     return F.when(ms >= 1000, F.concat(F.format_string("%.1f", ms / 1000), F.lit(" 秒"))).otherwise(F.concat(F.format_string("%.0f", ms.cast("double")), F.lit(" 毫秒")))
 
 

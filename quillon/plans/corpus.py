@@ -179,7 +179,7 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""SELECT doc_id, left(regexp_replace(replace(replace(replace(text, chr(10), ' '), chr(13), ' '), '|', chr(92) || '|'), '^\s+', ''), 60) AS cell, sha1(text) AS key,
-    round(coalesce(length(regexp_replace(text, '[^0-9]', '', 'g')) / nullif(length(text), 0)::DOUBLE, 0), 6) AS digits, CASE WHEN n_chars >= 1000 THEN printf('%.1f', n_chars / 1000.0) || ' 秒' ELSE n_chars || ' 毫秒' END AS duration,
+    round(coalesce(length(regexp_replace(text, '[^0-9]', '', 'g')) / nullif(length(text), 0)::DOUBLE, 0), 6) AS digits, CASE WHEN n_chars >= 1000 THEN CAST(round(n_chars::DECIMAL(18, 0) * 0.001::DECIMAL(4, 3), 1) AS VARCHAR) || ' 秒' ELSE n_chars || ' 毫秒' END AS duration,
     printf('%+.3f', n_chars / 1000.0) AS signed, '第 ' || (doc_id % 5 + 1) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '–' || (doc_id % 5 + 2) END || ' 页' AS pages, to_json([source, lang]) AS listed FROM documents"""
 )
 def display_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
