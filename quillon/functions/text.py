@@ -223,9 +223,9 @@ def grams(c: Column, n: int) -> Column:
 
 
 def gram_overlap(a: Column, b: Column, n: int = 4) -> Column:
-    """Share of the distinct n-grams of a's loose text that occur in b's, three digits."""
-    g = grams(loose(a), n)
-    inside = F.filter(g, lambda x: F.contains(loose(b), x))
+    """Share of the distinct n-grams of a that occur in b, both loose already (columns of their own), three digits."""
+    g = grams(a, n)
+    inside = F.filter(g, lambda x: F.contains(b, x))
     return F.when(F.size(g) > 0, F.round(F.size(inside) / F.size(g), 3))
 
 

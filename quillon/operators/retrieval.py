@@ -78,6 +78,19 @@ def bm25_topk(index: Index, questions: DataFrame, k: int = PER_PATH, allowed: Da
     return scored.unionByName(fill).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def hashed_vectors(rows: DataFrame, key: str, text: str, width: int = 64) -> DataFrame:
+    """key, embedding (array<double> of length 1, or null without terms): counts of terms, in lower case, hashed to `width` places.
+
+    A stand-in where no embedding model is at hand; built-in functions only.
+    """
+    place = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % width
+    one = rows.select(F.col(key).alias("key"), F.explode_outer(terms(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
+    counts = one.groupBy("key", place.alias("place")).agg(F.count("term").cast("double").alias("n"))
+    held = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "n")))).alias("m"), F.sqrt(F.sum(F.when(F.col("place").isNotNull(), F.col("n") * F.col("n")))).alias("norm"))
+    vector = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"))
+    return held.select(F.col("key").alias(key), F.when(F.col("norm") > 0, vector).alias("embedding"))
+
+
 def _blocks(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """Each Arrow batch as one row: ids and the matrix of its vectors."""
 

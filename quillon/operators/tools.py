@@ -188,3 +188,31 @@ def history_query(turns: DataFrame, conv: str, turn: str, role: str, text: str)
     w = Window.partitionBy(conv).orderBy(F.desc(turn))
     kept = users.select(conv, text, F.lead(text).over(w).alias("_before"), F.row_number().over(w).alias("_n")).where(F.col("_n") == 1)
     return kept.select(conv, F.col(text).alias("question"), F.concat_ws(" ", "_before", text).alias("search"))
+
+
+RESULT = "call_id string, ok boolean, error string, content string"
+
+
+def dispatched(calls: DataFrame, handlers: dict) -> DataFrame:
+    """call_id, ok, error, content of calls (call_id, name, args): what doesn't fit a tool's arguments is an error at once, the rest goes to the tool's handler.
+
+    A handler takes the calls of its tool, args as a map, and returns rows of that form. A handler that can't be planned makes its
+    calls errors, and calls that a handler gives no row for are `no_result`; nothing is raised.
+    """
+    seen = checked_calls(calls).withColumn("call_id", F.col("call_id").cast("string"))
+    none = F.lit(None).cast("string")
+    out = seen.where(~F.col("ok")).select("call_id", "ok", "error", none.alias("content"))
+    for name in ARGUMENTS:
+        own = seen.where(F.col("ok") & (F.col("name") == name))
+        failed = "no_handler"
+        if name in handlers:
+            try:
+                given = handlers[name](own.select("call_id", F.from_json(F.coalesce("args", F.lit("{}")), "map<string,string>").alias("args")))
+                given = given.select(F.col("call_id").cast("string").alias("call_id"), "ok", "error", F.col("content").cast("string").alias("content"))
+                lost = own.join(given.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(False).alias("ok"), F.lit("no_result").alias("error"), none.alias("content"))
+                out = out.unionByName(given).unionByName(lost)
+                continue
+            except Exception as e:  # noqa: BLE001 - an error is data here
+                failed = type(e).__name__
+        out = out.unionByName(own.select("call_id", F.lit(False).alias("ok"), F.lit(failed).alias("error"), none.alias("content")))
+    return out

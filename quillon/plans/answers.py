@@ -362,3 +362,73 @@ def judged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     s = n.select(i.alias("id"), F.lit(1).alias("n"), F.when(i % 5 == 0, "na").when(i % 5 == 1, "none").otherwise("full").alias("support"), F.when(i % 3 == 1, "no such words at all").otherwise(F.concat(F.lit("IT is "), F.lower("n_name"))).alias("quote"), own.alias("by"), F.when(i % 4 == 0, none).otherwise(own).alias("cited"), own.alias("sources"))
     return answers.judged(s, chunks).select("id", "quote_ok", F.coalesce(F.col("cited_ok").cast("string"), F.lit("open")).alias("cited_ok"))
+
+
+@query(
+    """SELECT event_id AS id, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS tool_calls, CASE WHEN event_id % 2 = 0 THEN 'check_value,convert_unit' ELSE 'check_value' END AS tools_used, CAST(event_id % 3 = 0 AS INTEGER) AS tool_errors,
+    CASE WHEN event_id % 3 = 0 THEN '' ELSE 'm_c0001' END AS source, event_id % 2 = 0 AS expected_ok FROM events"""
+)
+def tool_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of each answer: an automatic search, a check that may fail, and a conversion in every second."""
+    i = F.col("event_id")
+    step = lambda name, args, ok, auto, out: F.struct(F.lit(name).alias("name"), F.lit(args).alias("args"), ok.alias("ok"), F.lit(auto).alias("auto"), F.lit(out).alias("output"))
+    own = F.array(step("search_manuals", "{}", F.lit(True), True, "x"), step("check_value", '{"source_chunk_id": "m_c0001", "limit_max": 3}', i % 3 != 0, False, "within"))
+    steps = F.when(i % 2 == 0, F.concat(own, F.array(step("convert_unit", '{"value": 2}', F.lit(True), False, "2 m = 2000 mm")))).otherwise(own)
+    d = table(spark, sf_dir, "events").select(i.alias("id"), answers.steps_summary(steps, F.array(F.lit("search_manuals"), F.lit("convert_unit"))).alias("s"))
+    found = F.array_join(F.array_compact(F.transform("s.computed", lambda c: c["source"])), ",")
+    return d.select("id", "s.tool_calls", F.array_join("s.tools_used", ",").alias("tools_used"), F.col("s.tool_errors"), found.alias("source"), F.col("s.tools_expected_ok").alias("expected_ok"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN -1.0 ELSE round((value * 2.0::DOUBLE + event_id % 10 * 8.0::DOUBLE) / 1e6::DOUBLE, 9) END AS cost FROM events")
+def upper_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most that each answer cost: nothing for the gate's, -1 where tokens aren't known."""
+    i = F.col("event_id")
+    cost = answers.expected_cost(F.when(i % 3 == 0, "rejected_gate").otherwise("answered"), F.when(i % 3 == 2, F.col("value")), i % 10, 2.0, 8.0)
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(cost, F.lit(-1.0)).alias("cost"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS id, regexp_replace(lower(p_name || p_type), '[^0-9a-z]', '', 'g') AS a, regexp_replace(lower(p_name || p_brand), '[^0-9a-z]', '', 'g') AS b FROM part),
+    g AS (SELECT id, b, list_distinct(list_transform(range(1, length(a) - 2), lambda i: substr(a, i, 4))) AS grams FROM p)
+    SELECT id, round(len(list_filter(grams, lambda x: contains(b, x))) / len(grams)::DOUBLE, 3) AS overlap FROM g"""
+)
+def gram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of a part's name and type stands in its name and brand."""
+    p = table(spark, sf_dir, "part").withColumns({"a": T.loose(F.concat("p_name", "p_type")), "b": T.loose(F.concat("p_name", "p_brand"))})
+    return p.select(F.col("p_partkey").alias("id"), T.gram_overlap(F.col("a"), F.col("b")).alias("overlap"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id, 'd_c' || lpad(CAST(doc_id % 7 AS VARCHAR), 4, '0') AS x, 'd_c' || lpad(CAST(doc_id % 11 AS VARCHAR), 4, '0') AS y FROM documents)
+    SELECT doc_id, 'So [cite](#cite-' || x || ')[cite](#cite-' || y || ')。' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'Thus [cite](#cite-' || y || ')' END AS shown FROM a"""
+)
+def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations as links; a citation that breaks off at the end goes."""
+    a = F.concat(F.lit("So （chunk_id: "), _fact(7), F.lit("，"), _fact(11), F.lit("）。"), F.when(F.col("doc_id") % 2 == 0, "[d_c0").otherwise(F.concat(F.lit("Thus 【"), _fact(11), F.lit("】"))))
+    return table(spark, sf_dir, "documents").select("doc_id", T.linked_citations(a).alias("shown"))
+
+
+@query(
+    r"""SELECT p_partkey, regexp_matches(lower(p_name || ' of ' || p_size || '.50 mm to ' || p_size + 1 || ' mm'), '(^|[^0-9.])' || p_size || '\.50* ?mm') AS matched, p_size % 2 = 0 AS grounded FROM part"""
+)
+def fact_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key fact's number in each part's text, whatever zeros follow it; and whether its numbers are in the evidence."""
+    from quillon.operators import facts
+
+    size = F.col("p_size")
+    p = table(spark, sf_dir, "part")
+    told = T.match_text(F.concat("p_name", F.lit(" of "), size, F.lit(".50 mm to "), size + 1, F.lit(" mm")))
+    sizes = [r[0] for r in p.select("p_size").distinct().collect()]  # 50 sizes at most
+    known = F.create_map(*[F.lit(x) for n in sorted(sizes) for x in (n, facts.expanded(f"{{n:{n}.5}}{{mm}}"))])
+    declared = F.array(F.array(size.cast("string")))
+    evidence = F.when(size % 2 == 0, F.concat(F.lit("it is "), size)).otherwise("nothing")
+    return p.withColumn("told", told).select("p_partkey", facts.matches(F.col("told"), F.array(known[size])).alias("matched"), facts.numbers_grounded(evidence, declared).alias("grounded"))
+
+
+@query("SELECT event_id, CASE WHEN value >= 1000 THEN printf('%.1f', value) ELSE CAST(CAST(round(value, 3 - CAST(floor(log10(greatest(abs(value), 1e-9))) AS INTEGER)) AS DOUBLE) AS VARCHAR) END AS shown FROM (SELECT event_id, CAST(event_id % 9 + 1 AS DOUBLE) * 12.5 AS value FROM events)")
+def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values with four significant digits."""
+    from quillon.operators import units
+
+    v = units.shown((F.col("event_id") % 9 + 1).cast("double") * 12.5)
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.contains(v, F.lit(".")), v).otherwise(F.concat(v, F.lit(".0"))).alias("shown"))

@@ -258,3 +258,31 @@ def request_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("request_id"), i.alias("seq"), F.when(i % 40 == 13, "done").when(i % 40 == 27, "error").otherwise("token").alias("event"), F.concat("event_type", F.lit(" ")).alias("data"))
     return stream.request_rows(stream.once_each(e))
+
+
+@query(
+    """SELECT CAST(event_id AS VARCHAR) AS call_id, event_id % 6 IN (5) AS ok, CASE event_id % 6 WHEN 0 THEN 'unknown_tool' WHEN 1 THEN 'bad_json' WHEN 2 THEN 'missing:query' WHEN 3 THEN 'no_handler' WHEN 4 THEN 'no_result' ELSE '' END AS error,
+    CASE WHEN event_id % 6 = 5 THEN 'found ' || event_type ELSE '' END AS content FROM events"""
+)
+def dispatched_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that a handler answers, that it leaves out, that have none, and that don't fit."""
+    m = F.col("event_id") % 6
+    name = F.when(m == 0, "fly").when(m == 3, "lookup_table").otherwise("search_manuals")
+    args = F.when(m == 1, "{query").when(m == 2, "{}").when(m == 3, '{"keywords": "k"}').when(m == 4, '{"query": ""}').otherwise(F.concat(F.lit('{"query": "'), "event_type", F.lit('"}')))
+    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), name.alias("name"), args.alias("args"))
+
+    def search(own: DataFrame) -> DataFrame:
+        asked = own.where(F.col("args")["query"] != "")
+        return asked.select("call_id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.concat(F.lit("found "), F.col("args")["query"]).alias("content"))
+
+    return tools.dispatched(calls, {"search_manuals": search}).na.fill("")
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) AS term FROM documents), c AS (SELECT doc_id, CAST('0x' || left(md5(term), 8) AS BIGINT) % 64 AS place, count(*)::DOUBLE AS n FROM t GROUP BY ALL)
+    SELECT doc_id, CAST(count(*) AS BIGINT) AS places, round(sum(n) / sqrt(sum(n * n)), 6) AS total, round(max(n) / sqrt(sum(n * n)), 6) AS most FROM c GROUP BY doc_id"""
+)
+def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of hashed terms: how many places they fill, their sum and their largest."""
+    v = retrieval.hashed_vectors(table(spark, sf_dir, "documents"), "doc_id", "text").where("embedding IS NOT NULL")
+    return v.select("doc_id", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("places"), F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x), 6).alias("total"), F.round(F.array_max("embedding"), 6).alias("most"))
