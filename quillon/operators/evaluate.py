@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.storage import numbered
+
 Z = 1.96
 
 
@@ -47,16 +49,17 @@ def alternating_split(rows: DataFrame, stratum: str, key: str, existing: DataFra
     Keys that `existing` (key, split) holds keep theirs; new ones first make up for the side that has fewer of their stratum.
     """
     if existing is None:
-        w = Window.partitionBy(stratum).orderBy(F.sha1(F.col(key).cast("string")), key)
-        return rows.withColumn("split", F.when(F.row_number().over(w) % 2 == 1, "dev").otherwise("test"))
+        d = numbered(rows.withColumn("_hash", F.sha1(F.col(key).cast("string"))), [stratum], ["_hash", key], "_k")
+        return d.withColumn("split", F.when(F.col("_k") % 2 == 1, "dev").otherwise("test")).drop("_k", "_hash")
     d = rows.join(existing.select(key, F.col("split").alias("_old")), key, "left")
     have = d.groupBy(F.col(stratum).alias("_of")).agg((F.count_if(F.col("_old") == "dev") - F.count_if(F.col("_old") == "test")).alias("_lead"))
-    w = Window.partitionBy(stratum, F.col("_old").isNull()).orderBy(F.sha1(F.col(key).cast("string")), key)
-    d = d.join(have, F.col(stratum).eqNullSafe(F.col("_of"))).drop("_of").withColumn("_k", F.row_number().over(w))
+    d = d.withColumn("_new", F.col("_old").isNull()).withColumn("_hash", F.sha1(F.col(key).cast("string")))
+    d = numbered(d, [stratum, "_new"], ["_hash", key], "_k")
+    d = d.join(have, F.col(stratum).eqNullSafe(F.col("_of"))).drop("_of")
     lead = F.abs("_lead")
     short = F.when(F.col("_lead") > 0, "test").otherwise("dev")
     new = F.when(F.col("_k") <= lead, short).when((F.col("_k") - lead) % 2 == 1, "dev").otherwise("test")
-    return d.withColumn("split", F.coalesce("_old", new)).drop("_old", "_lead", "_k")
+    return d.withColumn("split", F.coalesce("_old", new)).drop("_old", "_lead", "_k", "_new", "_hash")
 
 
 def split_table(rows: DataFrame, by: str) -> DataFrame:
@@ -176,9 +179,10 @@ def quota_sample(rows: DataFrame, stratum: str, key: str, total: int, preferred:
         first = Window.partitionBy(stratum, covered).orderBy(F.desc(F.coalesce(preferred, F.lit(False)).cast("int")), F.sha1(F.col(key).cast("string")), key)
         rows = rows.withColumn("_first", (F.row_number().over(first) == 1).cast("int"))
         order = Window.partitionBy(stratum).orderBy(F.desc("_first"), F.desc(F.coalesce(preferred, F.lit(False)).cast("int")), F.sha1(F.col(key).cast("string")), key)
-        return rows.withColumn("nth", F.row_number().over(order)).join(q, stratum).where(F.col("nth") <= F.col("quota")).drop("quota", "_first")
+        return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= total).join(q, stratum).where(F.col("nth") <= F.col("quota")).drop("quota", "_first")
     order = Window.partitionBy(stratum).orderBy(F.desc(F.coalesce(preferred, F.lit(False)).cast("int")), F.sha1(F.col(key).cast("string")), key)
-    return rows.withColumn("nth", F.row_number().over(order)).join(q, stratum).where(F.col("nth") <= F.col("quota")).drop("quota")
+    first = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= total)  # each task keeps so many of a stratum
+    return first.join(q, stratum).where(F.col("nth") <= F.col("quota")).drop("quota")
 
 
 def fabricated(cited: Column, retrieved: Column) -> Column:

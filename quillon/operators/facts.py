@@ -15,6 +15,7 @@ MACROS = {"mm": "(?:mm|毫米)", "C": "(?:°c|摄氏度|度)", "F": "(?:°f|华
 MACRO = re.compile(r"\{(?:n:(?P<number>[0-9][0-9.,/]*)|(?P<name>mm|C|F|in|to))\}")
 
 
+# The shape of a number alone, which decides what matches.
 def number_pattern(number: str) -> str:
     """Matches the number alone: not within a longer one, with or without thousands commas and zeros at the end."""
     if "/" in number:
