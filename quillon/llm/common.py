@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillon.storage import discard, shared_folder, stored  # noqa: F401
+
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows of an Arrow batch sent to Python: with long texts a batch stays in the tens of MB.
 BATCH_ROWS = 500
@@ -31,30 +31,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset a local run takes a folder of its own; on a cluster that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write the table to the shared folder and read it back: its lineage ends there, and lost executors cost nothing."""
-    path = f"{folder or shared_folder(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of stored tables that nothing reads any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of df has it, whatever the case."""
     have = {c.lower() for c in df.columns}
