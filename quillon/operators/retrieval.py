@@ -48,11 +48,11 @@ def bm25_index(docs: DataFrame, key: str, text: str) -> Index:
     return Index(words, idf, stats)
 
 
-def bm25_topk(index: Index, questions: DataFrame, k: int = PER_PATH, allowed: DataFrame | None = None) -> DataFrame:
+def bm25_topk(index: Index, questions: DataFrame, k: int = PER_PATH, tags: DataFrame | None = None) -> DataFrame:
     """q_id, key, score, rank: every question has min(k, documents) rows; documents without a shared term score 0.
 
-    questions has q_id and q_text. allowed (q_id, key): the documents that count for a question; the
-    weights stay those of all documents. Ties go to the larger key.
+    questions has q_id and q_text. With tags (key, tag), questions have a tag too and only documents of it count
+    (null: all); the weights stay those of all documents. Ties go to the larger key.
 
     Only terms of questions are counted and only shared ones scored. Fillers: where the mean idf isn't
     negative no score is, so fewer than k documents are above 0 and among the 2k largest keys k are not;
@@ -65,14 +65,22 @@ def bm25_topk(index: Index, questions: DataFrame, k: int = PER_PATH, allowed: Da
     weight = F.col("idf") * F.col("tf") * d(K1 + 1) / (F.col("tf") + d(K1) * (d(1 - B) + d(B) * F.col("dl") / F.col("avgdl")))
     hits = tf.join(weighed, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
     scored = hits.groupBy("q_id", "key").agg(F.round(F.sum(F.col("times") * weight), 6).alias("score"))
-    if allowed is None:
-        keys = index.words.select("key")
-        largest = keys.orderBy(F.desc("key")).limit(2 * k)
-        negative = keys.crossJoin(F.broadcast(index.stats.select("mean"))).where(F.col("mean") < 0).select("key")
-        fill = questions.select("q_id").crossJoin(F.broadcast(largest)).union(questions.select("q_id").crossJoin(negative)).distinct()  # 2k rows
+    negative = index.stats.select("mean").where(F.col("mean") < 0)
+    keys = index.words.select("key")
+    largest = keys.orderBy(F.desc("key")).limit(2 * k)
+    if tags is None:
+        every = keys.crossJoin(F.broadcast(negative)).select("key")  # one row or none
+        fill = questions.select("q_id").crossJoin(largest.union(every).distinct())
     else:
-        scored = scored.join(allowed.select("q_id", "key"), ["q_id", "key"], "left_semi")
-        fill = allowed.select("q_id", "key")
+        of = tags.select("key", F.col("tag").alias("of"))
+        own = F.col("tag").isNull() | (F.col("tag") == F.col("of"))
+        scored = scored.join(of, "key").join(questions.select("q_id", "tag"), "q_id").where(own).drop("of", "tag")
+        nth = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("key")))
+        first = of.where(F.col("of").isNotNull()).withColumn("n", nth).where(F.col("n") <= 2 * k).select("key", "of")
+        first = first.union(largest.withColumn("of", F.lit(None).cast(dict(of.dtypes)["of"])))
+        fill = questions.select("q_id", "tag").join(first, F.col("tag").eqNullSafe(F.col("of"))).select("q_id", "key")
+        every = questions.select("q_id", "tag").join(of.crossJoin(F.broadcast(negative)), own).select("q_id", "key")  # one row or none
+        fill = fill.union(every).distinct()
     fill = fill.join(scored, ["q_id", "key"], "left_anti").withColumn("score", F.lit(0.0))
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), F.desc("key"))
     return scored.unionByName(fill).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -150,12 +158,9 @@ def search(index: Index, vectors: DataFrame, questions: DataFrame, key: str, vec
     filtered before ranking, lexical hits after scoring, under the weights of all documents. What only the lexical
     path found gets its distance too; top1 is the nearest distance within the filter.
     """
-    allowed = None
-    if tagged is not None:
-        own = vectors.select(F.col(key).alias("key"), F.col(tagged).alias("_of"))
-        allowed = questions.select("q_id", tagged).join(own, F.col(tagged).isNull() | (F.col(tagged) == F.col("_of"))).select("q_id", "key")
+    tags = None if tagged is None else vectors.select(F.col(key).alias("key"), F.col(tagged).alias("tag"))
     near = cosine_topk(vectors, questions, key, vector, tagged=tagged)
-    fused = rrf(near, bm25_topk(index, questions, allowed=allowed), k)
+    fused = rrf(near, bm25_topk(index, questions if tagged is None else questions.withColumn("tag", F.col(tagged)), tags=tags), k)
     dot = F.aggregate(F.zip_with(F.col("_v").cast("array<double>"), F.col("q_vec").cast("array<double>"), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
     met = fused.join(vectors.select(F.col(key).alias("key"), F.col(vector).alias("_v")), "key", "left").join(questions.select("q_id", "q_vec"), "q_id")
     top = near.groupBy("q_id").agg(F.min("distance").alias("top1"))
