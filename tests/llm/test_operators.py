@@ -319,6 +319,17 @@ def test_language(spark, docs, empty):
     got = {r.doc_id: r for r in language.predict(d, language.fit(language.training_rows(d))).collect()}
     assert all(got[i].lang_pred == x and 0 <= got[i].score <= 1 and not got[i].rejected for i, t, x in rows[:180])
     assert all(got[i].lang_pred == "und" and got[i].rejected for i in (900, 901, 902))
+    repeated = language.fit(language.training_rows(d.union(d.where("doc_id < 9").withColumn("n", F.explode(F.array_repeat(F.lit(1), 50))).drop("n"))))
+    model = language.fit(language.training_rows(d))
+    assert repeated.languages == model.languages and len(repeated.of) == len(model.of) >= 2 * len(model.languages)
+    found = language.predict(d, model).collect()
+    for r, (_, t, _) in zip(sorted(found, key=lambda r: r.doc_id), sorted(rows), strict=True):
+        counts = language.trigram_counts([t or ""])
+        cosine = (language.vectors(counts, model.idf) @ model.centroids.T)[0]
+        known = bool(re.search(r"[^\W\d_]", t or ""))
+        limit = model.limits[model.of[cosine.argmax()], language.bands(counts)[0]]
+        assert r.lang_pred == (model.languages[model.of[cosine.argmax()]] if known else "und")
+        assert r.rejected == (not known or r.score < limit) and r.score == pytest.approx(cosine.max() if known else 0.0, abs=1e-5)
     model = language.fit(empty)
     assert language.predict(docs, model).where("lang_pred <> 'und'").count() == 0 and language.predict(empty, model).count() == 0
 
