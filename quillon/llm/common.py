@@ -27,6 +27,15 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def lean() -> None:
+    """Free what a Python worker keeps for encoding tokens, before work of another kind: workers are used again, and their memory is not the JVM's to reclaim."""
+    import sys
+
+    tokens = sys.modules.get("quillon.llm.tokens")
+    if tokens is not None:
+        tokens._LOADED.clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, documents, fresh, key_filter, passing, ready, salted, shared_folder, stored
+from .common import discard, documents, fresh, key_filter, lean, passing, ready, salted, shared_folder, stored
 from .components import components
 from .shingles import mixed, shingle_set
 
@@ -39,6 +39,8 @@ PERCENT = 80
 FILL, LEAST_BLOCKS = 35, 64
 #: Shingles met most often (a bounded list) go into the last blocks; it steers the work, not the result.
 COMMON, COMMON_LEAST, CHUNK = 50_000, 4, 1_000_000
+#: Keys of a chunk, within which equal ones meet before the shuffle.
+KEYS = 300_000
 SKETCH_BITS = 512
 PARTS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 #: Members of a cell in which pairs are verified, and pairs of one class that share a copy of its text.
@@ -110,6 +112,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
     types = [pa.int64()] * (4 + len(PARTS)) + [pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held: list[np.ndarray] = []
         size, seen = 0, set()
 
@@ -158,6 +161,7 @@ def _blocks(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(c), of], names=["key", "class", "of"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         seen: set[int] = set()
         keys, classes, size = [], [], 0
         for batch in batches:
@@ -170,7 +174,7 @@ def _blocks(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
                 keys.append(block_keys(s, shared.value, percent))
                 classes.append(np.full(len(keys[-1]), c, dtype=np.int64))
                 size += len(keys[-1])
-            if size > CHUNK:
+            if size > KEYS:
                 yield from dealt(keys, classes)
                 keys, classes, size = [], [], 0
         yield from dealt(keys, classes)
