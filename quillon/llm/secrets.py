@@ -1,8 +1,8 @@
 """Secret scans over a trigram inverted index.
 
 From each rule's regular expression follow the trigrams that any match must hold, as a Boolean
-query: some alternative, all of its trigrams. One pass over each text extracts its trigrams that any
-rule asks for; these are the index's postings. Intersecting them gives each rule's candidates, which the expression then verifies.
+query: some alternative, all of its trigrams, of which the rarest are asked for. The index has the documents of each such trigram;
+intersecting its postings gives each rule's candidates, which the expression then verifies.
 Rules without mandatory trigrams scan every text. DataFrame and SQL functions alone.
 """
 
@@ -70,28 +70,32 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
         return into
 
     found_ = [frozenset(f[i : i + 3] for f in a for i in range(len(f) - 2)) for a in walk(p.parse(pattern), [[""]])]
-    return found_ if found_ and all(found_) else None
+    least = {a for a in found_ if not any(b < a for b in found_)}  # (A or A and B) is A
+    return [a for a in dict.fromkeys(found_) if a in least] if found_ and all(found_) else None
 
 
-def any_of(grams: list[str]) -> str:
-    """A regular expression that stands before each of the trigrams, overlaps included, by first, second and third character."""
-    tree: dict[str, dict[str, set[str]]] = {}
-    for x, y, z in grams:
-        tree.setdefault(x, {}).setdefault(y, set()).add(z)
-    sign = lambda x: x if x.isalnum() else f"\\x{{{ord(x):x}}}"
-    inner = lambda t: "|".join(f"{sign(y)}[{''.join(map(sign, sorted(z)))}]" for y, z in sorted(t.items()))
-    return "(?=(" + "|".join(f"{sign(x)}(?:{inner(t)})" for x, t in sorted(tree.items())) + "))"
+#: Trigrams of an alternative that the index holds, by the letters' rarity: others hardly thin out its candidates.
+ASKED = 2
+#: Signs from the most frequent on (of English); any other is rarer.
+FREQUENT = " -etaoinshrdlcumwfgypbvkjxqz"
+
+
+def rarest(alternative: frozenset[str], most: int = ASKED) -> list[str]:
+    """The trigrams of the rarest signs: each match holds all trigrams of its alternative, so it holds these."""
+    rank = lambda x: FREQUENT.index(x) if x in FREQUENT else len(FREQUENT)
+    return sorted(alternative, key=lambda g: (-sum(map(rank, g)), g))[:most]
 
 
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """gram, doc_id, text_hash: the documents that hold each of the trigrams, case aside; one pass over each text for all of them."""
-    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_of(grams)), F.lit(1)))
+    """gram, doc_id, text_hash: the documents that hold each of the trigrams, case aside. Each text is lowered once and stays where it is."""
+    wanted = F.array(*[F.lit(g) for g in grams])
+    held = F.transform(F.array(F.lower("text")), lambda t: F.filter(wanted, lambda g: F.contains(t, g)))[0]
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(held).alias("gram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """doc_id, text_hash, rules: the rules whose trigram queries a document satisfies."""
-    clauses = [(r.kind, i, g, len(alt)) for r in rules for i, alt in enumerate(trigram_query(r.pattern) or []) for g in sorted(alt)]
+    clauses = [(r.kind, i, g, len(asked)) for r in rules for i, alt in enumerate(trigram_query(r.pattern) or []) for asked in [rarest(alt)] for g in asked]
     table = docs.sparkSession.createDataFrame(clauses, "rule string, alternative int, gram string, need int")
     index = postings(docs, sorted({g for _, _, g, _ in clauses}))
     hits = index.join(F.broadcast(table), "gram")  # a row for each trigram of the rules
