@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
-#: Words that a worker remembers before it starts again.
-CACHE_WORDS = 1_500_000
+#: Words that a worker remembers: the first that it meets, which are the frequent ones; it starts again when it had to forget RENEW times as many.
+CACHE_WORDS, RENEW = 400_000, 8
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([.,;:!?]*)\Z")
 _LOADED: dict[str, Encoder] = {}
 
@@ -66,6 +66,7 @@ class Encoder:
             return
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
         self.cache: dict[bytes, bytes] = {}
+        self.forgotten = 0
         signs = byte_symbols()
         self.inner = np.array([vocab[s] for s in signs], dtype=np.int64)
         self.last = np.array([vocab[s + suffix] for s in signs], dtype=np.int64)
@@ -157,8 +158,6 @@ class Encoder:
         return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
         plain, odd = [], []
         for w in words:
             m = _PLAIN.match(w) if len(w) <= 64 else None
@@ -187,10 +186,7 @@ class Encoder:
         every = set(chain.from_iterable(w for w in words if w))
         new = every.difference(self.cache)
         if new:
-            n = len(self.cache)
             self._learn(list(new))
-            if len(self.cache) < n:  # it started again
-                self._learn(list(every.difference(self.cache)))
         get = self.cache.__getitem__
         out = []
         for t, w in zip(texts, words, strict=True):
@@ -198,4 +194,12 @@ class Encoder:
                 out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes())
             else:
                 out.append(b"".join(map(get, w)))
+        over = min(len(self.cache) - CACHE_WORDS, len(new))
+        if over > 0:
+            for w in islice(new, over):
+                del self.cache[w]
+            self.forgotten += over
+            if self.forgotten > RENEW * CACHE_WORDS:
+                self.cache.clear()
+                self.forgotten = 0
         return out

@@ -204,6 +204,17 @@ def test_suffix_classes_are_sorted():
     assert [strings[i] for i in order] == sorted(strings) and common.tolist() == [-1, 0, 1, 2, 3, 2]
 
 
+def test_ids_while_words_are_forgotten(monkeypatch):
+    from quillon.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    made, rng = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")), np.random.default_rng(7)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice(list("abcäé,.1"), rng.integers(1, 6))) for _ in range(60)) for _ in range(3)]
+        assert [np.frombuffer(b, made.dtype).tolist() for b in made.encode(texts)] == [ids_of(t)[:-1].tolist() for t in texts]
+        assert len(made.cache) <= 50 + 40
+
+
 def test_other_tokenizers_go_to_the_library():
     from tokenizers import Tokenizer
 

@@ -104,3 +104,12 @@ def test_packing_holds_each_id_once(steps):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_stages_of_an_empty_table(spark, steps):
+    """Each stage takes a table without rows and returns one with its columns."""
+    columns = steps[0][0]
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").select(*columns)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, empty, "")
+        assert out.count() == 0 and (out.columns == columns or n == len(corpus_pipeline.STAGES) - 1)
