@@ -30,6 +30,8 @@ CONTEXT = 60
 #: Digits that a token has at least.
 DIGITS = 4
 ROUNDS, CONFIDENCE, SEEDS = 3, 0.8, 5
+#: How much the score of an instance that is no seed counts for a pattern: at 1, a pattern and its instances would raise each other without end.
+TRUST = 0.5
 
 
 def _digits(m: Column) -> Column:
@@ -101,7 +103,7 @@ def extract(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENC
     patterns = None
     for turn in range(rounds):
         tokens = stored(tokens)
-        patterns = salted(edges.select("pattern", "token"), tokens, "token").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("rate"), F.sum(F.col("known").cast("int")).alias("seeds"))
+        patterns = salted(edges.select("pattern", "token"), tokens, "token").groupBy("pattern").agg((F.sum(F.when(F.col("known"), 1.0).otherwise(TRUST * F.col("score"))) / (F.count(F.lit(1)) + 1)).alias("rate"), F.sum(F.col("known").cast("int")).alias("seeds"))
         patterns = stored(patterns)
         if turn < rounds - 1:
             weight = F.log1p(-F.least(F.col("rate"), F.lit(0.999)))

@@ -109,8 +109,8 @@ def test_pii_finds_unseen_identifiers_in_a_corpus(spark):
     for n, (i, text) in enumerate(sf[:600]):
         cut = text.find(" ", len(text) // 3) + 1 or len(text)
         number = int(rng.integers(10**7, 10**8))
-        put = {0: f"Contact ID: agent{n}@mail.example.com (file {n % 9}) ", 1: f"contact id {number}-{n % 10}, (file 3) ", 2: f"order of {number} pieces "}.get(n % 5, "")
-        if n % 5 == 1:
+        put = {0: f"Contact ID: agent{n}@mail.example.com (file {n % 9}) ", 1: f"contact id {number}-{n % 10}, (file 3) ", 2: f"order of {number} pieces "}.get(n % 3 and n % 10, "")
+        if n % 3 and n % 10 == 1:
             start = cut + len("contact id ")
             hidden[i] = f"context:{start}:"
         rows.append((i, text[:cut] + put + text[cut:]))
