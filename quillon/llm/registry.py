@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, fingerprints, jaccard, knn, language, mixing, packing, pii, records, secrets
+from . import dedup, fingerprints, jaccard, knn, language, mixing, packing, pii, records, resampling, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_knn": knn.op1_knn,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": language.op8_language,
     "op9_secrets": secrets.op9_secrets,
     "op10_packing": packing.op10_packing,
+    "op11_resampling": resampling.op11_resampling,
 }
-SQL: dict[str, str] = {"op1_knn": knn.SQL, "op4_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op1_knn": knn.SQL, "op4_mixing": mixing.SQL, "op11_resampling": resampling.SQL}
