@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, dedup, fingerprints, jaccard, knn, language, mixing, packing, pii, records, resampling, secrets
+from . import conversations, dedup, fingerprints, jaccard, knn, language, lm, mixing, packing, pii, records, resampling, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_knn": knn.op1_knn,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": secrets.op9_secrets,
     "op10_packing": packing.op10_packing,
     "op11_resampling": resampling.op11_resampling,
+    "op12_lm": lm.op12_lm,
     "op13_repair": conversations.op13_repair,
 }
 SQL: dict[str, str] = {"op1_knn": knn.SQL, "op4_mixing": mixing.SQL, "op11_resampling": resampling.SQL, "op13_repair": conversations.SQL}
