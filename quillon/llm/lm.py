@@ -30,7 +30,7 @@ from .shingles import mixed, word_hashes
 
 ORDER, ADDED, FOLDS = 2, 0.1, 10
 #: Tokens of a chunk and of a piece of a document, bytes hashed at a time, keys of a shard, tokens of a stretch.
-CHUNK, PIECE, BYTES, SHARD, STRETCH = 2_000_000, 500_000, 4_000_000, 2_000_000, 2048
+CHUNK, PIECE, BYTES, SHARD, STRETCH = 1_250_000, 500_000, 4_000_000, 2_000_000, 2048
 #: Bounds of m, and of the powers of 2 (in eighths) by which counts are told apart when it is found.
 LEAST, MOST, EIGHTHS = 0.01, 1e6, 400
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -201,6 +201,7 @@ def _totals(chunks: DataFrame, order: int, shards: int) -> DataFrame:
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "n": pa.array([n] * rows, pa.int32()), "shard": pa.array([shard] * rows, pa.int32()), "totals": pa.array(blobs, pa.binary())})
 
     asked = chunks.select("chunk", "pieces", "words", "ids").mapInArrow(ask, "chunk long, n int, shard int, keys binary, counts binary")
+    asked = asked.repartition(order * shards, "n", "shard")  # tasks as many as shards, however Spark is set
     return stored(asked.groupBy("n", "shard").applyInArrow(answer, "chunk long, n int, shard int, totals binary"))
 
 
@@ -295,8 +296,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     every token has probability 1; an empty table gives no rows. N-grams are told apart by 64-bit hashes.
     """
     chunks = _chunks(docs, order)
-    sums = chunks.agg(F.sum("train").alias("train"), F.sum("size").alias("size")).first()
-    train, size = sums.train or 0, sums.size or 0
+    sums = chunks.agg(F.sum("train").alias("train"), F.sum("size").alias("size"), F.count("chunk").alias("n")).first()
+    train, size, tasks = sums.train or 0, sums.size or 0, max(1, sums.n)
     shards = max(1, -(-size * order // SHARD))
     totals = _totals(chunks, order, shards)
     table = {n: np.zeros(2 * EIGHTHS + 4, dtype=np.int64) for n in range(1, order + 1)}
@@ -322,7 +323,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         columns = [about["doc"], doc_id, about["held"].astype(bool), about["counted"], known, base, machine.traverse()]
         return pa.table(dict(zip([f.split()[0] for f in _PIECES.split(", ")], columns, strict=True)))
 
-    pieces = chunks.select("chunk", "pieces", "words", "ids").groupBy("chunk").cogroup(totals.where("chunk is not null").groupBy("chunk")).applyInArrow(scored, _PIECES)
+    asking, answers = chunks.select("chunk", "pieces", "words", "ids").repartition(tasks, "chunk"), totals.where("chunk is not null").repartition(tasks, "chunk")
+    pieces = asking.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, _PIECES)
     whole = [F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]]
     out = pieces.groupBy("doc").agg(*whole)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")
