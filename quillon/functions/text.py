@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,7 +15,8 @@ from pyspark.sql.types import StringType
 INVISIBLE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\p{Cf}\p{Cs}\p{Co}\p{Cn}]"
 CHUNK_ID = r"[A-Za-z0-9_]+_c[0-9]{4}"
 SENTENCE_END = r"[。！？\n]"
-TERM = r"[A-Za-z0-9_]+"
+HAN = r"\p{IsHan}+"
+TERM = rf"{HAN}|[\p{{L}}\p{{M}}\p{{N}}_&&[^\p{{IsHan}}]]+"
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}"
 CONTACTS = (
     r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+",
@@ -49,9 +51,18 @@ def char_len(c: Column) -> Column:
     return F.coalesce(F.length(c), F.lit(0))
 
 
-def terms(c: Column) -> Column:
-    """Words of ASCII letters, digits and underscores; case is kept."""
-    return F.regexp_extract_all(c, F.lit(TERM), F.lit(0))
+def terms(c: Column, cut: Callable[[Column], Column] | None = None) -> Column:
+    """Words of letters, marks, digits and underscores of any script; case is kept.
+
+    A run of Han characters has no white space within: `cut` (segment.cutter) cuts it by a dictionary;
+    without one its overlapping pairs stand for its words.
+    """
+    runs = F.regexp_extract_all(c, F.lit(TERM), F.lit(0))
+    if cut is not None:
+        return F.coalesce(cut(F.when(c.rlike(HAN), runs)), runs)
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    spread = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(HAN) & (F.length(r) > 1), pairs(r)).otherwise(F.array(r))))
+    return F.when(c.rlike(HAN), spread).otherwise(runs)
 
 
 def heading_normal(c: Column) -> Column:

@@ -3,126 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions.text import terms
-from quillon.storage import stored
+from quillon.operators.lexical import Index, bm25_index, bm25_topk  # noqa: F401
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 PER_PATH, RRF_K = 20, 60
-#: Documents, and questions, of a block.
-BLOCK = 512
-
-
-@dataclass
-class Index:
-    """words (key, terms, dl), idf (term, idf) and stats (n, avgdl, mean: of the vocabulary's raw idf)."""
-
-    words: DataFrame
-    idf: DataFrame
-    stats: DataFrame
-
-    def write(self, folder: str) -> Index:
-        """Overwrite the index's tables, the terms of each document and their weights, and read them back."""
-        for name in ("words", "idf", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
-        return Index.read(self.words.sparkSession, folder)
-
-    @staticmethod
-    def read(spark: SparkSession, folder: str) -> Index:
-        return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("words", "idf", "stats")))
-
-
-def bm25_index(docs: DataFrame, key: str, text: str) -> Index:
-    """Negative idf is raised to EPSILON times the vocabulary's mean.
-
-    One pass over the documents counts each term's documents, and under a term of its own (empty) all documents and their lengths;
-    these counts are stored, and only they are shuffled.
-    """
-    words = docs.select(F.col(key).alias("key"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms"))
-    half = F.lit(0.5).cast("double")
-    each = words.select("dl", F.explode(F.array_append(F.array_distinct("terms"), F.lit(""))).alias("term"))
-    counts = stored(each.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("dl").cast("double").alias("sum")))
-    size = counts.where("term = ''").select(F.col("df").alias("n"), (F.col("sum") / F.col("df")).alias("avgdl"))
-    df = counts.where("term <> ''").select("term", "df")
-    raw = df.crossJoin(F.broadcast(size)).select("term", (F.log(F.col("n") - F.col("df") + half) - F.log(F.col("df") + half)).alias("raw"))  # one row
-    stats = size.crossJoin(F.broadcast(raw.agg(F.avg("raw").alias("mean"))))  # one row
-    idf = raw.crossJoin(F.broadcast(stats.select("mean"))).select("term", F.when(F.col("raw") < 0, F.lit(EPSILON).cast("double") * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Index(words, idf, stats)
-
-
-def _packed(rows: DataFrame, numbers: dict[str, str], lists: dict[str, str]) -> DataFrame:
-    """Blocks of at most BLOCK rows as one row each: columns of numbers as arrays; lists as their sizes and one binary of all their values."""
-    kinds = {"long": "<i8", "double": "<f8"}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                b = whole.slice(at, BLOCK)
-                out = {c: pa.array([b[c].to_pylist()], pa.list_(b[c].type)) for c in numbers}
-                for c, kind in lists.items():
-                    out[f"{c}_sizes"] = pa.array([b[c].value_lengths().to_pylist()], pa.list_(pa.int32()))
-                    out[c] = pa.array([b[c].flatten().to_numpy(zero_copy_only=False).astype(kinds[kind]).tobytes()], pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
-
-    schema = [f"{c} array<{t}>" for c, t in numbers.items()] + [x for c in lists for x in (f"{c}_sizes array<int>", f"{c} binary")]
-    return rows.select(*numbers, *lists).mapInArrow(run, ", ".join(schema))
-
-
-def bm25_topk(index: Index, questions: DataFrame, k: int = PER_PATH, tags: DataFrame | None = None) -> DataFrame:
-    """q_id, key, score, rank: every question has min(k, documents) rows; documents without a shared term score 0.
-
-    questions has q_id and q_text, ids and keys are longs. With tags (key, tag), questions have a tag too and only documents of it count
-    (null: all); the weights stay those of all documents. Ties go to the larger key.
-
-    Blocks of documents meet blocks of questions in matrix products over the questions' terms; each pair of
-    blocks gives each question's best, which are ranked. Nothing is joined by term, so that frequent terms are no hot keys.
-    """
-    d = lambda x: F.lit(x).cast("double")
-    asked = questions.select("q_id", F.explode(terms(F.coalesce(F.col("q_text"), F.lit("")))).alias("term")).groupBy("q_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    pairs = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("h"), (F.col("times") * F.col("idf")).alias("w"))))
-    weights = asked.join(index.idf, "term").groupBy("q_id").agg(pairs.alias("p"))
-    tag = F.xxhash64("tag") if tags is not None else F.lit(None).cast("long")
-    none = F.array().cast("array<struct<h:bigint,w:double>>")
-    q = questions.withColumn("q_tag", F.when(F.col("tag").isNotNull(), tag) if tags is not None else tag).select(F.col("q_id").cast("long").alias("q_id"), "q_tag").join(weights, "q_id", "left").withColumn("p", F.coalesce("p", none))
-    q = _packed(q.select("q_id", "q_tag", F.transform("p", lambda x: x["h"]).alias("q_terms"), F.transform("p", lambda x: x["w"]).alias("q_weights")), {"q_id": "long", "q_tag": "long"}, {"q_terms": "long", "q_weights": "double"})
-    words = index.words.crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
-    words = words.join(tags.select("key", "tag"), "key") if tags is not None else words
-    norm = d(K1) * (d(1 - B) + d(B) * F.col("dl") / F.col("avgdl"))
-    docs = _packed(words.select(F.col("key").cast("long").alias("key"), tag.alias("d_tag"), F.coalesce(norm, F.lit(0.0)).alias("norm"), F.transform("terms", lambda t: F.xxhash64(t)).alias("d_terms")), {"key": "long", "d_tag": "long", "norm": "double"}, {"d_terms": "long"})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                keys, norms = np.array(r["key"], dtype=np.int64), np.array(r["norm"])
-                term, col = np.unique(np.frombuffer(r["q_terms"], dtype="<i8"), return_inverse=True)
-                weight = np.zeros((len(term), len(r["q_id"])))
-                weight[col, np.repeat(np.arange(len(r["q_id"])), r["q_terms_sizes"])] = np.frombuffer(r["q_weights"], dtype="<f8")
-                found, doc = np.frombuffer(r["d_terms"], dtype="<i8"), np.repeat(np.arange(len(keys)), r["d_terms_sizes"])
-                tf = np.zeros((len(keys), len(term)))
-                if len(term):
-                    at = np.minimum(np.searchsorted(term, found), len(term) - 1)
-                    hit = term[at] == found
-                    np.add.at(tf, (doc[hit], at[hit]), 1)
-                scores = np.round((tf * (K1 + 1) / (tf + norms[:, None] + (tf == 0))) @ weight, 6) + 0.0
-                d_tag = np.array([x if x is not None else 0 for x in r["d_tag"]])
-                out: list[tuple[np.ndarray, ...]] = []
-                for i, (own, q_tag) in enumerate(zip(r["q_id"], r["q_tag"], strict=True)):
-                    rows = np.arange(len(keys)) if q_tag is None else np.flatnonzero(d_tag == q_tag)
-                    best = rows[np.lexsort((-keys[rows], -scores[rows, i]))[:k]]
-                    out.append((np.full(len(best), own), keys[best], scores[best, i]))
-                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1]), pa.array(columns[2])], names=["q_id", "key", "score"])
-
-    order = Window.partitionBy("q_id").orderBy(F.desc("score"), F.desc("key"))
-    best = docs.crossJoin(q).mapInArrow(run, "q_id long, key long, score double")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def hashed_vectors(rows: DataFrame, key: str, text: str, width: int = 64) -> DataFrame:

@@ -14,13 +14,13 @@ from quillon.streaming import events as stream
 FLAGSHIP = "rrf_hybrid"
 
 
-BM25 = """
-WITH w AS (SELECT doc_id AS key, regexp_extract_all(text, '[A-Za-z0-9_]+') AS t FROM documents),
+BM25 = r"""
+WITH w AS (SELECT doc_id AS key, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+') AS t FROM documents),
 l AS (SELECT key, CAST(len(t) AS DOUBLE) AS dl FROM w),
 p AS (SELECT term, key, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT key, unnest(t) AS term FROM w) GROUP BY ALL),
 r AS (SELECT term, ln((SELECT count(*) FROM l) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM p GROUP BY term),
 i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
-q AS (SELECT q_id, term, count(*) AS times FROM (SELECT item_id AS q_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT q_id, term, count(*) AS times FROM (SELECT item_id AS q_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')) AS term FROM benchmark) GROUP BY ALL),
 s AS (SELECT q_id, key, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT sum(dl) / count(*) FROM l)))), 6) AS score
       FROM p JOIN q USING (term) JOIN i USING (term) JOIN l USING (key) GROUP BY ALL),
 f AS (SELECT item_id AS q_id, l.key AS key, coalesce(s.score, 0) AS score FROM benchmark CROSS JOIN l LEFT JOIN s ON s.q_id = item_id AND s.key = l.key),

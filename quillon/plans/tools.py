@@ -279,7 +279,7 @@ def dispatched_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) AS term FROM documents), c AS (SELECT doc_id, CAST('0x' || left(md5(term), 8) AS BIGINT) % 64 AS place, count(*)::DOUBLE AS n FROM t GROUP BY ALL)
+    r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS term FROM documents), c AS (SELECT doc_id, CAST('0x' || left(md5(term), 8) AS BIGINT) % 64 AS place, count(*)::DOUBLE AS n FROM t GROUP BY ALL)
     SELECT doc_id, CAST(count(*) AS BIGINT) AS places, round(sum(n) / sqrt(sum(n * n)), 6) AS total, round(max(n) / sqrt(sum(n * n)), 6) AS most FROM c GROUP BY doc_id"""
 )
 def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
