@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, documents, fresh, key_filter, lean, passing, ready, salted, shared_folder, stored
+from .common import discard, documents, fresh, key_filter, lean, passing, ready, salted, shared_folder, stored, tidied
 from .components import components
 from .shingles import mixed, shingle_set
 
@@ -41,6 +41,8 @@ FILL, LEAST_BLOCKS = 35, 64
 COMMON, COMMON_LEAST, CHUNK = 50_000, 4, 1_000_000
 #: Keys of a chunk, within which equal ones meet before the shuffle.
 KEYS = 300_000
+#: Classes that a worker remembers so as not to send them twice.
+SEEN = 250_000
 SKETCH_BITS = 512
 PARTS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 #: Members of a cell in which pairs are verified, and pairs of one class that share a copy of its text.
@@ -140,7 +142,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 held, size, seen = [], 0, set()
         yield recurring()
 
-    return docs.mapInArrow(run, f"doc_id long, text_hash long, n long, class long, {', '.join(f'{c} long' for c in PARTS)}, wide array<long>, token long, times long")
+    return docs.mapInArrow(tidied(run), f"doc_id long, text_hash long, n long, class long, {', '.join(f'{c} long' for c in PARTS)}, wide array<long>, token long, times long")
 
 
 def _blocks(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
@@ -169,7 +171,7 @@ def _blocks(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
                 s = shingle_set(text)
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < SEEN:
                     seen.add(c)
                 keys.append(block_keys(s, shared.value, percent))
                 classes.append(np.full(len(keys[-1]), c, dtype=np.int64))
@@ -179,7 +181,7 @@ def _blocks(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
                 keys, classes, size = [], [], 0
         yield from dealt(keys, classes)
 
-    return docs.select("text").mapInArrow(run, "key long, class long, of array<long>")
+    return docs.select("text").mapInArrow(tidied(run), "key long, class long, of array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -195,13 +197,13 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for t in batch["text"].filter(pa.array(passing(shared, batch["key"]))).to_pylist():
                 s = shingle_set(t)
                 if len(s) and (c := class_of(s)) not in seen:
-                    if len(seen) < 1_000_000:
+                    if len(seen) < SEEN:
                         seen.add(c)
                     classes.append(c)
                     packed.append(press.compress(t.encode()))
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(packed, pa.binary())], names=["class", "packed"])
 
-    return docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "class long, packed binary")
+    return docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(tidied(run), "class long, packed binary")
 
 
 def _near(a: str, b: str, percent: int) -> Column:
@@ -268,7 +270,7 @@ def _linked(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).take(pa.array(hits, pa.int64()))
 
     both = pairs.hint("merge").join(hubs.hint("merge"), ["a", "cell"]).select("a", "b", "x", "y")
-    found = stored(both.mapInArrow(verified, "a long, b long").distinct())
+    found = stored(both.mapInArrow(tidied(verified), "a long, b long").distinct())
     discard(spark, folder)
     return found
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ready, stored
+from .common import documents, lean, ready, stored, tidied
 from .records import END_ID, NULL_ID, vocabulary
 from .tokens import encoder
 
@@ -88,7 +88,7 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, toke
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(cut), PIECES)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, group: int = GROUP, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -108,6 +108,7 @@ def pack(docs: DataFrame, window: int = WINDOW, piece: int = PIECE, group: int =
     rest = rest.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))  # pandas has no null among integers
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        lean()
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32", "_row"], ascending=[False, True, True, True, True], ignore_index=True)
         rows["_window"] = packed(rows["length"].tolist(), window)
         rows = rows.sort_values(["_window"], kind="stable", ignore_index=True)

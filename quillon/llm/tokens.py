@@ -15,7 +15,7 @@ from itertools import chain, islice
 import numpy as np
 
 #: Words that a worker remembers: the first that it meets, which are the frequent ones; it starts again when it had to forget RENEW times as many.
-CACHE_WORDS, RENEW = 400_000, 8
+CACHE_WORDS, RENEW = 250_000, 12
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([.,;:!?]*)\Z")
 _LOADED: dict[str, Encoder] = {}
 
