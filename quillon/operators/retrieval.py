@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from quillon.functions.text import terms
 from quillon.operators.lexical import Index, bm25_index, bm25_topk  # noqa: F401
+from quillon.storage import numbered
 
 PER_PATH, RRF_K = 20, 60
 
@@ -105,7 +106,11 @@ def gate(ranked: DataFrame, tau: float) -> DataFrame:
 
 def hit_metrics(ranked: DataFrame, gold: DataFrame, by: list[str], ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Recall@k, MRR and mean hit rank by GROUPING SETS ((), (each of by)); gold has q_id, targets, and by."""
-    hit = first_hits(ranked, gold, by)
+    return rates(first_hits(ranked, gold, by), by, ks)
+
+
+def rates(hit: DataFrame, by: list[str], ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """Recall@k, MRR and mean hit rank of first hits (q_id, by, hit; null is a miss), over all and by each of by."""
     recall: list[Column] = [F.round(F.avg(F.coalesce((F.col("hit") <= k).cast("double"), F.lit(0.0))), 6).alias(f"recall_{k}") for k in ks]
     more = [F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("hit"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg("hit"), 6).alias("mean_rank")]
     return hit.groupingSets([[], *[[F.col(b)] for b in by]], *[F.col(b) for b in by]).agg(F.count(F.lit(1)).alias("n"), *recall, *more)
@@ -116,6 +121,41 @@ def first_hits(ranked: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
     return gold.withColumn("key", F.explode("targets")).join(ranked, ["q_id", "key"], "left").groupBy("q_id", *by).agg(F.min("rank").alias("hit"))
 
 
+def first_hits_alike(ranked: DataFrame, questions: DataFrame, rows: DataFrame, label: str) -> DataFrame:
+    """q_id, label, hit: the best rank of another row of the question's label, where any has one. questions (q_id, label) are of the rows (key, label).
+
+    Labels are read for the hits alone; a label's rows are counted, never listed.
+    """
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    q = questions.select("q_id", label).join(counts, label).where(F.col("_n") > 1).select("q_id", label)
+    met = ranked.where(F.col("key") != F.col("q_id")).select("q_id", "key", "rank").join(rows.select("key", F.col(label).alias("_of")), "key").join(q, "q_id")
+    best = met.where(F.col("_of") == F.col(label)).groupBy("q_id").agg(F.min("rank").alias("hit"))
+    return q.join(best, "q_id", "left")
+
+
+def nearest_by(rows: DataFrame, questions: DataFrame, value: str, k: int = PER_PATH) -> DataFrame:
+    """q_id, key, rank: the k rows (key, value) whose value is nearest to a question's (q_id, value), ties to the smaller key. Nulls take no part.
+
+    Rows and questions are numbered together by ranges of the value, once for either side; a question then joins the places beside its own.
+    """
+    plain = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.col("key"), F.lit(None).cast("long").alias("q_id"))
+    asked = questions.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.lit(None).cast("long").alias("key"), F.col("q_id").cast("long").alias("q_id"))
+    found = None
+    for below in (True, False):
+        # rows below: larger keys first, so that the smallest of the nearest value is next to the question; those of its own value lie above
+        order = [F.col("v"), F.col("q_id").isNull().cast("int"), F.desc("key") if below else F.asc("key"), F.col("q_id")]
+        all_ = numbered(plain.unionByName(asked), [], order, "at")
+        at = numbered(all_.where("q_id is null").select("v", "key", "at"), [], ["at"], "place")
+        before = all_.where("q_id is not null").select("q_id", "v", "at")
+        # the rows before a question are its place less the questions before it
+        q = numbered(before, [], ["at"], "nth").select("q_id", F.col("v").alias("w"), (F.col("at") - F.col("nth")).alias("n"))
+        places = F.sequence(F.col("n") - (k - 1), F.col("n")) if below else F.sequence(F.col("n") + 1, F.col("n") + k)
+        part = q.withColumn("place", F.explode(places)).join(at.select("place", "v", "key"), "place").select("q_id", "key", F.abs(F.col("v") - F.col("w")).alias("d"))
+        found = part if found is None else found.unionByName(part)
+    nearest = Window.partitionBy("q_id").orderBy("d", "key")
+    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("q_id", "key", "rank")
+
+
 def worse(base: DataFrame, other: DataFrame) -> DataFrame:
     """q_id, base, other: questions whose hit (q_id, hit) came later or was missed in the other run."""
     both = base.select("q_id", F.col("hit").alias("base")).join(other.select("q_id", F.col("hit").alias("other")), "q_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators import chunk, evaluate, grounding, history, ingest, retrieval, tables, units
-from quillon.plans import answers, corpus, tools  # noqa: F401
+from quillon.plans import answers, corpus, search, tools  # noqa: F401
 from quillon.plans.base import ORACLES, QUERIES, query, questions, table  # noqa: F401
 from quillon.streaming import events as stream
 
@@ -109,8 +109,8 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     q = v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("q_id"), "label")
-    gold = q.join(v, "label").where(F.col("vec_id") != F.col("q_id")).groupBy("q_id", "label").agg(F.collect_list("vec_id").alias("targets"))
-    return retrieval.hit_metrics(_vector_hits(spark, sf_dir), gold, ["label"]).withColumn("label", F.coalesce("label", F.lit(-1)))
+    hits = retrieval.first_hits_alike(_vector_hits(spark, sf_dir), q, v.select(F.col("vec_id").alias("key"), "label"), "label")
+    return retrieval.rates(hits, ["label"]).withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
 LINES = """

@@ -172,13 +172,14 @@ def ordered_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'de'), b AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'en')
+    """WITH a AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang IN ('de', 'es')), b AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang IS NULL OR lang NOT IN ('de', 'es'))
     SELECT 'first' AS side, line FROM (SELECT line FROM a EXCEPT ALL SELECT line FROM b) UNION ALL SELECT 'second', line FROM (SELECT line FROM b EXCEPT ALL SELECT line FROM a)"""
 )
 def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of German and English documents that the other side lacks."""
+    """Lines of German and Spanish documents, and of all others, that the other side lacks."""
     d = table(spark, sf_dir, "documents")
-    return evaluate.line_diff(d.where("lang = 'de'"), d.where("lang = 'en'"), "text")
+    first = F.coalesce(F.col("lang").isin("de", "es"), F.lit(False))
+    return evaluate.line_diff(d.where(first), d.where(~first), "text")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 3)")
@@ -201,8 +202,7 @@ def worse_than_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions whose first hit comes later, or not at all (0), in another run."""
     v = table(spark, sf_dir, "embeddings")
     q = v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"), "label")
-    gold = q.select("q_id", "label").join(v.select("vec_id", "label"), "label").where(F.col("vec_id") != F.col("q_id")).groupBy("q_id").agg(F.collect_list("vec_id").alias("targets"))
-    base = retrieval.first_hits(retrieval.cosine_topk(v, q, "vec_id", "embedding"), gold, [])
+    base = retrieval.first_hits_alike(retrieval.cosine_topk(v, q, "vec_id", "embedding"), q, v.select(F.col("vec_id").alias("key"), "label"), "label").select("q_id", "hit")
     return retrieval.worse(base, base.withColumn("hit", F.when(F.col("q_id") % 40 == 0, F.col("hit") + 3))).na.fill(0)
 
 
@@ -214,9 +214,7 @@ def worse_than_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 documents nearest in length to a question, in the order of another scorer."""
     d, q = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    near = d.select(F.col("doc_id").alias("key"), "n_chars").crossJoin(q.select("q_id", F.length("q_text").alias("w")))
-    order = Window.partitionBy("q_id").orderBy(F.abs(F.col("n_chars") - F.col("w")), "key")
-    ranked = near.select("q_id", "key", F.row_number().over(order).alias("rank")).where(F.col("rank") <= 20)
+    ranked = retrieval.nearest_by(d.select(F.col("doc_id").alias("key"), "n_chars"), q.select("q_id", F.length("q_text").cast("long").alias("n_chars")), "n_chars")
 
     def scorer(question, text):
         return (text.str.len() % 7 + question.str.len() % 3).astype("float64")
