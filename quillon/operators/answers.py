@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators.evaluate import wilson
+from quillon.operators.patterns import matches
 
 SAMPLE = "sample_"
 #: Order of the item types in tables: those to be answered, then those to be refused.
@@ -77,10 +78,14 @@ def expected_cost(behavior: Column, inputs: Column, outputs: Column, price_in: f
 
 
 def evidence(items: DataFrame, chunks: DataFrame) -> DataFrame:
-    """id, n, ids: for each piece of evidence of an item (id, n, doc, quotes) the chunks (chunk_id, doc_id, text) of its document that hold any of the quotes, both normalised."""
-    q = items.select("id", "n", F.col("doc").alias("doc_id"), F.explode("quotes").alias("quote")).withColumn("quote", T.match_text(F.col("quote")))
-    found = q.where(F.col("quote") != "").join(chunks.select("doc_id", "chunk_id", T.match_text(F.col("text")).alias("_t")), "doc_id").where(F.contains(F.col("_t"), F.col("quote")))
-    ids = found.groupBy("id", "n").agg(F.array_sort(F.collect_set("chunk_id")).alias("ids"))
+    """id, n, ids: for each piece of evidence of an item (id, n, doc, quotes) the chunks (chunk_id, doc_id, text) of its document (null: of any) that hold any of the quotes, both normalised.
+
+    All quotes go through the texts together; only hits are joined by document.
+    """
+    q = items.select("id", "n", F.col("doc").alias("_doc"), F.explode("quotes").alias("quote")).withColumn("quote", T.match_text(F.col("quote")))
+    held = matches(chunks.select(F.struct("doc_id", "chunk_id").alias("c"), T.match_text(F.col("text")).alias("_t")), "c", "_t", q, "quote")
+    found = held.join(q, "quote").where(F.col("_doc").isNull() | (F.col("_doc") == F.col("c.doc_id")))
+    ids = found.groupBy("id", "n").agg(F.array_sort(F.collect_set("c.chunk_id")).alias("ids"))
     return items.select("id", "n").join(ids, ["id", "n"], "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
 
 
@@ -92,9 +97,17 @@ def shared_evidence(groups: DataFrame) -> DataFrame:
 
 
 def absent_found(terms: DataFrame, chunks: DataFrame) -> DataFrame:
-    """id, term, chunk_id: terms that an item declares absent and that a chunk holds all the same."""
-    t = terms.select("id", "term", T.match_text(F.col("term")).alias("_q")).where(F.col("_q") != "")
-    return chunks.select("chunk_id", T.match_text(F.col("text")).alias("_t")).join(t, F.contains(F.col("_t"), F.col("_q"))).select("id", "term", "chunk_id")
+    """id, term, chunk_id: terms that an item declares absent and that a chunk holds all the same.
+
+    Terms with a document (`absent_in`, where terms has it; null: any) are absent from its chunks alone, for which chunks has doc_id.
+    """
+    within = "absent_in" in terms.columns
+    t = terms.select("id", "term", *(["absent_in"] if within else []), T.match_text(F.col("term")).alias("_q"))
+    c = F.struct("chunk_id", "doc_id") if within else F.struct("chunk_id")
+    found = matches(chunks.select(c.alias("c"), T.match_text(F.col("text")).alias("_t")), "c", "_t", t, "_q").join(t, "_q")
+    if within:
+        found = found.where(F.col("absent_in").isNull() | (F.col("absent_in") == F.col("c.doc_id")))
+    return found.select("id", "term", F.col("c.chunk_id").alias("chunk_id"))
 
 
 def judged(sentences: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import match_text
+from quillon.operators.patterns import matches
+from quillon.storage import stored
 
 #: Letters of a gram, and grams of a stretch: every quote of GRAM + STRETCH - 1 letters holds a stretch.
 GRAM, STRETCH = 16, 16
@@ -41,8 +43,8 @@ def contained(texts: DataFrame, key: str, text: str, quotes: DataFrame, quote_ke
     """key, quote_key of every text that holds a whole quote, both normalised (case, dashes, white space and tags aside).
 
     A quote's first stretch gives its key; a text that holds the quote has that stretch, and so the key. Texts are
-    cut into stretches once and only keys that a fixed-size table of the quotes' keys lets pass are joined, then whole
-    quotes are searched. Quotes shorter than a stretch are searched in every text. Empty quotes are held by none.
+    cut into stretches once and only keys that a fixed-size table of the quotes' keys lets pass are joined, without their texts; then each text
+    meets, once, the quotes whose keys it shares. Quotes shorter than a stretch go through an automaton. Empty quotes are held by none.
     """
     t = texts.select(F.col(key).alias("key"), match_text(F.col(text)).alias("text")).where(F.col("text").isNotNull())
     q = quotes.select(F.col(quote_key).alias("quote_key"), match_text(F.col(quote)).alias("quote")).where(F.col("quote") != "")
@@ -53,8 +55,7 @@ def contained(texts: DataFrame, key: str, text: str, quotes: DataFrame, quote_ke
             made = [int(stretch_keys(x[:least])[0].astype(np.int64)) for x in b["quote"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["quote_key"], b["quote"], pa.array(made, pa.int64())], names=["quote_key", "quote", "stretch"])
 
-    kind = dict(q.dtypes)["quote_key"]
-    keyed = q.where(F.length("quote") >= least).mapInArrow(first, f"quote_key {kind}, quote string, stretch long")
+    keyed = stored(q.where(F.length("quote") >= least).mapInArrow(first, f"quote_key {dict(q.dtypes)['quote_key']}, quote string, stretch long"))
     slot = F.pmod("stretch", F.lit(BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int"))
     filled = keyed.groupBy(F.floor(slot / 32).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()  # at most BITS / 32 rows
@@ -72,10 +73,11 @@ def contained(texts: DataFrame, key: str, text: str, quotes: DataFrame, quote_ke
                 rows.append(np.full(len(h), i))
                 keys.append(h)
             if rows:
-                out = b.take(pa.array(np.concatenate(rows).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([out["key"], out["text"], pa.array(np.concatenate(keys))], names=["key", "text", "stretch"])
+                yield pa.RecordBatch.from_arrays([b["key"].take(pa.array(np.concatenate(rows).astype(np.int64))), pa.array(np.concatenate(keys))], names=["key", "stretch"])
 
-    met = t.mapInArrow(cut, f"key {dict(t.dtypes)['key']}, text string, stretch long").join(keyed, "stretch")
-    found = met.where(F.contains("text", F.col("quote"))).select("key", "quote_key")
-    short = t.join(q.where(F.length("quote") < least), F.contains("text", F.col("quote"))).select("key", "quote_key")
-    return found.union(short).distinct().select(F.col("key").alias(key), F.col("quote_key").alias(quote_key))
+    kind = dict(t.dtypes)["key"]
+    met = t.mapInArrow(cut, f"key {kind}, stretch long").join(keyed, "stretch").groupBy("key").agg(F.collect_set(F.struct("quote_key", "quote")).alias("q"))
+    held = t.join(stored(met), "key").select("key", F.explode(F.filter("q", lambda x: F.contains(F.col("text"), x["quote"]))).alias("x")).select("key", "x.quote_key")
+    small = q.where(F.length("quote") < least)
+    short = matches(t, "key", "text", small, "quote").join(small, "quote").select("key", "quote_key")
+    return held.union(short).distinct().select(F.col("key").alias(key), F.col("quote_key").alias(quote_key))

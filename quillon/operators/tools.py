@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from quillon.functions.text import SPACE
 from quillon.operators import grounding, units
+from quillon.operators.patterns import matches
 
 #: How much of a chunk was shown, rising.
 SHOWN = {"rows": 1, "head": 2, "full": 3}
@@ -67,10 +68,12 @@ def _alias(c: Column) -> Column:
 def resolved(asked: DataFrame, names: DataFrame, column: str = "manual") -> DataFrame:
     """asked (call_id, manual) with doc_id and error: an exact alias, else the one document with an alias that holds the name or is held by it.
 
-    A blank name is no filter: no document and no error. names is a catalogue of manuals, the side that is broadcast by Spark while small.
+    A blank name is no filter: no document and no error. Names asked for go through the catalogue's, and these through them, as patterns.
     """
     q = asked.withColumn("_key", _alias(F.coalesce(F.col(column), F.lit(""))))
-    near = q.where(F.col("_key") != "").join(names, F.contains(F.col("name"), F.col("_key")) | F.contains(F.col("_key"), F.col("name")))
+    keys, known = q.select("_key").distinct(), names.select("name").distinct()
+    held = matches(keys, "_key", "_key", known, "name").unionByName(matches(known, "name", "name", keys, "_key")).distinct()
+    near = q.where(F.col("_key") != "").join(held, "_key").join(names, "name")
     found = near.groupBy("call_id").agg(F.max(F.when(F.col("name") == F.col("_key"), F.col("doc_id"))).alias("_exact"), F.countDistinct("doc_id").alias("_n"), F.min("doc_id").alias("_one"))
     out = q.join(found, "call_id", "left")
     doc = F.coalesce(F.col("_exact"), F.when(F.col("_n") == 1, F.col("_one")))

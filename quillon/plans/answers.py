@@ -336,8 +336,8 @@ def evaluation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def evidence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark passage as evidence: the documents that hold it."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit(1).alias("n"), F.lit("all").alias("doc"), F.array("text").alias("quotes"))
-    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("all").alias("doc_id"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit(1).alias("n"), F.lit(None).cast("string").alias("doc"), F.array("text").alias("quotes"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc_id"), "text")
     return answers.evidence(items, chunks).select(F.col("id").alias("item_id"), F.array_join("ids", ",").alias("ids"))
 
 

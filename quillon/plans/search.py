@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import lexical, retrieval, vectors
+from quillon.operators import answers, lexical, retrieval, vectors
 from quillon.plans.base import query, questions, table
 
 
@@ -47,3 +47,21 @@ def bm25_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that the questions' terms have, and how many are read. It depends on the layout, so that SQL has no counterpart."""
     index = lexical.bm25_index(table(spark, sf_dir, "documents"), "doc_id", "text")
     return lexical.bm25_search(index, questions(spark, sf_dir))[1].withColumn("share", F.round(F.try_divide("read", "blocks"), 6))
+
+
+NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(replace({0}, chr(92), '')), '<[^>]+>', '', 'g'), '[‐‑‒–—―−]', '-', 'g'), '([0-9.])\s+([0-9.])', '\1' || chr(1) || '\2', 'g'), '[\s\p{{Z}}]+', '', 'g')"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, source, {NORMAL.format('text')} AS t FROM documents), q AS (SELECT item_id AS id, w AS term, CASE WHEN item_id % 3 = 0 THEN 'src' || item_id % 7 END AS absent_in, {NORMAL.format('w')} AS p
+         FROM (SELECT item_id, unnest([text[1:24], text[-9:], split_part(text, ' ', 2)]) AS w FROM benchmark))
+    SELECT DISTINCT id, term, CAST(doc_id AS VARCHAR) AS chunk_id FROM d JOIN q ON p <> '' AND contains(t, p) AND (absent_in IS NULL OR absent_in = source)"""
+)
+def absent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings, ends and second words of passages, declared absent from all documents or from one source's, that documents hold all the same."""
+    b = table(spark, sf_dir, "benchmark")
+    phrases = F.array(F.substring("text", 1, 24), F.expr("right(text, 9)"), F.split_part("text", F.lit(" "), F.lit(2)))
+    source = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("src"), (F.col("item_id") % 7).cast("string")))
+    terms = b.select(F.col("item_id").alias("id"), F.explode(phrases).alias("term"), source.alias("absent_in")).distinct()
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc_id"), "text")
+    return answers.absent_found(terms, chunks)
