@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators.evaluate import wilson
 from quillon.operators.patterns import matches
+from quillon.operators.quantiles import beside, percentiles
 
 SAMPLE = "sample_"
 #: Order of the item types in tables: those to be answered, then those to be refused.
@@ -171,7 +172,9 @@ def micro_ratio(rows: DataFrame, k: str, n: str, by: list[str], leave_out: tuple
 
 def separation(rows: DataFrame, tau: float, by: list[str], distance: str = "distance") -> DataFrame:
     """by, n, least, median, most, within: distances by expectation, and how many are at most tau."""
-    return rows.where(F.col(distance).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(distance).alias("least"), F.round(F.percentile(distance, 0.5), 6).alias("median"), F.max(distance).alias("most"), F.count_if(F.col(distance) <= tau).alias("within"))
+    held = rows.where(F.col(distance).isNotNull())
+    a = held.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(distance).alias("least"), F.max(distance).alias("most"), F.count_if(F.col(distance) <= tau).alias("within"))
+    return beside(a, percentiles(held, by, distance, {"median": 0.5}), by).select(*by, "n", "least", "median", "most", "within")
 
 
 def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:

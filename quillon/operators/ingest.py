@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quillon.functions.text import blank, char_len, contact_classes, only_symbols, strip_invisible, stripped
+from quillon.operators.quantiles import beside, percentiles
+from quillon.storage import stored
 
 TOC_DOTS, SHORT, LONG, GARBAGE = 20, 10, 2000, 0.3
 BUCKETS = ((0, 10), (10, 50), (50, 100), (100, 200), (200, 500), (500, 2001))
@@ -23,20 +29,64 @@ def blocks(content: DataFrame) -> DataFrame:
     return kept.select(F.format_string("%s_%04d", "doc_id", "idx").alias("block_id"), "doc_id", "idx", "page_idx", "type", text.alias("text"), F.when(F.col("type") == "table", F.col("table_body")).alias("table_html"), "img_path", char_len(text).alias("char_len"))
 
 
-def heading_paths(rows: DataFrame, doc: str, idx: str, level: str, title: str, levels: int = 6) -> DataFrame:
-    """rows with heading_path: a heading of level k holds until one of level k or less. Windows by document alone."""
-    running = Window.partitionBy(doc).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows
-    for k in range(1, levels + 1):
-        here = F.col(level) == k
-        out = out.withColumn(f"_t{k}", F.last(F.when(here, F.col(title)), ignorenulls=True).over(running)).withColumn(f"_i{k}", F.max(F.when(here, F.col(idx))).over(running))
-    parts = []
-    for k in range(1, levels + 1):
-        above = [F.coalesce(F.col(f"_i{j}"), F.lit(-1)) for j in range(1, k)]
-        shallow = F.greatest(*above) if len(above) > 1 else above[0] if above else F.lit(-1)
-        parts.append(F.when(F.col(f"_i{k}") > shallow, F.col(f"_t{k}")))
-    none = F.coalesce(*parts).isNull()
-    return out.withColumn("heading_path", F.when(none, F.lit(None)).otherwise(F.concat_ws(" > ", *parts))).drop(*[f"_{c}{k}" for c in "ti" for k in range(1, levels + 1)])
+Stack = list[tuple[int, str | None]]
+
+
+def grown(stack: Stack, level: int | None, title: str | None) -> Stack:
+    """The headings that hold after a row: one of level k ends those of level k or more; without a level nothing changes."""
+    return stack if level is None else [x for x in stack if x[0] < level] + [(level, title)]
+
+
+def heading_paths(rows: DataFrame, doc: str, idx: str, level: str, title: str) -> DataFrame:
+    """rows with heading_path: a heading of level k, however deep, holds until one of level k or less; null where none with a title holds. Rows without a level, or of level 0, are no headings.
+
+    Rows are dealt by ranges of document and place, so that a huge document is many tasks. What a range does to the
+    headings before it is its least level and the stack that it leaves; joined in order these give the stack that each range
+    begins with. One such row for each task reaches the driver. A null document is a document.
+    """
+    n = max(1, rows.rdd.getNumPartitions())
+    ranged = stored(rows.repartitionByRange(n, doc, idx).withColumn("_task", F.spark_partition_id()))
+    heading = [F.col(doc).cast("string").alias("_d"), F.when(F.col(level) > 0, F.col(level)).cast("long").alias("_l"), F.col(title).cast("string").alias("_t")]
+    in_order = ranged.select(*rows.columns, "_task", *heading).repartition(n, "_task").sortWithinPartitions("_task", doc, idx)
+    names = ["_task", "_d", "_l", "_t"]
+
+    def effect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each task: its first and last document, and of the last one's part the least level and the stack."""
+        seen: dict[int, tuple] = {}
+        for b in batches:
+            for task, d, k, t in zip(*[b[c].to_pylist() for c in names], strict=True):
+                first, last, least, stack = seen.get(task, (d, d, None, []))
+                if d != last:
+                    least, stack = None, []
+                least = k if least is None else least if k is None else min(k, least)
+                seen[task] = first, d, least, grown(stack, k, t)
+        for task, (first, last, least, stack) in seen.items():
+            columns = [[task], [first], [last], [least], [[x[0] for x in stack]], [[x[1] for x in stack]]]
+            types = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["task", "first", "last", "least", "levels", "titles"])
+
+    found = in_order.select(*names).mapInArrow(effect, "task int, first string, last string, least long, levels array<long>, titles array<string>").collect()
+    begins: dict[int, tuple[str | None, Stack]] = {}
+    carried: tuple[str | None, Stack] | None = None
+    for r in sorted(found, key=lambda r: r.task):
+        if carried is not None and carried[0] == r.first:
+            begins[r.task] = carried
+        base = begins[r.task][1] if r.first == r.last and r.task in begins else []
+        carried = r.last, [x for x in base if r.least is None or x[0] < r.least] + list(zip(r.levels, r.titles, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stack = None, []
+        for b in batches:
+            paths = []
+            for task, d, k, t in zip(*[b[c].to_pylist() for c in names], strict=True):
+                if at != (task, d):
+                    stack = begins[task][1] if (at is None or at[0] != task) and task in begins else []
+                    at = task, d
+                stack = grown(stack, k, t)
+                paths.append(" > ".join(x for _, x in stack if x is not None) or None)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(b.columns) - 4], pa.array(paths, pa.string())], names=[*b.schema.names[:-4], "heading_path"])
+
+    return in_order.mapInArrow(run, StructType([*rows.schema.fields, StructField("heading_path", StringType())]))
 
 
 def running_heads(rows: DataFrame, doc: str, page: str, text: str, share: float = 0.5) -> DataFrame:
@@ -125,8 +175,9 @@ def contact_blocks(rows: DataFrame, least: int = 2) -> DataFrame:
 
 
 def length_summary(rows: DataFrame, by: str, length: str) -> DataFrame:
-    p = lambda q: F.round(F.percentile(length, q), 6)
-    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(length).alias("least"), p(0.5).alias("median"), F.round(F.avg(length), 6).alias("mean"), p(0.9).alias("p90"), F.max(length).alias("most"))
+    """by, n, least, median, mean, p90, most; percentiles are exact, whatever the size of a group."""
+    a = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(length).alias("least"), F.round(F.avg(length), 6).alias("mean"), F.max(length).alias("most"))
+    return beside(a, percentiles(rows, [by], length, {"median": 0.5, "p90": 0.9}), [by]).select(by, "n", "least", "median", "mean", "p90", "most")
 
 
 def length_histogram(rows: DataFrame, length: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.operators.quantiles import beside, percentiles
+
 SCHEMA = """id string, created_at timestamp, mode string, question string, history_turns int, status string, answer string, refused boolean, elapsed_ms double,
 llm_calls int, tool_calls int, input_tokens long, output_tokens long, cost_yuan double, finish_reason string, model_name string,
 sources string, cited string, fabricated string, numbers_checked int, number_issues int, repaired string, error string"""
@@ -76,17 +78,18 @@ def summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     done = F.col("status") == "done"
     count = lambda c: F.count(F.when(c, 1))
     checked = done & (F.coalesce("numbers_checked", F.lit(0)) > 0)
-    part = lambda q: F.round(F.percentile(F.when(done, F.col("elapsed_ms")), q), 6)
     paid = F.when(done, F.col("cost_yuan"))
     repaired = checked & (F.coalesce("repaired", F.lit("")) != "")
     columns = [
         F.count(F.lit(1)).alias("requests"), F.min("created_at").alias("first"), F.max("created_at").alias("last"), count(done).alias("done"), count(F.col("status") == "rejected").alias("rejected"),
         count(F.col("status") == "error").alias("errors"), count(F.col("status") == "aborted").alias("aborted"), count(done & F.coalesce("refused", F.lit(False))).alias("refused"),
-        part(0.5).alias("p50_ms"), part(0.95).alias("p95_ms"), F.round(F.sum(paid), 6).alias("cost"), F.round(F.avg(paid), 8).alias("cost_mean"), count(checked).alias("checked"),
+        F.round(F.sum(paid), 6).alias("cost"), F.round(F.avg(paid), 8).alias("cost_mean"), count(checked).alias("checked"),
         count(checked & (F.coalesce("number_issues", F.lit(0)) > 0)).alias("with_issues"), count(repaired).alias("repairs"), count(repaired & (F.col("repaired") == "repaired")).alias("repaired"),
         count(F.col("rating").isNotNull()).alias("rated"), count(F.col("rating") == 1).alias("up"), count(F.col("rating").isNotNull() & (F.col("rating") != 1)).alias("down"),
     ]
-    return rows.groupBy(*by).agg(*columns) if by else rows.agg(*columns)
+    by = by or []
+    all_ = rows.groupBy(*by).agg(*columns) if by else rows.agg(*columns)
+    return beside(all_, percentiles(rows, by, "elapsed_ms", {"p50_ms": 0.5, "p95_ms": 0.95}, done), by)
 
 
 def last_down(rows: DataFrame, most: int = 10) -> DataFrame:
@@ -98,6 +101,6 @@ def last_down(rows: DataFrame, most: int = 10) -> DataFrame:
 def latencies(rows: DataFrame, stages: list[str], total: str) -> DataFrame:
     """stage, n, p50, p90, p95, mean, most and share of the total time, of one column for each stage."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).cast("double").alias("ms")) for s in stages])).alias("x"), F.col(total).cast("double").alias("_all")).select("x.*", "_all").where(F.col("ms").isNotNull())
-    q = F.percentile("ms", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    a = long.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), q.alias("q"), F.round(F.avg("ms"), 6).alias("mean"), F.max("ms").alias("most"), F.round(F.try_divide(F.sum("ms"), F.sum("_all")), 6).alias("share"))
-    return a.select("stage", "n", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("p50", "p90", "p95"))], "mean", "most", "share")
+    a = long.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 6).alias("mean"), F.max("ms").alias("most"), F.round(F.try_divide(F.sum("ms"), F.sum("_all")), 6).alias("share"))
+    parts = percentiles(long, ["stage"], "ms", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
+    return beside(a, parts, ["stage"]).select("stage", "n", "p50", "p90", "p95", "mean", "most", "share")

@@ -136,7 +136,7 @@ def blocks_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def heading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("i"), F.col("event_type").alias("t"), (F.col("event_id") % 4).alias("lv"))
-    return ingest.heading_paths(r, "user_id", "i", "lv", "t", 3).select("i", "heading_path")
+    return ingest.heading_paths(r, "user_id", "i", "lv", "t").select("i", "heading_path")
 
 
 @query(

@@ -50,3 +50,23 @@ def numbered(rows: DataFrame, group: list[str], order: list[Column | str], out:
         same = same & F.col(g).eqNullSafe(F.col(f"_of{i}"))
     here = F.row_number().over(Window.partitionBy(*group, "_task").orderBy(*order))
     return ranged.withColumn("_here", here).join(offsets, same).withColumn(out, F.col("_here") + F.col("_before")).select(*rows.columns, out)
+
+
+def running(rows: DataFrame, group: list[str], order: list[Column | str], value: str, before: str, total: str) -> DataFrame:
+    """rows with `before`: the sum of `value` over the rows of the group that come ahead by a total order, and `total`: the whole group's.
+
+    Dealt as in numbered: a hot group is many tasks, of which only a sum each meets in the second step.
+    """
+    n = max(1, rows.rdd.getNumPartitions())
+    ranged = stored(rows.repartitionByRange(n, *[F.col(g) for g in group], *order).withColumn("_task", F.spark_partition_id()))
+    sums = ranged.groupBy(*group, "_task").agg(F.sum(value).alias("_n"))
+    whole = Window.partitionBy(*group)
+    ahead = whole.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    names = [F.col(g).alias(f"_of{i}") for i, g in enumerate(group)]
+    offsets = sums.select(*names, F.col("_task").alias("_at"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_n").over(whole).alias(total))
+    same = F.col("_task") == F.col("_at")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_of{i}"))
+    here = Window.partitionBy(*group, "_task").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("_here", F.sum(value).over(here) - F.col(value)).join(offsets, same)
+    return summed.withColumn(before, F.col("_here") + F.col("_ahead")).select(*rows.columns, before, total)
