@@ -26,6 +26,7 @@ CONTACTS = (
     r"(?iu)(straße|strasse|street|road|地址|邮编|postal|Dortmund|Germany|Deutschland|GmbH|有限公司|集团|股份)",
 )
 REFUSAL_MARKS = ("检索内容不足", "知识库无相关内容", "无法回答", "未能找到相关")
+REFUSAL_LEAD = "知识库无相关内容"
 REFUSAL_WIDTH = 40
 TRANSITIONS = ("以下是相关信息", "以下是检索到的", "相关内容如下", "回答如下")
 TRANSITION_WIDTH, SENTENCE_LEAST = 25, 10
@@ -146,10 +147,12 @@ def is_short_refusal(c: Column) -> Column:
     return (F.length(bare) <= REFUSAL_WIDTH) & _marked(bare)
 
 
-def refusal_cleaned(c: Column, lead: str = REFUSAL_MARKS[0]) -> Column:
-    """An answer that begins, marks aside, with the refusal's lead loses its citations."""
-    begins = F.startswith(F.ltrim(c, F.lit(EDGE_MARKS + "\n")), F.lit(lead))
-    return F.when(begins, F.regexp_replace(c, rf"(?iU)\s*{CITATION}", "")).otherwise(c)
+def refusal_cleaned(c: Column, lead: str = REFUSAL_LEAD) -> Column:
+    """Without white space at the ends; an answer that begins, marks of emphasis, quotes and lists aside, with the refusal's lead loses its citations and the spaces that they leave before a stop."""
+    answer = stripped(c)
+    begins = F.startswith(F.regexp_replace(answer, r"(?U)^[\s#>*_`\-]+", ""), F.lit(lead))
+    bare = stripped(F.regexp_replace(without_citations(answer), r"[ \t]+(?=[，。；：、,.;:）)])", ""))
+    return F.when(begins, bare).otherwise(answer)
 
 
 def suspicious_sentences(c: Column, reference: Column, share: float = 0.15) -> Column:

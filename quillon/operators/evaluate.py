@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.storage import numbered
+from quillon.storage import numbered, stored
 
 Z = 1.96
 
@@ -104,25 +104,33 @@ def fingerprint(rows: DataFrame, key: str, text: str) -> DataFrame:
     return s.select("rows", F.substring(F.sha1(F.concat_ws(":", F.col("rows").cast("string"), F.col("_s").cast("decimal(38,0)").cast("string"))), 1, 16).alias("fingerprint"))
 
 
-def flattened(rows: DataFrame, json: str) -> DataFrame:
-    """path, value of every leaf of a JSON object column (maps within maps, to four levels; other values as text)."""
-    at = rows.select(F.lit("").alias("path"), F.col(json).alias("value"))
-    done = None
-    for _ in range(4):
-        is_map = F.coalesce(F.col("value").rlike(r"^\s*\{"), F.lit(False))
-        leaf = at.where(~is_map)
-        done = leaf if done is None else done.unionByName(leaf)
-        inner = at.where(is_map).select("path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value"))
-        at = inner.select(F.concat_ws(".", F.nullif("path", F.lit("")), "k").alias("path"), "value")
-    return done.unionByName(at)
+def json_diff(old: DataFrame, new: DataFrame, json: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, path, old, new, missing of every difference between two JSON columns, row by row of `keys` (without any: one row on each side).
 
-
-def json_diff(old: DataFrame, new: DataFrame, json: str) -> DataFrame:
-    """path, old, new of every leaf that differs between two JSON objects; `missing` says on which side there is none."""
-    a, b = flattened(old, json).withColumn("_a", F.lit(True)), flattened(new, json).withColumn("_b", F.lit(True))
-    both = a.withColumnRenamed("value", "old").join(b.withColumnRenamed("value", "new"), "path", "full_outer")
-    missing = F.when(F.col("_a").isNull(), "old").when(F.col("_b").isNull(), "new")
-    return both.withColumn("missing", missing).where(F.col("missing").isNotNull() | ~F.col("old").eqNullSafe(F.col("new"))).select("path", "old", "new", "missing")
+    Objects are compared key by key to any depth, all else as a whole: lists in their order, numbers by value, texts without regard to
+    spacing or the order of keys within. path joins keys by dots and is empty where the values themselves differ; old and new are JSON text, null where
+    `missing` says that the side has no such key (or no such row). A null column counts as no row. What is no JSON is compared as text.
+    """
+    keys = keys or []
+    side = lambda d, name: d.where(F.col(json).isNotNull()).select(*keys, F.col(json).alias(name))
+    a, b = side(old, "old"), side(new, "new")
+    both = a.join(b, keys, "full_outer") if keys else a.join(b, F.lit(True), "full_outer")
+    at, done = stored(both.select(*keys, F.lit("").alias("path"), "old", "new")), None
+    read = lambda c: F.try_parse_json(F.col(c))
+    while True:  # a round for each level of the deepest objects
+        both = at.withColumn("_o", F.expr("try_cast(try_parse_json(old) as map<string, variant>)")).withColumn("_n", F.expr("try_cast(try_parse_json(new) as map<string, variant>)"))
+        objects = F.col("_o").isNotNull() & F.col("_n").isNotNull()
+        plain = lambda c: F.coalesce(F.to_json(read(c)), F.when(F.col(c).isNotNull(), F.concat(F.lit("text "), c)))
+        ends = both.where(~objects).select(*keys, "path", "old", "new", plain("old").alias("_a"), plain("new").alias("_b"))
+        ends = ends.where(~F.col("_a").eqNullSafe(F.col("_b"))).drop("_a", "_b")
+        done = ends if done is None else done.unionByName(ends)
+        inner = both.where(objects).select("*", F.explode(F.array_union(F.map_keys("_o"), F.map_keys("_n"))).alias("_k"))
+        path = F.concat_ws(".", F.nullif(F.col("path"), F.lit("")), "_k")
+        at = stored(inner.select(*keys, path.alias("path"), F.expr("to_json(try_element_at(_o, _k))").alias("old"), F.expr("to_json(try_element_at(_n, _k))").alias("new")))
+        if at.isEmpty():
+            break
+    missing = F.when(F.col("old").isNull(), "old").when(F.col("new").isNull(), "new")
+    return done.select(*keys, "path", "old", "new", missing.alias("missing"))
 
 
 def line_diff(a: DataFrame, b: DataFrame, text: str) -> DataFrame:
@@ -163,18 +171,36 @@ def compared_runs(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> Da
     return both.withColumn("points", F.format_string("%+.1f", 100 * F.col("delta")))
 
 
-def quota_sample(rows: DataFrame, stratum: str, key: str, total: int, preferred: Column, covered: str | None = None) -> DataFrame:
-    """Largest-remainder quotas by stratum; preferred rows first, then by sha1(key). Ties of remainders go to the smaller stratum.
+def preferred_chunk(heading: Column, size: Column) -> Column:
+    """What samples take first: chunks of 100 to 500 characters below a heading."""
+    return (F.coalesce(heading, F.lit("")) != "") & size.between(100, 500)
+
 
-    With `covered`, the first row of each of its values comes before all others of the stratum, as long as the quota lasts.
+def quotas(counts: DataFrame, stratum: str, total: int, floor: int = 0) -> DataFrame:
+    """stratum, quota of rows (stratum, c): `floor` for each that has rows, and the rest of `total` by largest remainders of what the strata have above it.
+
+    Ties of remainders go to the smaller stratum, null first. Where the floors alone pass the total they stay. Remainders are
+    ranked by ranges, so that strata may be very many.
+    """
+    held = stored(counts.where(F.col("c") > 0).select(stratum, F.least(F.lit(floor), F.col("c")).cast("long").alias("least"), F.greatest(F.col("c") - floor, F.lit(0)).alias("more")))
+    n = held.agg(F.sum("least").alias("least"), F.sum("more").alias("more")).first()
+    rest = max(0, total - (n.least or 0))
+    if not rest or not n.more:
+        return held.select(stratum, F.col("least").alias("quota"))
+    exact = F.lit(rest) * F.col("more") / F.lit(n.more)
+    q = stored(held.where("more > 0").select(stratum, "least", F.floor(exact).alias("base"), F.round(exact - F.floor(exact), 9).alias("left")))
+    short = rest - q.agg(F.sum("base")).first()[0]
+    q = numbered(q, [], [F.desc("left"), F.col(stratum)], "nth").select(stratum, (F.col("least") + F.col("base") + (F.col("nth") <= short).cast("int")).alias("quota"))
+    return q.unionByName(held.where("more = 0").select(stratum, F.col("least").alias("quota")))
+
+
+def quota_sample(rows: DataFrame, stratum: str, key: str, total: int, preferred: Column, covered: str | None = None, floor: int = 0) -> DataFrame:
+    """A sample by quotas of the strata; preferred rows first, then by sha1(key).
+
+    With `floor`, each stratum has so many at least. With `covered`, the first row of each of its values comes before all others of the stratum, as long as the quota lasts.
     """
-    counts = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("c"))
-    n = counts.agg(F.sum("c").alias("all"))
-    exact = F.lit(total) * F.col("c") / F.col("all")
-    q = counts.crossJoin(F.broadcast(n)).select(stratum, F.floor(exact).alias("base"), F.round(exact - F.floor(exact), 9).alias("left"))
-    short = q.agg((F.lit(total) - F.sum("base")).alias("short"))
-    q = q.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("left"), stratum))).crossJoin(F.broadcast(short))  # a row for each stratum
-    q = q.select(stratum, (F.col("base") + (F.col("nth") <= F.col("short")).cast("int")).alias("quota"))
+    q = quotas(rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("c")), stratum, total, floor)
+    total = max(total, floor)
     if covered:
         first = Window.partitionBy(stratum, covered).orderBy(F.desc(F.coalesce(preferred, F.lit(False)).cast("int")), F.sha1(F.col(key).cast("string")), key)
         rows = rows.withColumn("_first", (F.row_number().over(first) == 1).cast("int"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillon.functions.text import CHUNK_ID
 from quillon.operators.units import UNITS
 
-#: A number that is no part of a citation, a word or a longer number.
-NUMBER = r"(?<![A-Za-z0-9_.])[0-9]+(?:\.[0-9]+)?(?![0-9]|\.[0-9]|[A-Za-z0-9_]*_c[0-9]{4})"
+# Fixed value: a number that may be changed: no part of a word, model or longer number, and no list's own.
+LOOSE_NUMBER = re.compile(r"(?<![\d.A-Za-z_#])\d+(?:\.\d+)?(?![\d]|\.\d)(?!\s*[.)）、])")
 #: Words and what they are swapped for, both ways.
 ANTONYMS = (("顺时针", "逆时针"), ("打开", "关闭"), ("增大", "减小"), ("高于", "低于"), ("拧紧", "松开"), ("open", "close"), ("increase", "decrease"), ("above", "below"))
 #: For each dimension, spellings that a unit is swapped for: the first that differs.
@@ -23,16 +27,21 @@ def _first(c: Column, pattern: str) -> tuple[Column, Column, Column]:
     return F.substring(c, F.lit(1), at), hit, F.substring(c, at + F.length(hit) + 1, F.length(c))
 
 
-def doubled(c: Column) -> Column:
-    """The first number (whole ones from 10 on, or with decimals) twice as large, with as many decimals; null without any."""
-    pattern = rf"(?:{NUMBER})(?<=[0-9][0-9]|\.[0-9])"
-    before, hit, after = _first(c, pattern)
-    places = F.length(F.regexp_extract(hit, r"\.([0-9]+)$", 1))
-    twice = 2 * hit.cast("double")
-    shown = F.format_string("%.0f", twice)
-    for d in range(1, 7):
-        shown = F.when(places == d, F.format_string(f"%.{d}f", twice)).otherwise(shown)
-    return F.when(hit != "", F.concat(before, shown, after))
+def changed_number(text: str, allowed: set[float]) -> str | None:
+    """The text with its first number that can be changed into one that is not allowed: twice as large, 7 more, three times, 13 more or five times and 1, with as many decimals."""
+    for m in LOOSE_NUMBER.finditer(text):
+        old, places = float(m[0]), len(m[0].partition(".")[2])
+        for value in (old * 2, old + 7, old * 3, old + 13, old * 5 + 1):
+            new = f"{value:.{places}f}"
+            if float(new) != old and round(float(new), 6) not in allowed:
+                return text[: m.start()] + new + text[m.end() :]
+    return None
+
+
+@F.pandas_udf(StringType())
+def number_changed(texts: pd.Series, allowed: pd.Series) -> pd.Series:
+    """changed_number of each text (null: null); `allowed` are the numbers of the question and the evidence, null if there are none."""
+    return pd.Series([None if t is None else changed_number(t, {round(float(x), 6) for x in (a if a is not None else ()) if x is not None}) for t, a in zip(texts, allowed, strict=True)], dtype="object")
 
 
 def unit_swapped(c: Column) -> Column:
@@ -63,7 +72,8 @@ def sentence_added(c: Column, sentence: str) -> Column:
     return F.concat(c, F.lit(sentence), F.coalesce(F.concat(F.lit("["), last, F.lit("]")), F.lit("")), F.lit("。"))
 
 
-def perturbed(c: Column, sentence: str) -> Column:
-    """array<struct<kind, text>> of all perturbations that apply."""
-    made = {"number": doubled(c), "unit": unit_swapped(c), "antonym": antonym_swapped(c), "fabricated": sentence_added(c, sentence)}
+def perturbed(c: Column, sentence: str, allowed: Column | None = None) -> Column:
+    """array<struct<kind, text>> of all perturbations that apply; a changed number is none of `allowed`."""
+    known = F.array().cast("array<double>") if allowed is None else allowed
+    made = {"number": number_changed(c, known), "unit": unit_swapped(c), "antonym": antonym_swapped(c), "fabricated": sentence_added(c, sentence)}
     return F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("text")) for k, v in made.items()]), lambda p: p["text"].isNotNull())

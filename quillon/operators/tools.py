@@ -159,10 +159,12 @@ def check_value(calls: DataFrame, chunks: DataFrame, pool: DataFrame) -> DataFra
 
 def source_lists(events: DataFrame) -> DataFrame:
     """request_id, seq, sources: at each retrieval the list of all chunks so far, in first-seen order, which replaces the one before."""
-    first = events.groupBy("request_id", "chunk_id").agg(F.min("seq").alias("seq"))
-    step = events.select("request_id", "seq").distinct()
-    met = step.join(first.select("request_id", "chunk_id", F.col("seq").alias("_at")), "request_id").where(F.col("_at") <= F.col("seq"))
-    return met.groupBy("request_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "chunk_id"))), lambda x: x["chunk_id"]).alias("sources"))
+    once = Window.partitionBy("request_id", "chunk_id").orderBy("seq")
+    new = F.when(F.row_number().over(once) == 1, F.struct("seq", "chunk_id"))
+    so_far = Window.partitionBy("request_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
+    held = events.withColumn("_new", new).withColumn("_held", F.collect_list("_new").over(so_far))
+    first = F.row_number().over(Window.partitionBy("request_id", "seq").orderBy("chunk_id"))
+    return held.withColumn("_nth", first).where("_nth = 1").select("request_id", "seq", F.transform(F.array_sort("_held"), lambda x: x["chunk_id"]).alias("sources"))
 
 
 def context_text(ranked: DataFrame, texts: DataFrame) -> DataFrame:

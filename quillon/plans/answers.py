@@ -58,13 +58,17 @@ def verified_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '检索内容不足，无法 回答' WHEN 1 THEN '**检索内容不足** [d_c0001]' WHEN 2 THEN '知识库 无相关内容 ' || text ELSE text END AS a, doc_id % 4 AS m FROM documents)
-    SELECT doc_id, m IN (0, 2) AS refusal, m IN (0, 1) OR (m = 2 AND length(regexp_replace(a, '[\\s\\p{Z}]+', '', 'g')) <= 40) AS short_refusal, CASE WHEN m = 1 THEN '**检索内容不足**' ELSE a END AS cleaned FROM r"""
+    r"""WITH r AS (SELECT doc_id, doc_id % 5 AS m, CASE doc_id % 5 WHEN 0 THEN ' 检索内容不足，无法 回答' WHEN 1 THEN '`知识库无相关内容` [d_c0001] 。资料 (引用 d_c0002) ；' WHEN 2 THEN '知识库 无相关内容 ' || text
+                     WHEN 3 THEN chr(10) || '> **知识库无相关内容**，' || text || ' 【d_c0003】 ' ELSE text END AS a FROM documents),
+    t AS (SELECT *, regexp_replace(a, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS b, length(regexp_replace(a, '[\s\p{Z}]+', '', 'g')) <= 40 AS short FROM r)
+    SELECT doc_id, m IN (0, 2) AS refusal, m <> 4 AND short AS short_refusal,
+           CASE m WHEN 1 THEN '`知识库无相关内容`。资料；' WHEN 3 THEN regexp_replace(regexp_replace(regexp_replace(b, '【d_c0003】$', ''), '[ \t]+([，。；：、,.;:）)])', '\1', 'g'), '[\s\p{Z}]+$', '') ELSE b END AS cleaned FROM t"""
 )
 def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers that refuse, that refuse but cite, that name a mark in a long text, and that answer; both forms of the test, and the clean-up."""
-    m = F.col("doc_id") % 4
-    a = F.when(m == 0, "检索内容不足，无法 回答").when(m == 1, "**检索内容不足** [d_c0001]").when(m == 2, F.concat(F.lit("知识库 无相关内容 "), "text")).otherwise(F.col("text"))
+    """Answers that refuse, that refuse behind marks and cite, that name a mark in a long text, and that answer; both forms of the test, and the clean-up."""
+    m = F.col("doc_id") % 5
+    a = F.when(m == 0, " 检索内容不足，无法 回答").when(m == 1, "`知识库无相关内容` [d_c0001] 。资料 (引用 d_c0002) ；").when(m == 2, F.concat(F.lit("知识库 无相关内容 "), "text"))
+    a = a.when(m == 3, F.concat(F.lit("\n> **知识库无相关内容**，"), "text", F.lit(" 【d_c0003】 "))).otherwise(F.col("text"))
     d = table(spark, sf_dir, "documents").withColumn("a", a)
     return d.select("doc_id", T.is_refusal(F.col("a")).alias("refusal"), T.is_short_refusal(F.col("a")).alias("short_refusal"), T.refusal_cleaned(F.col("a")).alias("cleaned"))
 
@@ -267,14 +271,16 @@ def attack_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT p_partkey, 'Tighten to ' || p_size || '.5 mm and open it' AS a, p_size FROM part)
-    SELECT p_partkey, 'Tighten to ' || printf('%.1f', 2 * (p_size + 0.5)) || ' mm and open it' AS number, 'Tighten to ' || p_size || '.5 m and open it' AS unit, 'Tighten to ' || p_size || '.5 mm and close it' AS antonym FROM p"""
+    """WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 3 = 0 THEN p_size + 7.5 WHEN p_partkey % 3 = 1 AND p_size = 3 THEN 16.5 WHEN p_partkey % 3 = 1 THEN 3 * (p_size + 0.5) ELSE 2 * (p_size + 0.5) END AS n FROM part)
+    SELECT p_partkey, '1. Tighten M8 to ' || printf('%.1f', n) || ' mm and open it' AS number, '1. Tighten M8 to ' || p_size || '.5 m and open it' AS unit, '1. Tighten M8 to ' || p_size || '.5 mm and close it' AS antonym FROM p"""
 )
 def perturbed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers with a number doubled, a unit swapped and a word turned round."""
-    a = F.concat(F.lit("Tighten to "), F.col("p_size"), F.lit(".5 mm and open it"))
-    kinds = probes.perturbed(F.col("a"), "It is blue")
-    p = table(spark, sf_dir, "part").withColumn("a", a).withColumn("m", F.map_from_entries(kinds))
+    """Answers with a number changed into one that the evidence lacks, a unit swapped and a word turned round; the list's and the model's number stay."""
+    old, m = F.col("p_size") + F.lit(0.5).cast("double"), F.col("p_partkey") % 3
+    a = F.concat(F.lit("1. Tighten M8 to "), F.col("p_size"), F.lit(".5 mm and open it"))
+    allowed = F.when(m == 0, F.array(2 * old)).when(m == 1, F.array(2 * old, old + 7)).otherwise(F.array().cast("array<double>"))
+    kinds = probes.perturbed(F.col("a"), "It is blue", F.col("allowed"))
+    p = table(spark, sf_dir, "part").withColumn("a", a).withColumn("allowed", allowed).withColumn("m", F.map_from_entries(kinds))
     return p.select("p_partkey", *[F.col("m")[k].alias(k) for k in ("number", "unit", "antonym")])
 
 

@@ -1,12 +1,16 @@
-"""Queries of the stored indexes: words, vectors and patterns."""
+"""Queries of what is stored: indexes of words and vectors, patterns, samples, kept answers and judgments."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import answers, lexical, retrieval, vectors
+from quillon.operators import answers, evaluate, lexical, retrieval, runs, vectors
 from quillon.plans.base import query, questions, table
+from quillon.storage import shared_folder
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -65,3 +69,45 @@ def absent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = b.select(F.col("item_id").alias("id"), F.explode(phrases).alias("term"), source.alias("absent_in")).distinct()
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("doc_id"), "text")
     return answers.absent_found(terms, chunks)
+
+
+@query(
+    """WITH d AS (SELECT doc_id, source, CASE WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) ELSE '' END AS heading, n_chars FROM documents),
+    c AS (SELECT source, count(*) AS c FROM d GROUP BY source), a AS (SELECT greatest(0, 60 - count(*)) AS rest, sum(c - 1) AS more FROM c), x AS (SELECT source, c, CASE WHEN more > 0 THEN rest * (c - 1)::DOUBLE / more ELSE 0 END AS x FROM c, a),
+    r AS (SELECT source, floor(x) AS base, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, source NULLS FIRST) AS nth FROM x WHERE c > 1),
+    q AS (SELECT c.source, 1 + coalesce(base, 0) + CASE WHEN nth <= (SELECT rest FROM a) - (SELECT sum(base) FROM r) THEN 1 ELSE 0 END AS quota FROM c LEFT JOIN r ON r.source = c.source),
+    n AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN heading <> '' AND n_chars BETWEEN 100 AND 500 THEN 1 ELSE 0 END DESC, sha1(CAST(doc_id AS VARCHAR)), doc_id) AS nth FROM d)
+    SELECT doc_id, n.source FROM n JOIN q ON n.source = q.source WHERE nth <= quota"""
+)
+def quota_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty documents, one of each source at least; such as have a first line for a heading and a middling length come first."""
+    first = F.split_part("text", F.lit("\n"), F.lit(1))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.when(F.contains("text", F.lit("\n")), first).otherwise("").alias("heading"))
+    return evaluate.quota_sample(d, "source", "doc_id", 60, evaluate.preferred_chunk(F.col("heading"), F.col("n_chars")), floor=1).select("doc_id", "source")
+
+
+def _length(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stands for a model: an answer that the text alone decides."""
+    for b in batches:
+        yield pd.DataFrame({"item_id": b["item_id"], "answer": [f"{len(t)} letters" for t in b["text"]]})
+
+
+@query("SELECT item_id, length(text) || ' letters' AS answer FROM benchmark")
+def kept_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers kept in steps of ten; the run is called twice, first for a part of the items."""
+    folder, items = shared_folder(spark), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    for part in (items.where("item_id % 3 = 0"), items):
+        found = runs.kept_run(part, "item_id", _length, "item_id long, answer string", folder)
+    return found
+
+
+def _verdict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"key": b["key"], "verdict": [f"{p}{len(g) % 3}" for p, g in zip(b["prompt"], b["given"], strict=True)]})
+
+
+@query("SELECT doc_id, 'size' || length(text) % 3 AS verdict FROM documents")
+def judged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on each text from the kept judgments; copies share one, and a second run would ask for none."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.judged_once(d, F.lit("size"), F.col("text"), _verdict, "size", "none", shared_folder(spark)).select("doc_id", "verdict")

@@ -284,3 +284,47 @@ def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of hashed terms: how many places they fill, their sum and their largest."""
     v = retrieval.hashed_vectors(table(spark, sf_dir, "documents"), "doc_id", "text").where("embedding IS NOT NULL")
     return v.select("doc_id", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("places"), F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x), 6).alias("total"), F.round(F.array_max("embedding"), 6).alias("most"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS id, c_name, c_acctbal, c_mktsegment, c_custkey % 5 AS m FROM customer)
+    SELECT id, 'about.deep.a.b.c.balance' AS path, 'differs' AS kind FROM c WHERE m = 1 UNION ALL SELECT id, 'about.segment', 'new' FROM c WHERE m = 2 UNION ALL SELECT id, 'list', 'differs' FROM c WHERE m = 3
+    UNION ALL SELECT id, 'about.deep.a.b.c.extra', 'old' FROM c WHERE m = 4"""
+)
+def json_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON, six levels deep, in two spellings that order and space their keys otherwise, with a difference by the key's remainder."""
+    c, m = table(spark, sf_dir, "customer"), F.col("c_custkey") % 5
+    text = lambda x: F.to_json(F.struct(x.alias("x"))).substr(F.lit(6), F.lit(10**6))  # a JSON string and a closing brace
+    quoted = lambda c: F.expr(f"left({c}, length({c}) - 1)")
+    d = c.withColumn("_s", text(F.col("c_mktsegment"))).withColumn("_n", text(F.col("c_name"))).withColumn("seg", quoted("_s")).withColumn("name", quoted("_n"))
+    old = F.format_string('{"name": %s, "about": {"segment": %s, "deep": {"a": {"b": {"c": {"balance": %s, "one": 1.0}}}}}, "list": [1, {"x": 1, "y": [2]}]}', "name", "seg", F.col("c_acctbal").cast("string"))
+    balance = F.when(m == 1, (F.col("c_acctbal") + 1)).otherwise(F.col("c_acctbal")).cast("string")
+    extra = F.when(m == 4, ', "extra": null').otherwise("")
+    segment = F.when(m == 2, "").otherwise(F.concat(F.lit(', "segment" : '), "seg"))
+    ends = F.when(m == 3, '[{"y":[2],"x":1},1]').otherwise('[1,{"y":[2],"x":1}]')
+    new = F.concat(F.lit('{"list":'), ends, F.lit(',"about":{"deep":{"a":{"b":{"c":{"one":1,"balance":'), balance, extra, F.lit("}}}}"), segment, F.lit('},"name":'), F.col("name"), F.lit("}"))
+    found = evaluate.json_diff(d.select("c_custkey", old.alias("j")), d.select("c_custkey", new.alias("j")), "j", ["c_custkey"])
+    return found.select(F.col("c_custkey").alias("id"), "path", F.coalesce("missing", F.lit("differs")).alias("kind"))
+
+
+@query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS r, event_id AS seq, event_id // 8 AS rd, CASE WHEN event_id % 211 = 5 THEN 'done' WHEN event_id % 307 = 6 THEN 'error' WHEN event_id % 409 = 6 THEN 'rejected' ELSE ['thought', 'token', 'token', 'retrieval', 'token', 'token', 'token', 'step'][1 + event_id % 8] END AS event,
+         event_type || ' ' AS word, 'c' || event_id % 13 AS c1, 'c' || event_id % 7 AS c2, epoch(ts) AS t FROM events),
+    n AS (SELECT r, rd, bool_or(event = 'thought') AS thought, string_agg(word, '' ORDER BY seq) FILTER (event = 'token') AS told, min(t) FILTER (event = 'token') AS spoke FROM e GROUP BY r, rd),
+    s AS (SELECT r, arg_max(told, rd) AS told, arg_max(spoke, rd) AS spoke FROM n WHERE NOT thought AND told IS NOT NULL GROUP BY r),
+    x AS (SELECT r, chunk, min(seq * 2 + nth) AS place FROM (SELECT r, seq, unnest([c1, c2]) AS chunk, unnest([0, 1]) AS nth FROM e WHERE event = 'retrieval') GROUP BY r, chunk),
+    o AS (SELECT r, string_agg(chunk, ',' ORDER BY place) AS sources FROM x GROUP BY r),
+    g AS (SELECT r, min(t) AS first, max(t) AS last, count(*) FILTER (event = 'step') AS steps, max(seq) FILTER (event = 'done') AS done, arg_max(event, seq) FILTER (event IN ('error', 'rejected')) AS final FROM e GROUP BY r)
+    SELECT g.r AS request_id, CASE final WHEN 'error' THEN 'error' WHEN 'rejected' THEN 'rejected_gate' ELSE 'answered' END AS status, CASE WHEN done IS NOT NULL THEN 'told at ' || done ELSE trim(coalesce(told, '')) END AS answer,
+           round((spoke - first) * 1000, 3) AS first_token_ms, round((last - first) * 1000, 3) AS total_ms, coalesce(sources, '') AS sources, steps FROM g LEFT JOIN s ON s.r = g.r LEFT JOIN o ON o.r = g.r"""
+)
+def round_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request by rounds: the answer, the time to its first token, all sources and the steps."""
+    i = F.col("event_id")
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("thought", "token", "token", "retrieval", "token", "token", "token", "step")]), (1 + i % 8).cast("int"))
+    kind = F.when(i % 211 == 5, "done").when(i % 307 == 6, "error").when(i % 409 == 6, "rejected").otherwise(kinds)
+    chunk = lambda n: F.concat(F.lit("c"), (i % n).cast("string"))
+    data = F.when(kind == "done", F.to_json(F.struct(F.concat(F.lit(" told at "), i.cast("string")).alias("answer")))).when(kind == "retrieval", F.to_json(F.array(chunk(13), chunk(7)))).otherwise(F.concat("event_type", F.lit(" ")))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("request_id"), i.alias("seq"), F.floor(i / 8).alias("round"), kind.alias("event"), data.alias("data"), "ts")
+    rows = stream.round_rows(e.unionByName(e.where(i % 3 == 0)))  # every third is sent again
+    return rows.withColumn("sources", F.array_join("sources", ","))

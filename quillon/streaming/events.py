@@ -97,3 +97,81 @@ def folded_stream(events: DataFrame, late: str = "1 minute", patience_ms: int =
 
     seen = events.withWatermark("ts", late) if not events.isStreaming else once_each(events, late)
     return seen.groupBy("request_id").applyInPandasWithState(fold, FOLDED, _STATE, "append", "EventTimeTimeout")
+
+
+ROUNDS = "request_id string, status string, answer string, first_token_ms double, total_ms double, sources array<string>, steps long, open boolean"
+STATUS = {"rejected": "rejected_gate", "error": "error"}
+
+
+def round_rows(events: DataFrame) -> DataFrame:
+    """A row for each request of (request_id, seq, round, event, data, ts): status, answer, first_token_ms, total_ms, sources, steps.
+
+    Tokens of a round with a `thought` event are no answer; the last other round with tokens is, unless the `done` event brings one. Its
+    first token gives first_token_ms, from the request's first event on; both ends are stripped of white space. A `rejected` or
+    `error` event gives the status, the last of them. `retrieval` events bring lists of chunks (JSON), of which sources has all, in the order in which they
+    came first; `step` events are counted. Events sent again, of one request and seq, are one; the first of `ts` counts. Null data is empty.
+    """
+    e = events.groupBy("request_id", "seq").agg(*[F.min_by(F.struct("round", "event", F.coalesce("data", F.lit("")).alias("data")), "ts").alias("x"), F.min("ts").alias("ts")]).select("request_id", "seq", "x.*", "ts")
+    token = F.when(F.col("event") == "token", F.struct("seq", "data"))
+    rounds = e.groupBy("request_id", "round").agg(
+        F.max(F.col("event") == "thought").alias("thought"), F.array_join(F.transform(F.array_sort(F.collect_list(token)), lambda x: x["data"]), "").alias("told"),
+        F.min(F.when(F.col("event") == "token", F.col("ts"))).alias("spoke"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_if(F.col("event") == "step").alias("steps"),
+        F.max(F.when(F.col("event") == "done", F.struct("seq", "data"))).alias("done"), F.max(F.when(F.col("event").isin(*STATUS), F.struct("seq", "event"))).alias("end"),
+    )
+    spoken = F.when(~F.col("thought") & F.col("spoke").isNotNull(), F.col("round"))
+    g = rounds.groupBy("request_id").agg(
+        F.max_by(F.struct("told", "spoke"), spoken).alias("said"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("steps").alias("steps"), F.max("done").alias("done"), F.max("end").alias("end"),
+    )
+    found = e.where("event = 'retrieval'").select("request_id", "seq", F.posexplode(F.from_json("data", "array<string>")).alias("at", "chunk"))
+    found = found.groupBy("request_id", "chunk").agg(F.min(F.struct("seq", "at")).alias("at"))
+    sources = found.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "chunk"))), lambda x: x["chunk"]).alias("sources"))
+    seconds = lambda t: t.cast("timestamp").cast("double")
+    ms = lambda later: F.round((seconds(later) - seconds(F.col("first"))) * 1000, 3)
+    status = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv]), F.col("end.event")), F.lit("answered"))
+    answer = F.regexp_replace(F.coalesce(F.get_json_object("done.data", "$.answer"), F.col("said.told"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    out = g.join(sources, "request_id", "left")
+    none = F.array().cast("array<string>")
+    return out.select("request_id", status.alias("status"), answer.alias("answer"), ms(F.col("said.spoke")).alias("first_token_ms"), ms(F.col("last")).alias("total_ms"), F.coalesce("sources", none).alias("sources"), "steps")
+
+
+def round_stream(events: DataFrame, late: str = "10 minutes", patience_ms: int = 600_000) -> DataFrame:
+    """round_rows on a stream, in update mode: each request's row anew whenever events of it come, with its sources whole, so that the last row of a request replaces all before it.
+
+    `open` is false in the row that comes when nothing was heard of a request for patience_ms of event time: its state is gone then.
+    Until that, events that come late or again find their place by seq. The state of an open request is its own events, without those of one seq that came again.
+    """
+    import json
+
+    columns = [c.split()[0] for c in ROUNDS.split(", ")]
+
+    def row(request: str, held: dict[int, list], open_: bool) -> pd.DataFrame:
+        e = sorted(held.items())
+        thoughts = {x[0] for _, x in e if x[1] == "thought"}
+        rounds = {x[0] for _, x in e if x[1] == "token"} - thoughts
+        said = [x for _, x in e if x[1] == "token" and rounds and x[0] == max(rounds)]
+        first, last = min(x[3] for _, x in e), max(x[3] for _, x in e)
+        ends = [x[1] for _, x in e if x[1] in STATUS]
+        done = [x[2] for _, x in e if x[1] == "done"]
+        told = (json.loads(done[-1] or "{}") if done else {}).get("answer")
+        answer = (told if isinstance(told, str) else "".join(x[2] for x in said)).strip()
+        sources = list(dict.fromkeys(c for _, x in e if x[1] == "retrieval" for c in json.loads(x[2] or "[]")))
+        spoke = round((min(x[3] for x in said) - first) * 1000, 3) if said else None
+        values = (request, STATUS.get(ends[-1], "answered") if ends else "answered", answer, spoke, round((last - first) * 1000, 3), sources, sum(x[1] == "step" for _, x in e), open_)
+        return pd.DataFrame([values], columns=columns)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = {int(k): v for k, v in json.loads(state.get[0]).items()} if state.exists else {}
+        if state.hasTimedOut:
+            state.remove()
+            yield row(key[0], held, False)
+            return
+        for b in batches:
+            seconds = b["ts"].astype("int64") / 10 ** {"ns": 9, "us": 6, "ms": 3, "s": 0}[b["ts"].dt.unit]
+            for seq, rnd, event, data, ts in zip(b["seq"], b["round"], b["event"], b["data"], seconds, strict=True):
+                if int(seq) not in held or ts < held[int(seq)][3]:
+                    held[int(seq)] = [int(rnd), event, data or "", float(ts)]
+        state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(max(int(max(x[3] for x in held.values()) * 1000), state.getCurrentWatermarkMs()) + patience_ms)
+        yield row(key[0], held, True)
+
+    return events.withWatermark("ts", late).groupBy("request_id").applyInPandasWithState(fold, ROUNDS, "held string", "update", "EventTimeTimeout")

@@ -1,4 +1,5 @@
 import json
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -77,9 +78,37 @@ def test_json_diff(spark):
     assert {(r.path, r.missing) for r in got} == {("b.c", None), ("b.d", "new"), ("e", "new"), ("f", "old")}
 
 
+def plain_diff(old, new, path=""):
+    if isinstance(old, dict) and isinstance(new, dict):
+        return [d for k in sorted({*old, *new}) for d in plain_diff(old.get(k, ...), new.get(k, ...), f"{path}.{k}" if path else k)]
+    return [] if old == new else [(path, "old" if old is ... else "new" if new is ... else None)]
+
+
+def test_json_diff_to_any_depth(spark):
+    rng = random.Random(6)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice([1, 2.5, None, "x", [], {}, [1, {"a": 2, "b": [3]}], True])
+        return {k: some(depth - 1) for k in rng.sample("abcdef", rng.randint(0, 4))}
+
+    pairs = [(i, some(8), some(8)) for i in range(60)]
+    changed = lambda x: {k: changed(v) for k, v in reversed(x.items())} if isinstance(x, dict) else x
+    pairs += [(100 + i, a, changed(a) | {"z": 0} if isinstance(a, dict) else a) for i, a, _ in pairs]
+    frame = lambda n: spark.createDataFrame([(p[0], json.dumps(p[n], indent=n)) for p in pairs], "id long, j string").repartition(3)
+    got = evaluate.json_diff(frame(1), frame(2), "j", ["id"]).collect()
+    assert sorted((r.id, r.path, str(r.missing)) for r in got) == sorted((i, p, str(m)) for i, a, b in pairs for p, m in plain_diff(a, b))
+
+
+def test_json_diff_of_odd_rows(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, j string")
+    got = evaluate.json_diff(rows((1, "no json"), (2, None), (3, "{}"), (4, "[1, 2]")), rows((1, "no json "), (2, "1"), (4, "[1,2]"), (5, None)), "j", ["id"]).collect()
+    assert sorted((r.id, r.path, r.missing) for r in got) == [(1, "", None), (2, "", "old"), (3, "", "new")]
+
+
 def test_probes(spark):
-    d = spark.createDataFrame([("打开阀门到 12.5 mm。[m_c0012]",), ("只有 3 个",)], "a string").select(probes.doubled(F.col("a")).alias("n"), probes.antonym_swapped(F.col("a")).alias("w"), probes.sentence_added(F.col("a"), "泵是蓝色的").alias("s")).collect()
-    assert d[0].n == "打开阀门到 25.0 mm。[m_c0012]" and d[0].w == "关闭阀门到 12.5 mm。[m_c0012]" and d[0].s.endswith("泵是蓝色的[m_c0012]。") and d[1].n is None
+    d = spark.createDataFrame([("打开阀门到 12.5 mm。[m_c0012]",), ("只有 3 个",)], "a string").select(probes.number_changed(F.col("a"), F.lit(None).cast("array<double>")).alias("n"), probes.antonym_swapped(F.col("a")).alias("w"), probes.sentence_added(F.col("a"), "泵是蓝色的").alias("s")).collect()
+    assert d[0].n == "打开阀门到 25.0 mm。[m_c0012]" and d[0].w == "关闭阀门到 12.5 mm。[m_c0012]" and d[0].s.endswith("泵是蓝色的[m_c0012]。") and d[1].n == "只有 6 个"
 
 
 def test_evidence_shared_by_one_chunk(spark):
