@@ -25,7 +25,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TOKEN = r"(?:(?<![A-Za-z0-9@._%+#/-])|\G)[A-Za-z@._%+#/-]*+[0-9][A-Za-z0-9@._%+#/-]*+"
-#: Characters beside an instance that are looked at for its context.
+#: Characters of a place in a text, by which spans are held against tokens.
+NEAR = 1024
+#: Characters beside an instance within which the words of its context lie whole; a longer word is no context.
 CONTEXT = 60
 #: Digits that a token has at least.
 DIGITS = 4
@@ -65,24 +67,51 @@ def _shape(m: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(m, r"\p{L}+", "a"), "[0-9]+", "0")
 
 
+def _outside(tokens: Column, base: Column, length: Column) -> Column:
+    """Tokens that no base span meets. The spans are dealt by where they lie, so that a token is held against those near it alone."""
+    places = F.sequence(F.lit(0), F.floor(length / NEAR).cast("int"))
+    near = F.transform(places, lambda i: F.filter(base, lambda b: (b["start"] < (i + 1) * NEAR) & (b["end"] > i * NEAR)))
+
+    def free(lots: Column) -> Column:
+        beside = lambda s: F.flatten(F.slice(lots, F.floor(s["start"] / NEAR).cast("int") + 1, F.floor((s["end"] - 1) / NEAR).cast("int") - F.floor(s["start"] / NEAR).cast("int") + 1))
+        return F.filter(tokens, lambda s: ~F.exists(beside(s), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+
+    return F.element_at(F.transform(F.array(near), free), 1)
+
+
 def _instances(text: Column, base: Column) -> Column:
     """Base spans, and identifier-like tokens outside them, with the patterns that they stand in."""
     tokens = found(text, TOKEN, "context", len(KINDS), lambda m: F.length(_digits(m)) >= DIGITS)
-    tokens = F.filter(tokens, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    tokens = F.when(F.size(base) == 0, tokens).otherwise(_outside(tokens, base, F.length(text)))
     pick = lambda spans, seed: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), F.lit(seed).alias("seed")))
 
     def word(w: Column) -> Column:
         bare = F.regexp_replace(w, r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
         return F.regexp_replace(F.lower(F.when(bare == "", w).otherwise(bare)), "[0-9]+", "0")
 
-    def one(s: Column) -> Column:
-        left = F.transform(F.regexp_extract_all(F.substring(text, F.greatest(s["start"] + 1 - CONTEXT, F.lit(1)), F.least(s["start"], F.lit(CONTEXT))), F.lit(WORD), F.lit(0)), word)
-        after = F.regexp_substr(F.substring(text, s["end"] + 1, F.lit(CONTEXT)), F.lit(WORD))
+    blank, length = r"[\x20\x09-\x0D]", F.length(text)
+    # a substring is sought from its text's beginning: places are cut once, and contexts from them
+    begin = lambda i: F.greatest(i * NEAR - CONTEXT - 1, F.lit(0))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor(length / NEAR).cast("int")), lambda i: F.substring(text, begin(i) + 1, F.lit(NEAR + 2 * CONTEXT + 2)))
+
+    def one(s: Column, places: Column, length: Column) -> Column:
+        at, to = F.floor(s["start"] / NEAR).cast("int"), F.floor(s["end"] / NEAR).cast("int")
+        first = F.greatest(s["start"] - CONTEXT - 1, F.lit(0))
+        ahead = F.substring(F.get(places, at), first - begin(at) + 1, s["start"] - first)
+        ahead = F.when(first > 0, F.regexp_replace(ahead, rf"^{WORD}", "")).otherwise(ahead)  # what the window cuts is no word
+        left = F.transform(F.regexp_extract_all(ahead, F.lit(WORD), F.lit(0)), word)
+        behind = F.substring(F.get(places, to), s["end"] - begin(to) + 1, F.lit(CONTEXT + 1))
+        behind = F.when(s["end"] + CONTEXT >= length, F.concat(behind, F.lit(" "))).otherwise(behind)
+        after = F.regexp_substr(F.regexp_substr(behind, F.lit(rf"^{blank}*+{WORD}+{blank}")), F.lit(WORD))
         last, before = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2))
         patterns = F.array(F.concat(F.lit("before:"), before, F.lit(" "), last), F.concat(F.lit("around:"), last, F.lit(" _ "), word(after)), F.concat(F.lit("shape:"), last, F.lit(" "), _shape(s["match"])))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["match"]).alias("token"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"), s["seed"].alias("seed"))
 
-    return F.transform(F.concat(pick(base, True), pick(tokens, False)), one)
+    spans = F.concat(pick(base, True), pick(tokens, False))
+    none = F.array().cast("array<struct<start:int,end:int,token:string,patterns:array<string>,seed:boolean>>")
+    # element_at keeps what a lambda binds; by [0] it would be written into the lambda, and read again for each token
+    bound = lambda all_: F.element_at(F.transform(F.array(F.struct(cuts.alias("cuts"), length.alias("length"))), lambda c: F.transform(all_, lambda s: one(s, c["cuts"], c["length"]))), 1)
+    return F.element_at(F.transform(F.array(spans), lambda all_: F.when(F.size(all_) == 0, none).otherwise(bound(all_))), 1)
 
 
 def extract(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS) -> DataFrame:

@@ -1,9 +1,9 @@
 """Secret scans over a trigram inverted index.
 
 From each rule's regular expression follow the trigrams that any match must hold, as a Boolean
-query: some alternative, all of its trigrams, of which the rarest are asked for. The index has the documents of each such trigram;
-intersecting its postings gives each rule's candidates, which the expression then verifies.
-Rules without mandatory trigrams scan every text. DataFrame and SQL functions alone.
+query: some alternative, all of its trigrams. The index is a table of the documents of each trigram that any rule so far has asked
+for; rules that come later add what it lacks. Intersecting its postings gives each rule's candidates, which the expression then verifies
+where a filter of fixed size lets their texts pass. Rules without mandatory trigrams scan every text. DataFrame and SQL functions alone.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, stored
+from .common import documents, fresh, shared_folder, stored
 from .spans import count_of, found, listed, masked_text
 
 
@@ -74,35 +74,53 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
     return [a for a in dict.fromkeys(found_) if a in least] if found_ and all(found_) else None
 
 
-#: Trigrams of an alternative that the index holds, by the letters' rarity: others hardly thin out its candidates.
-ASKED = 2
-#: Signs from the most frequent on (of English); any other is rarer.
-FREQUENT = " -etaoinshrdlcumwfgypbvkjxqz"
-
-
-def rarest(alternative: frozenset[str], most: int = ASKED) -> list[str]:
-    """The trigrams of the rarest signs: each match holds all trigrams of its alternative, so it holds these."""
-    rank = lambda x: FREQUENT.index(x) if x in FREQUENT else len(FREQUENT)
-    return sorted(alternative, key=lambda g: (-sum(map(rank, g)), g))[:most]
-
-
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """gram, doc_id, text_hash: the documents that hold each of the trigrams, case aside. Each text is lowered once and stays where it is."""
+    """doc_id, text_hash, gram: the documents that hold each of the trigrams, case aside. Each text is lowered once and stays where it is."""
     wanted = F.array(*[F.lit(g) for g in grams])
     held = F.transform(F.array(F.lower("text")), lambda t: F.filter(wanted, lambda g: F.contains(t, g)))[0]
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(held).alias("gram"))
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """doc_id, text_hash, rules: the rules whose trigram queries a document satisfies."""
-    clauses = [(r.kind, i, g, len(asked)) for r in rules for i, alt in enumerate(trigram_query(r.pattern) or []) for asked in [rarest(alt)] for g in asked]
+def gram_index(docs: DataFrame, grams: list[str], folder: str) -> DataFrame:
+    """The postings of these trigrams from the index in folder, to which those that it lacks are added, by one pass over docs (the same in each call)."""
+    spark = docs.sparkSession
+    path, schema = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/grams"), "doc_id long, text_hash long, gram string"
+    known = set()
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        known = {r.gram for r in spark.read.schema("gram string").parquet(f"{folder}/grams").collect()}  # as many as the rules have
+    new = sorted(set(grams) - known)
+    if new:
+        postings(docs, new).write.mode("append").partitionBy("gram").parquet(f"{folder}/postings")
+        spark.createDataFrame([(g,) for g in new], "gram string").coalesce(1).write.mode("append").parquet(f"{folder}/grams")
+    return spark.read.schema(schema).parquet(f"{folder}/postings").where(F.col("gram").isin(sorted(set(grams))))
+
+
+def candidates(docs: DataFrame, rules: tuple[Rule, ...], folder: str | None = None) -> DataFrame:
+    """doc_id, text_hash, rules: the rules whose trigram queries a document satisfies, by the index in folder (else one for this call)."""
+    clauses = [(r.kind, i, g, len(alt)) for r in rules for i, alt in enumerate(trigram_query(r.pattern) or []) for g in alt]
     table = docs.sparkSession.createDataFrame(clauses, "rule string, alternative int, gram string, need int")
-    index = postings(docs, sorted({g for _, _, g, _ in clauses}))
+    index = gram_index(docs, sorted({g for _, _, g, _ in clauses}), folder or shared_folder(docs.sparkSession))
     hits = index.join(F.broadcast(table), "gram")  # a row for each trigram of the rules
     hits = hits.groupBy("doc_id", "text_hash", "rule", "alternative", "need").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == F.col("need"))
     return hits.groupBy("doc_id", "text_hash").agg(F.collect_set("rule").alias("rules"))
 
 
+#: Bits of the filter through which texts pass to be verified (2 MB, however many candidates).
+FILTER_BITS = 1 << 24
+
+
+def passing(docs: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """docs whose `column` (a long) may be among the keys' (a few others pass as well), so that a join moves only their texts. The filter is one row of fixed size."""
+    slot = lambda: F.pmod(F.col(column), F.lit(FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot() % 64).cast("int"))
+    words = keys.groupBy(F.floor(slot() / 64).alias("id")).agg(F.bit_or(bit).alias("_b"))
+    every = docs.sparkSession.range(FILTER_BITS // 64).join(words, "id", "left").select("id", F.coalesce("_b", F.lit(0)).alias("_b"))
+    table = stored(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "_b"))), lambda x: x["_b"]).alias("_bits")))
+    word = F.get("_bits", F.floor(slot() / 64).cast("int"))
+    hit = F.call_function("shiftright", word, (slot() % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return docs.crossJoin(F.broadcast(table)).where(hit).drop("_bits")  # one row
+
+
 def _spans(text: Column, rule: Rule, nth: int) -> Column:
     return found(text, rule.pattern, rule.kind, nth, (lambda m: m.rlike(rule.keep)) if rule.keep else None)
 
@@ -111,11 +129,12 @@ def _bare(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["nth"].alias("nth"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, folder: str | None = None) -> DataFrame:
     """doc_id, text_hash and spans (array of structs) of every row of docs (doc_id, text).
 
     Null and empty texts have no spans; very long ones are read whole; repeated rows give repeated results; an empty table gives no
-    rows. Spans that begin together are listed by the rules' order. Candidates meet their texts in a join that Spark broadcasts or shuffles by its own size limit.
+    rows; other columns, of any name, are not read. Spans that begin together are listed by the rules' order. Only candidates' texts, and the few that the
+    filter lets pass besides, can be moved to be verified; what they have is joined back as spans. With `folder` the index there is used and added to.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nth = {r.kind: i for i, r in enumerate(rules)}
@@ -125,9 +144,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     out = d.select("doc_id", F.xxhash64("text").alias("text_hash"), F.concat(none, *full).alias("spans"))
     if not indexed:
         return out
-    wanted = stored(candidates(d, indexed)).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "rules")
+    found_ = stored(candidates(d, indexed, folder))
+    wanted = found_.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "rules")
     meets = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    checked = d.withColumn("text_hash", F.xxhash64("text")).join(wanted, meets)
+    checked = passing(d.withColumn("text_hash", F.xxhash64("text")), found_, "text_hash").join(wanted, meets)
     verified = F.concat(*[F.when(F.array_contains("rules", r.kind), _bare(_spans(F.col("text"), r, nth[r.kind]))).otherwise(none) for r in indexed])
     checked = checked.select("_doc", "_hash", verified.alias("more")).where(F.size("more") > 0)
     checked = stored(checked.groupBy("_doc", "_hash").agg(F.first("more").alias("more")))
