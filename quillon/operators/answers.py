@@ -156,6 +156,80 @@ def metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     return m.withColumn("rate", F.round(F.try_divide("k", "n"), 6)).withColumn("low", low).withColumn("high", high)
 
 
+#: What judged_metrics and measures read beside the columns of metrics.
+JUDGED = """judge struct<failed:boolean, declined:boolean, sentences:array<struct<support:string, quote_ok:boolean, cited_ok:boolean>>>, fact_judge struct<failed:boolean, verdicts:array<string>>, matched array<boolean>,
+n_numbers long, n_untraced long, overlaps array<double>, finish_reason string, t_total_ms double, t_first_token_ms double, input_tokens long, output_tokens long, cache_read_tokens long, cost_upper double, cost_yuan double,
+mode string, llm_calls long, tool_calls long, tool_errors long, forced_final boolean, tools_expected array<string>, tools_expected_ok boolean, numbers_checked long, number_issues long, repair string, repair_fixed boolean"""
+
+
+def judged_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, metric, k, n, rate of scored rows with a judge's verdicts, calls and tools (JUDGED), in one aggregation; n is null where the metric is a plain count.
+
+    Rows in error are in none. A sentence that can be checked has support full, partial or none; it is strictly faithful if its quote stands
+    as well. Verdicts of a failed judgment don't count. Facts are compared, one by one, with the verdicts on them, as far as both go. What
+    concerns the agent is of rows of its mode with counted calls.
+    """
+    ok = F.col("behavior") != "error"
+    due, not_due, answered = ok & (F.col("expect") == "answer"), ok & (F.col("expect") == "refuse"), ok & (F.col("behavior") == "answered")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    count = lambda c: F.count_if(yes(c))
+    total = lambda c, where: F.sum(F.when(where, c))
+    failed, declined = yes(F.col("judge.failed")), yes(F.col("judge.declined"))
+    judged = answered & F.col("judge").isNotNull()
+    said = lambda test: F.size(F.filter("judge.sentences", test))
+    sentences = lambda test: total(said(test), judged & ~failed)
+    can = sentences(lambda s: s["support"].isin("full", "partial", "none"))
+    facts = due & (F.col("behavior") == "answered") & F.col("fact_judge").isNotNull()
+    fact_failed = yes(F.col("fact_judge.failed"))
+    pairs = F.slice(F.arrays_zip(F.col("matched").alias("m"), F.col("fact_judge.verdicts").alias("v")), F.lit(1), F.least(F.size("matched"), F.size("fact_judge.verdicts")))
+    fact = lambda test: total(F.size(F.filter(pairs, test)), facts & ~fact_failed)
+    present = lambda x: yes(x["v"] == "present")
+    agent = ok & (F.col("mode") == "agent") & F.col("llm_calls").isNotNull()
+    checked, expected = agent & F.col("numbers_checked").isNotNull(), agent & (F.col("expect") == "answer") & (F.coalesce(F.size("tools_expected"), F.lit(0)) > 0)
+    repaired = yes(F.coalesce(F.col("repair"), F.lit("")) != "")
+    none = F.lit(None).cast("long")
+    pairs_ = [
+        ("answered_but_declined", count(due & answered & declined), none), ("refusal_gate", count(not_due & (F.col("behavior") == "rejected_gate")), none), ("refusal_model", count(not_due & (F.col("behavior") == "refused_model")), none),
+        ("refusal_declined_by_judge", count(not_due & answered & declined), none), ("numbers_traced", total(F.col("n_numbers") - F.col("n_untraced"), answered), total(F.col("n_numbers"), answered)),
+        ("overlap_low", total(F.size(F.filter("overlaps", lambda x: x < 0.5)), answered), total(F.size(F.filter("overlaps", lambda x: x.isNotNull())), answered)), ("truncated", count(answered & (F.col("finish_reason") == "length")), none),
+        ("judge_failed", count(judged & failed), count(judged)), ("faithful_strict", sentences(lambda s: (s["support"] == "full") & s["quote_ok"]), can), ("faithful_full", sentences(lambda s: s["support"] == "full"), can),
+        ("partial", sentences(lambda s: s["support"] == "partial"), can), ("unsupported", sentences(lambda s: s["support"] == "none"), can), ("citation_ok", sentences(lambda s: s["cited_ok"]), sentences(lambda s: s["cited_ok"].isNotNull())),
+        ("fact_agree", fact(lambda x: x["m"] == present(x)), fact(lambda x: F.lit(True))), ("fact_only_regex", fact(lambda x: x["m"] & ~present(x)), none), ("fact_only_judge", fact(lambda x: ~x["m"] & present(x)), none),
+        ("fact_contradicted", fact(lambda x: x["v"] == "contradicted"), none), ("fact_judge_failed", count(facts & fact_failed), none), ("fact_recall_judge", fact(present), fact(lambda x: F.lit(True))),
+        ("presearch_only", count(agent & (F.col("llm_calls") == 1)), count(agent)), ("tool_errors", total(F.col("tool_errors"), agent), none), ("tool_errors_items", count(agent & (F.col("tool_errors") > 0)), count(agent)),
+        ("forced_final", count(agent & F.col("forced_final")), count(agent)), ("tools_expected_ok", count(expected & F.col("tools_expected_ok")), count(expected)),
+        ("cache_read_share", total(F.coalesce("cache_read_tokens", F.lit(0)), agent), total(F.coalesce("input_tokens", F.lit(0)), agent)), ("numbers_checked", total(F.col("numbers_checked"), checked), none),
+        ("repairs", count(checked & repaired), count(checked)), ("repairs_fixed", count(checked & F.col("repair_fixed")), none), ("repairs_kept_draft", count(checked & (F.col("repair") == "draft")), none),
+        ("issue_answers", count(checked & (F.col("number_issues") > 0)), count(checked)),
+    ]
+    plain = {name for name, _, n in pairs_ if n is none}
+    made = [F.struct(F.lit(name).alias("metric"), F.coalesce(k.cast("long"), F.lit(0)).alias("k"), (none if name in plain else F.coalesce(n.cast("long"), F.lit(0))).alias("n")) for name, k, n in pairs_]
+    agg = rows.groupBy(*by).agg(F.array(*made).alias("all")) if by else rows.agg(F.array(*made).alias("all"))
+    return agg.select(*by, F.inline("all")).withColumn("rate", F.round(F.try_divide("k", "n"), 6))
+
+
+def measures(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, metric, value: means and sums of tokens, cost and calls, and exact percentiles of times and overlaps; null where there is nothing. Rows in error are in none."""
+    ok = F.col("behavior") != "error"
+    answered, agent = ok & (F.col("behavior") == "answered"), ok & (F.col("mode") == "agent") & F.col("llm_calls").isNotNull()
+    mean = lambda c, where: F.round(F.avg(F.when(where, F.col(c))), 6)
+    total = lambda c: F.coalesce(F.sum(F.when(answered, F.col(c))), F.lit(0)).cast("double")
+    named = {
+        "input_mean": mean("input_tokens", answered), "output_mean": mean("output_tokens", answered), "input_sum": total("input_tokens"), "output_sum": total("output_tokens"),
+        "cost_upper_mean": mean("cost_upper", ok), "cost_mean": mean("cost_yuan", ok), "llm_calls_mean": mean("llm_calls", agent), "tool_calls_mean": mean("tool_calls", agent),
+    }
+    a = rows.groupBy(*by).agg(*[v.alias(k) for k, v in named.items()]) if by else rows.agg(*[v.alias(k) for k, v in named.items()])
+    told = rows.where(answered).select(*by, F.explode("overlaps").alias("overlap"))
+    parts = [
+        percentiles(rows, by, "t_total_ms", {"p50_ms": 0.5, "p95_ms": 0.95}, answered), percentiles(rows, by, "t_first_token_ms", {"first_token_p50_ms": 0.5}, answered),
+        percentiles(rows, by, "t_total_ms", {"reject_p50_ms": 0.5}, F.col("behavior") == "rejected_gate"), percentiles(told, by, "overlap", {"overlap_median": 0.5, "overlap_p10": 0.1}),
+    ]
+    for p in parts:
+        a = beside(a, p, by)
+    values = [c for c in a.columns if c not in by]
+    return a.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in values])))
+
+
 def by_type(rows: DataFrame, order: tuple[str, ...] = ANSWER_TYPES + REFUSE_TYPES) -> DataFrame:
     """place, type, split and the main ratios, in the fixed order of types; types without items are left out."""
     place = rows.sparkSession.createDataFrame([(i, t) for i, t in enumerate(order)], "place int, type string")

@@ -111,3 +111,76 @@ def judged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on each text from the kept judgments; copies share one, and a second run would ask for none."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return runs.judged_once(d, F.lit("size"), F.col("text"), _verdict, "size", "none", shared_folder(spark)).select("doc_id", "verdict")
+
+
+#: Scored answers made of events; the same columns in SQL.
+SCORED = """
+WITH s AS (SELECT event_type AS type, event_id AS i, CASE event_id % 11 WHEN 0 THEN 'error' WHEN 1 THEN 'rejected_gate' WHEN 2 THEN 'refused_model' ELSE 'answered' END AS behavior, CASE WHEN event_id % 3 = 0 THEN 'refuse' ELSE 'answer' END AS expect,
+    event_id % 5 <> 0 AS has_judge, event_id % 35 = 1 AS failed, event_id % 7 = 2 AS declined, ['full', 'partial', 'none', 'na'][1 + event_id % 4] AS support1, ['full', 'none', 'full'][1 + event_id % 3] AS support2, event_id % 2 = 0 AS quote_ok,
+    CASE WHEN event_id % 4 <> 3 THEN event_id % 9 < 6 END AS cited_ok, event_id % 6 <> 0 AS has_facts, event_id % 31 = 3 AS fact_failed, ['present', 'absent', 'contradicted'][1 + event_id % 3] AS v1, ['present', 'contradicted'][1 + event_id % 2] AS v2, event_id % 4 = 1 AS m1,
+    event_id % 8 AS numbers, event_id % 8 // 3 AS untraced, CASE WHEN event_id % 13 <> 0 THEN value / 100 END AS o1, (event_id % 10) / 10.0::DOUBLE AS o2, event_id % 17 = 0 AS cut, value AS ms, event_id % 1000 AS tin, event_id % 300 AS tout, event_id % 4 <> 1 AS agent,
+    1 + event_id % 3 AS calls, event_id % 4 AS tools, CASE WHEN event_id % 19 = 0 THEN 2 ELSE 0 END AS errors, event_id % 23 = 0 AS forced, event_id % 2 = 0 AS wants, event_id % 6 < 4 AS wants_ok, CASE WHEN event_id % 3 <> 1 THEN event_id % 6 END AS checked,
+    event_id % 29 // 14 AS issues, [NULL, 'draft', 'repaired', ''][1 + event_id % 4] AS repair, event_id % 8 = 6 AS fixed FROM events),
+t AS (SELECT *, behavior <> 'error' AS ok, behavior = 'answered' AS a, behavior <> 'error' AND agent AND event.calls IS NOT NULL AS g FROM s event)
+"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    pick = lambda m, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (1 + i % m).cast("int"))
+    no = lambda c, x: F.when(c, x)
+    sentence = lambda support, quote, cited: F.struct(support.alias("support"), quote.alias("quote_ok"), cited.alias("cited_ok"))
+    judge = F.struct((i % 35 == 1).alias("failed"), (i % 7 == 2).alias("declined"), F.array(sentence(pick(4, "full", "partial", "none", "na"), i % 2 == 0, no(i % 4 != 3, i % 9 < 6)), sentence(pick(3, "full", "none", "full"), F.lit(True), F.lit(None).cast("boolean"))).alias("sentences"))
+    facts = F.struct((i % 31 == 3).alias("failed"), F.array(pick(3, "present", "absent", "contradicted"), pick(2, "present", "contradicted")).alias("verdicts"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("type"), F.when(i % 11 == 0, "error").when(i % 11 == 1, "rejected_gate").when(i % 11 == 2, "refused_model").otherwise("answered").alias("behavior"), F.when(i % 3 == 0, "refuse").otherwise("answer").alias("expect"),
+        no(i % 5 != 0, judge).alias("judge"), no(i % 6 != 0, facts).alias("fact_judge"), F.array(i % 4 == 1, F.lit(True)).alias("matched"), (i % 8).alias("n_numbers"), F.floor(i % 8 / 3).alias("n_untraced"),
+        F.array(no(i % 13 != 0, F.col("value") / 100), (i % 10) / F.lit(10.0)).cast("array<double>").alias("overlaps"), F.when(i % 17 == 0, "length").otherwise("stop").alias("finish_reason"), F.col("value").cast("double").alias("t_total_ms"), (F.col("value") / 2).cast("double").alias("t_first_token_ms"),
+        (i % 1000).alias("input_tokens"), (i % 300).alias("output_tokens"), (i % 100).alias("cache_read_tokens"), no(i % 7 != 3, (i % 50) / F.lit(8.0)).alias("cost_upper"), no(i % 7 != 4, (i % 40) / F.lit(8.0)).alias("cost_yuan"), F.when(i % 4 != 1, "agent").otherwise("rag").alias("mode"),
+        (1 + i % 3).alias("llm_calls"), (i % 4).alias("tool_calls"), F.when(i % 19 == 0, 2).otherwise(0).alias("tool_errors"), (i % 23 == 0).alias("forced_final"), no(i % 2 == 0, F.array(F.lit("convert_unit"))).alias("tools_expected"), (i % 6 < 4).alias("tools_expected_ok"),
+        no(i % 3 != 1, i % 6).alias("numbers_checked"), F.floor(i % 29 / 14).alias("number_issues"), F.when(i % 4 == 1, "draft").when(i % 4 == 2, "repaired").when(i % 4 == 3, "").alias("repair"), (i % 8 == 6).alias("repair_fixed"),
+    )
+
+
+_COUNTS = {
+    "answered_but_declined": ("count(*) FILTER (a AND expect = 'answer' AND has_judge AND declined)", None), "refusal_gate": ("count(*) FILTER (expect = 'refuse' AND behavior = 'rejected_gate')", None),
+    "refusal_model": ("count(*) FILTER (expect = 'refuse' AND behavior = 'refused_model')", None), "refusal_declined_by_judge": ("count(*) FILTER (a AND expect = 'refuse' AND has_judge AND declined)", None),
+    "numbers_traced": ("sum(numbers - untraced) FILTER (a)", "sum(numbers) FILTER (a)"), "overlap_low": ("count(*) FILTER (a AND o1 < 0.5) + count(*) FILTER (a AND o2 < 0.5)", "count(o1) FILTER (a) + count(o2) FILTER (a)"), "truncated": ("count(*) FILTER (a AND cut)", None),
+    "judge_failed": ("count(*) FILTER (j AND failed)", "count(*) FILTER (j)"), "faithful_strict": ("count(*) FILTER (u AND support1 = 'full' AND quote_ok) + count(*) FILTER (u AND support2 = 'full')", "{can}"),
+    "faithful_full": ("count(*) FILTER (u AND support1 = 'full') + count(*) FILTER (u AND support2 = 'full')", "{can}"), "partial": ("count(*) FILTER (u AND support1 = 'partial')", "{can}"),
+    "unsupported": ("count(*) FILTER (u AND support1 = 'none') + count(*) FILTER (u AND support2 = 'none')", "{can}"), "citation_ok": ("count(*) FILTER (u AND cited_ok)", "count(cited_ok) FILTER (u)"),
+    "fact_agree": ("count(*) FILTER (f AND m1 = (v1 = 'present')) + count(*) FILTER (f AND v2 = 'present')", "2 * count(*) FILTER (f)"), "fact_only_regex": ("count(*) FILTER (f AND m1 AND v1 <> 'present') + count(*) FILTER (f AND v2 <> 'present')", None),
+    "fact_only_judge": ("count(*) FILTER (f AND NOT m1 AND v1 = 'present')", None), "fact_contradicted": ("count(*) FILTER (f AND v1 = 'contradicted') + count(*) FILTER (f AND v2 = 'contradicted')", None),
+    "fact_judge_failed": ("count(*) FILTER (d AND fact_failed)", None), "fact_recall_judge": ("count(*) FILTER (f AND v1 = 'present') + count(*) FILTER (f AND v2 = 'present')", "2 * count(*) FILTER (f)"),
+    "presearch_only": ("count(*) FILTER (g AND calls = 1)", "count(*) FILTER (g)"), "tool_errors": ("sum(errors) FILTER (g)", None), "tool_errors_items": ("count(*) FILTER (g AND errors > 0)", "count(*) FILTER (g)"),
+    "forced_final": ("count(*) FILTER (g AND forced)", "count(*) FILTER (g)"), "tools_expected_ok": ("count(*) FILTER (g AND expect = 'answer' AND wants AND wants_ok)", "count(*) FILTER (g AND expect = 'answer' AND wants)"),
+    "cache_read_share": ("sum(i % 100) FILTER (g)", "sum(tin) FILTER (g)"), "numbers_checked": ("sum(checked) FILTER (g)", None), "repairs": ("count(*) FILTER (c AND repair <> '')", "count(*) FILTER (c)"), "repairs_fixed": ("count(*) FILTER (c AND fixed)", None),
+    "repairs_kept_draft": ("count(*) FILTER (c AND repair = 'draft')", None), "issue_answers": ("count(*) FILTER (c AND issues > 0)", "count(*) FILTER (c)"),
+}
+_CAN = "(count(*) FILTER (u AND support1 <> 'na') + count(*) FILTER (u))"
+_ROWS = SCORED.rstrip() + ", w AS (SELECT *, a AND has_judge AS j, a AND has_judge AND NOT failed AS u, a AND expect = 'answer' AND has_facts AS d, a AND expect = 'answer' AND has_facts AND NOT fact_failed AS f, g AND checked IS NOT NULL AS c FROM t)"
+
+
+@query(
+    _ROWS + " SELECT type, metric, k, n, round(k / nullif(n, 0)::DOUBLE, 6) AS rate FROM ("
+    + " UNION ALL ".join(f"SELECT type, '{name}' AS metric, CAST(coalesce({k}, 0) AS BIGINT) AS k, CAST({f'coalesce({n}, 0)' if n else 'NULL'} AS BIGINT) AS n FROM w GROUP BY type".replace("{can}", _CAN) for name, (k, n) in _COUNTS.items()) + ")"
+)
+def judged_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty counts and ratios over verdicts, calls, tools and repairs of scored answers, by type."""
+    return answers.judged_metrics(_scored(spark, sf_dir), ["type"])
+
+
+_MEASURES = {
+    "input_mean": "round(avg(tin) FILTER (a), 6)", "output_mean": "round(avg(tout) FILTER (a), 6)", "input_sum": "sum(tin) FILTER (a)", "output_sum": "sum(tout) FILTER (a)", "cost_upper_mean": "round(avg((i % 50) / 8.0::DOUBLE) FILTER (ok AND i % 7 <> 3), 6)",
+    "cost_mean": "round(avg((i % 40) / 8.0::DOUBLE) FILTER (ok AND i % 7 <> 4), 6)", "llm_calls_mean": "round(avg(calls) FILTER (g), 6)", "tool_calls_mean": "round(avg(tools) FILTER (g), 6)", "p50_ms": "round(quantile_cont(ms, 0.5) FILTER (a), 6)",
+    "p95_ms": "round(quantile_cont(ms, 0.95) FILTER (a), 6)", "first_token_p50_ms": "round(quantile_cont(ms / 2, 0.5) FILTER (a), 6)", "reject_p50_ms": "round(quantile_cont(ms, 0.5) FILTER (behavior = 'rejected_gate'), 6)",
+}
+
+
+@query(
+    _ROWS + " " + " UNION ALL ".join(f"SELECT type, '{name}' AS metric, CAST({v} AS DOUBLE) AS value FROM w GROUP BY type" for name, v in _MEASURES.items())
+    + "".join(f" UNION ALL SELECT type, '{name}', round(quantile_cont(o, {q}), 6) FROM (SELECT type, o1 AS o FROM w WHERE a UNION ALL SELECT type, o2 FROM w WHERE a) GROUP BY type" for name, q in (("overlap_median", 0.5), ("overlap_p10", 0.1)))
+)
+def answer_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means, sums and exact percentiles of tokens, cost, calls, times and overlaps of scored answers, by type."""
+    return answers.measures(_scored(spark, sf_dir), ["type"])

@@ -92,7 +92,8 @@ def test_cleaning_order(spark):
 def test_refusals_and_citations(spark):
     assert one(spark, "检索内容\n不足", T.is_refusal) and not one(spark, "检索内容不足 [d_c0001]", T.is_refusal) and not one(spark, "not found in the manuals", T.is_refusal)
     assert one(spark, "知识库无相关内容", T.is_short_refusal) and not one(spark, "无法回答" + "长" * 40, T.is_short_refusal)
-    assert one(spark, "**检索内容不足** [d_c0001]。", T.refusal_cleaned) == "**检索内容不足**。"
+    assert one(spark, "**知识库无相关内容** [d_c0001]。", T.refusal_cleaned) == "**知识库无相关内容**。" and one(spark, "检索内容不足 [d_c0001]。 ", T.refusal_cleaned) == "检索内容不足 [d_c0001]。"
+    assert one(spark, "`知识库无相关内容`，见 [d_c0001] ; (引用 d_c0002) ", T.refusal_cleaned) == "`知识库无相关内容`，见;" and one(spark, "\n > _知识库无相关内容_ [d_c0001]", T.refusal_cleaned) == "> _知识库无相关内容_"
     got = one(spark, "**小标题：**\n- 电机转速为三千转。[d_c0001]\n以下是相关信息，请看下面\n短句。阀门在启动之前要打开", T.substantive_sentences)
     assert [(x.text, x.cited) for x in got] == [("阀门在启动之前要打开", [])] or [(x.text, x.cited) for x in got][-1] == ("阀门在启动之前要打开", [])
 
