@@ -160,8 +160,8 @@ def difficulty(chunk_type: Column, text: Column, neighbours: Column) -> Column:
 
 def overridden(rows: DataFrame, key: str, dropped: DataFrame, changes: DataFrame, value: str) -> DataFrame:
     """rows without the dropped keys, `value` replaced where changes (key, value) has one."""
-    kept = rows.join(F.broadcast(dropped.select(key)), key, "left_anti")  # hand-made lists
-    return kept.join(F.broadcast(changes.select(key, F.col(value).alias("_new"))), key, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
+    kept = rows.join(dropped.select(key), key, "left_anti")
+    return kept.join(changes.select(key, F.col(value).alias("_new")), key, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
 
 
 def compared_runs(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

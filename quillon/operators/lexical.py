@@ -23,7 +23,7 @@ from quillon.storage import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Documents and terms of a slice at most, questions of a block, slices of each question that are scored first.
-SLICE, TERMS, BLOCK, FIRST = 2048, 4_000_000, 512, 1
+SLICE, TERMS, BLOCK, FIRST = 1024, 4_000_000, 512, 1
 #: Scores are rounded to six digits; what rounding may lift to the k-th score is read too.
 ROUNDED = 2e-6
 _POSTINGS = "slice long, term string, bound double, places array<int>, parts array<double>"

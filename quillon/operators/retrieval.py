@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from quillon.functions.text import terms
 from quillon.operators.lexical import Index, bm25_index, bm25_topk  # noqa: F401
-from quillon.storage import numbered
+from quillon.operators.vectors import PART, matrix
+from quillon.storage import numbered, stored
 
 PER_PATH, RRF_K = 20, 60
 
@@ -48,26 +49,37 @@ def cosine_topk(vectors: DataFrame, questions: DataFrame, key: str, vector: str,
     Blocks of questions meet blocks of vectors in matrix products; each pair of blocks gives its best,
     which are ranked. With `tagged`, a column of both sides, only vectors of the question's tag count (null: any).
     """
-    tag = tagged or "_tag"
-    if tagged is None:
-        vectors, questions = vectors.withColumn(tag, F.lit(None).cast("string")), questions.withColumn(tag, F.lit(None).cast("string"))
+    def hits(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        dot = q @ v.T
+        last = np.partition(dot, -k, axis=1)[:, -k] if dot.shape[1] > k else np.full(len(q), -np.inf)
+        row, col = np.nonzero(dot >= last[:, None] - 2e-6)  # what rounding may make equal to the last
+        return row, col, dot[row, col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for q_ids, q_flat, ids, flat in zip(*(b[c].to_pylist() for c in ("q_ids", "q_flat", "ids", "flat")), strict=True):
-                q, v = (np.frombuffer(f).reshape(len(i), -1) for f, i in ((q_flat, q_ids), (flat, ids)))
-                dot = q @ v.T
-                last = np.partition(dot, -k, axis=1)[:, -k] if dot.shape[1] > k else np.full(len(q), -np.inf)
-                row, col = np.nonzero(dot >= last[:, None] - 2e-6)  # what rounding may make equal to the last
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(q_ids)[row]), pa.array(np.array(ids)[col]), pa.array(dot[row, col])], names=["q_id", "key", "dot"])
-
-    found = None
-    tags = [None] if tagged is None else [r[0] for r in questions.select(tag).distinct().collect()]  # as many as kinds of filter
-    for t in tags:
-        own = vectors if t is None else vectors.where(F.col(tag) == t)
-        asked = _blocks(questions.where(F.col(tag).eqNullSafe(F.lit(t))), "q_id", "q_vec").toDF("q_ids", "q_flat")
-        part = _blocks(own, key, vector).crossJoin(asked).mapInArrow(run, "q_id long, key long, dot double")
-        found = part if found is None else found.union(part)
+                row, col, dot = hits(*(np.frombuffer(f).reshape(len(i), -1) for f, i in ((q_flat, q_ids), (flat, ids))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(q_ids)[row]), pa.array(np.array(ids)[col]), pa.array(dot)], names=["q_id", "key", "dot"])
+
+    free = questions if tagged is None else questions.where(F.col(tagged).isNull())
+    found = _blocks(vectors, key, vector).crossJoin(_blocks(free, "q_id", "q_vec").toDF("q_ids", "q_flat")).mapInArrow(run, "q_id long, key long, dot double")
+    if tagged is not None:
+        # a tag's vectors are dealt into parts, to each of which its questions go, in lots
+        plain = lambda d, i, v: d.where(F.col(tagged).isNotNull() & F.col(v).isNotNull()).select(F.col(tagged).alias("tag"), F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("v"))
+        rows, asked = plain(vectors, key, vector), plain(questions, "q_id", "q_vec")
+        sizes = stored(rows.groupBy("tag").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).join(asked.groupBy("tag").agg(F.ceil(F.count(F.lit(1)) / PART).alias("lots")), "tag"))
+        every = lambda n, c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(c)
+        own = lambda n, c: F.pmod(F.xxhash64("id"), F.col(n)).alias(c)
+        left = asked.join(sizes, "tag").select("tag", own("lots", "lot"), every("parts", "part"), "id", "v")
+        right = rows.join(sizes, "tag").select(F.col("tag").alias("of"), own("parts", "of_part"), every("lots", "of_lot"), "id", "v")
+
+        def within(q: pa.Table, v: pa.Table) -> pa.Table:
+            if not q.num_rows or not v.num_rows:
+                return pa.table({c: pa.array([], t) for c, t in (("q_id", pa.int64()), ("key", pa.int64()), ("dot", pa.float64()))})
+            row, col, dot = hits(matrix(q["v"]), matrix(v["v"]))
+            return pa.table({"q_id": q["id"].to_numpy()[row], "key": v["id"].to_numpy()[col], "dot": dot})
+
+        found = found.unionByName(left.groupBy("tag", "part", "lot").cogroup(right.groupBy("of", "of_part", "of_lot")).applyInArrow(within, "q_id long, key long, dot double"))
     order = Window.partitionBy("q_id").orderBy("distance", "key")
     near = found.select("q_id", "key", (F.round(F.lit(1.0) - F.col("dot"), 6) + F.lit(0.0)).alias("distance"))
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

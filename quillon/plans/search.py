@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import answers, evaluate, lexical, retrieval, runs, vectors
+from quillon.functions import text as T
+from quillon.operators import answers, evaluate, lexical, logs, retrieval, runs, units, vectors
 from quillon.plans.base import query, questions, table
 from quillon.storage import shared_folder
 
@@ -184,3 +185,36 @@ _MEASURES = {
 def answer_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means, sums and exact percentiles of tokens, cost, calls, times and overlaps of scored answers, by type."""
     return answers.measures(_scored(spark, sf_dir), ["type"])
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents)
+    SELECT doc_id, CASE WHEN length(flat) > 100 THEN left(flat, 100) || '…' ELSE flat END AS preview, 'what is ' || left(replace(text, chr(10), ' '), 7) || 'x' AS question,
+           true AS own_id, true AS recent FROM d"""
+)
+def row_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's preview, a question of it without its quotation marks, and whether its request id is one and of this run."""
+    head = F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 7)
+    asked = F.concat(F.lit(' "“what is '), head, F.lit("x”\" "))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"), T.question_cleaned(asked).alias("question"))
+    own = F.col("id").rlike("^[0-9a-f]{32}$")
+    return logs.new_ids(d).select("doc_id", "preview", "question", own.alias("own_id"), (F.col("created_at") > F.lit("2020-01-01").cast("timestamp")).alias("recent"))
+
+
+#: Pairs of units, and what an amount of the first is in the second.
+PAIRS = (
+    ("mm", "in", "v / 25.4::DOUBLE"), ("bar", "psi", "v * 100000 / 6894.757293168::DOUBLE"), ("kW", "W", "v * 1000"), ("°C", "°F", "v * 9 / 5 + 32"), ("°F", "K", "(v + 459.67::DOUBLE) * 5 / 9"), ("K", "℃", "v - 273.15::DOUBLE"),
+    ("m", "mm", "v * 1000"), ("kg", "lb", "v / 0.45359237::DOUBLE"), ("kg", "mm", "NULL"), ("bar", "°C", "NULL"), ("parrot", "kg", "NULL"), ("no unit", "no unit", "v"), ("KG", "kg", "v"),
+)
+
+
+@query(
+    "WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS v, (l_orderkey + l_linenumber) % 13 AS p FROM lineitem) SELECT l_orderkey, l_linenumber, round(CASE p "
+    + " ".join(f"WHEN {i} THEN {rule}" for i, (_, _, rule) in enumerate(PAIRS)) + " END, 6) AS converted, CASE p WHEN 8 THEN 'dimension_mismatch' WHEN 9 THEN 'dimension_mismatch' WHEN 10 THEN 'unknown_unit' ELSE '' END AS error FROM l"
+)
+def unit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts in many units: lengths, pressures, powers, temperatures with their zero points, and pairs that can't be converted."""
+    p = ((F.col("l_orderkey") + F.col("l_linenumber")) % len(PAIRS) + 1).cast("int")
+    of = lambda n: F.element_at(F.array(*[F.lit(x[n]) for x in PAIRS]), p)
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("v"), of(0).alias("u"), of(1).alias("w"))
+    return units.convert(r, "v", "u", "w").select("l_orderkey", "l_linenumber", F.round("converted", 6).alias("converted"), F.coalesce("error", F.lit("")).alias("error"))
