@@ -14,8 +14,8 @@ from itertools import chain, islice
 
 import numpy as np
 
-#: Words that a worker remembers: the first that it meets, which are the frequent ones; it starts again when it had to forget RENEW times as many.
-CACHE_WORDS, RENEW = 250_000, 12
+#: Words that a worker remembers: those that it meets a second time, as far as a table of MET slots can tell; it starts again when it has let go RENEW times as many.
+CACHE_WORDS, RENEW, MET = 250_000, 40, 1 << 22
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([.,;:!?]*)\Z")
 _LOADED: dict[str, Encoder] = {}
 
@@ -66,7 +66,7 @@ class Encoder:
             return
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
         self.cache: dict[bytes, bytes] = {}
-        self.forgotten = 0
+        self.forgotten, self.met = 0, bytearray(MET)
         signs = byte_symbols()
         self.inner = np.array([vocab[s] for s in signs], dtype=np.int64)
         self.last = np.array([vocab[s + suffix] for s in signs], dtype=np.int64)
@@ -194,12 +194,21 @@ class Encoder:
                 out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes())
             else:
                 out.append(b"".join(map(get, w)))
-        over = min(len(self.cache) - CACHE_WORDS, len(new))
+        once = []
+        for w in new:
+            slot = hash(w) & (MET - 1)
+            if not self.met[slot]:
+                self.met[slot] = 1
+                once.append(w)
+        over = len(self.cache) - len(once) - CACHE_WORDS
         if over > 0:
-            for w in islice(new, over):
-                del self.cache[w]
-            self.forgotten += over
+            once += islice(new.difference(once), over)
+        for w in once:
+            del self.cache[w]
+        if once:
+            self.forgotten += len(once)
             if self.forgotten > RENEW * CACHE_WORDS:
                 self.cache.clear()
+                self.met = bytearray(MET)
                 self.forgotten = 0
         return out
