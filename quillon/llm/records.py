@@ -58,6 +58,13 @@ def unframed(stream) -> Iterator[bytes]:
         yield payload
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark's own writers would take for it, so that executors write beside the index."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -66,12 +73,12 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
     """Write docs (doc_id, text) below folder in ascending doc_id order; the offset index is returned.
 
     Null or empty text is a record of the end id alone; null ids come first; rows that share an id
-    follow each other by text. An empty table gives no files and an empty index. Texts are dealt by
+    follow each other by text. Other columns, of any name, are not read. An empty table gives no files and an empty index. Texts are dealt by
     ranges of doc_id (and of the texts' beginnings, where many rows share an id) and moved once. A file is written under a name of its task's attempt and then
     renamed, so a task that runs again, or twice, leaves one whole file.
     """
     spark = ready(docs.sparkSession)
-    path = tokenizer or vocabulary()
+    path, folder = tokenizer or vocabulary(), qualified(spark, folder)
     dealt = in_ranges(docs)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +118,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """part, seq, doc_id, ids, n_tokens and ids_crc32 (of 32-bit ids) of every record, read file by file."""
     spark = ready(spark)
+    folder = qualified(spark, folder)
     files = spark.read.schema(INDEX).parquet(f"{folder}/index").groupBy("part", "file").agg(F.sum("length").alias("bytes"))
     n = max(1, min(files.count(), 1 << 16))
 
