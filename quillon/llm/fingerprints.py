@@ -73,7 +73,7 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint of every row of docs (doc_id, text); null text is empty. One pass, no shuffle."""
+    """doc_id and fingerprint of every row of docs (doc_id, text); null text is empty, very long ones are read whole, repeated rows are rows; other columns, of any name, are not read. One pass, no shuffle."""
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text ends with the first floor(n/4) code points (or all) of the next document in
     place of its own last ones; after the last document comes the first, so a lone document is
     its own next. Documents are ordered by doc_id, null first, rows that share an id by text; null text is empty, very long texts
-    are whole, repeated rows are documents of their own, an empty table gives no rows.
+    are whole, repeated rows are documents of their own, an empty table gives no rows; other columns, of any name, are not read.
 
     Rows are dealt by ranges and sorted, texts moved once. A part's last document meets the next part's first
     in a second step, for which each part stores these two texts.

@@ -108,6 +108,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, pivots: int | None =
     is_query is a condition on the column `id`. Rows with a query's own id are no candidates for it;
     other rows that repeat an id each are; of query rows with one id the least vector counts. Shorter
     vectors count as filled with zeros. Fewer than k candidates give fewer rows, an empty table none.
+    Null vectors and those with null or non-finite components take no part, nor do rows without an id; other columns, of any name, are not read.
     By default pivots grow with the vectors. Pivots and summaries, bounded by their number, are all that the driver holds.
     """
     spark = ready(vectors.sparkSession)

@@ -89,7 +89,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
     """The mix as rows with the columns of docs: a row for each repeat, the last one cut to its first words.
 
-    Documents of which nothing is taken go; n_chars follows the text.
+    Documents of which nothing is taken go, null and empty texts among them; n_chars follows the text. Nulls elsewhere, ties of keys and repeated rows
+    are as in mix; very long texts are cut by whole words; an empty table gives no rows; columns of any name are kept.
     """
     m = mix(docs, **options)
     nth = fresh(m, "nth")

@@ -118,7 +118,7 @@ def extract(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENC
     """doc_id, text_hash, base and spans (arrays of structs) of every row of docs (doc_id, text).
 
     Null and empty texts have no spans; very long ones are read whole; repeated rows give repeated results; an empty table gives no
-    rows. Spans that begin together are listed by kind. Only spans and instances are stored and shuffled, never texts. A pattern counts if at least
+    rows; other columns, of any name, are not read. Spans that begin together are listed by kind. Only spans and instances are stored and shuffled, never texts. A pattern counts if at least
     `seeds` different seeds stand in it and its score reaches `confidence`. Hot patterns and instances are joined in parts.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
