@@ -13,31 +13,31 @@ from quillon.llm.common import discard, documents, ready, shared_folder, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier rejects go."""
+    """Documents whose language the classifier rejects go, those without a letter among them; nulls, ties, long texts, repeated rows and empty tables as in language.known_language."""
     ready(spark)
     return language.known_language(docs, language.fit(language.training_rows(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of least id stays."""
+    """Of each group of linked documents the one of least id stays; nulls, ties, long texts, repeated rows and empty tables as in jaccard.one_of_each."""
     ready(spark)
     return jaccard.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays; nulls, ties, long texts, repeated rows and empty tables as in secrets.redact."""
     ready(spark)
     return secrets.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, the last time in part."""
+    """Documents as often as the mix takes them, the last time in part; nulls, ties, long texts, repeated rows and empty tables as in mixing.mixed_rows."""
     ready(spark)
     return mixing.mixed_rows(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets."""
+    """The pieces of all documents with their sequences and offsets; nulls, ties, long texts, repeated rows and empty tables as in packing.pack."""
     ready(spark)
     return packing.pack(docs)
 
