@@ -39,7 +39,7 @@ def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.crossJoin(F.broadcast(index.cells.agg(F.sum("n").alias("indexed")))).select("questions", "indexed", (F.col("recall") >= 0.9).alias("enough"))  # one row each
 
 
-@query("SELECT count(*) AS terms, sum(n) AS postings, max(n) AS most FROM (SELECT term, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+')) AS term FROM documents) GROUP BY term)")
+@query("SELECT count(*) AS terms, CAST(sum(n) AS BIGINT) AS postings, max(n) AS most FROM (SELECT term, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+')) AS term FROM documents) GROUP BY term)")
 def postings_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms and postings of the stored word index, blocks of one term added up."""
     index = lexical.bm25_index(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -163,12 +163,12 @@ _ROWS = SCORED.rstrip() + ", w AS (SELECT *, a AND has_judge AS j, a AND has_jud
 
 
 @query(
-    _ROWS + " SELECT type, metric, k, n, round(k / nullif(n, 0)::DOUBLE, 6) AS rate FROM ("
+    _ROWS + " SELECT type, metric, k, coalesce(n, -1) AS n, round(k / nullif(n, 0)::DOUBLE, 6) AS rate FROM ("
     + " UNION ALL ".join(f"SELECT type, '{name}' AS metric, CAST(coalesce({k}, 0) AS BIGINT) AS k, CAST({f'coalesce({n}, 0)' if n else 'NULL'} AS BIGINT) AS n FROM w GROUP BY type".replace("{can}", _CAN) for name, (k, n) in _COUNTS.items()) + ")"
 )
 def judged_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirty counts and ratios over verdicts, calls, tools and repairs of scored answers, by type."""
-    return answers.judged_metrics(_scored(spark, sf_dir), ["type"])
+    """Thirty counts (n is -1) and ratios over verdicts, calls, tools and repairs of scored answers, by type."""
+    return answers.judged_metrics(_scored(spark, sf_dir), ["type"]).na.fill(-1, ["n"])
 
 
 _MEASURES = {
