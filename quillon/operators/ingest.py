@@ -103,7 +103,8 @@ def clean(rows: DataFrame) -> DataFrame:
     without a body: dropped. What stays is marked if characters went or if it is short. Rules after the second see the text without invisible characters.
     """
     has = lambda c: ~blank(F.col(c))
-    text = strip_invisible(F.col("text"))
+    seen = rows.withColumn("clean_text", strip_invisible(F.col("text")))  # once, for all rules
+    text = F.col("clean_text")
     changed = has("text") & (text != F.col("text"))
     dots = F.regexp_count(text, F.lit("[.…]"))
     rule = (
@@ -116,7 +117,7 @@ def clean(rows: DataFrame) -> DataFrame:
         .when(has("text") & (F.length(text) < SHORT), "keep_short")
         .otherwise("keep")
     )
-    return rows.withColumn("rule", rule).withColumn("clean_text", text)
+    return seen.withColumn("rule", rule).select(*[F.col(c) for c in rows.columns if c not in ("rule", "clean_text")], "rule", "clean_text")
 
 
 #: What a text may hold without being garbage: white space, and these ranges (fixed values).
