@@ -374,6 +374,21 @@ def test_language_of_varieties_and_of_mislabelled_rows(spark):
     assert np.bincount(language.fit(language.training_rows(sf)).of).tolist() == [3, 3, 3, 3]
 
 
+def spoken(n, lang="x", seed=11):
+    rng = np.random.default_rng(seed)
+    syllables = ["ka", "lo", "mi", "ru", "te", "sch", "ung", "yor", "wex", "qui"]
+    return [(i, " ".join("".join(rng.choice(syllables, 2)) for _ in range(int(rng.integers(1, 120)))), lang) for i in range(n)]
+
+
+def test_language_centroids_are_of_all_rows(spark):
+    rows = spoken(700)
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), centroids=1)
+    counts = language.trigram_counts([t for _, t, _ in rows])
+    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 0.05
+    mean = language.vectors(counts, idf.astype(np.float32)).astype(np.float64).sum(axis=0)
+    assert np.abs(model.idf - idf).max() < 1e-5 and np.abs(model.centroids[0] - mean / np.linalg.norm(mean)).max() < 1e-6
+
+
 def test_equal_blocks_of_all_near_sets():
     """Whatever the sizes, sets that link share a key: also where a set has fewer blocks than the bound asks for."""
     rng, least = np.random.default_rng(9), jaccard.LEAST_BLOCKS
