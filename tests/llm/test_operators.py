@@ -389,6 +389,28 @@ def test_language_centroids_are_of_all_rows(spark):
     assert np.abs(model.idf - idf).max() < 1e-5 and np.abs(model.centroids[0] - mean / np.linalg.norm(mean)).max() < 1e-6
 
 
+def test_language_limits_are_of_all_rows(spark):
+    letters = np.random.default_rng(12)
+    rows = spoken(500) + [(500 + i, "".join(letters.choice(list("abcdefghijklmnopqrstuvwxyz      "), 300 + 9 * i)), "x") for i in range(8)]  # labelled, but near to noise
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), centroids=1)
+    full = language.vectors(language.trigram_counts([t for _, t, _ in rows]), model.idf)
+    total, found = full.sum(axis=0, dtype=np.float64), {}
+    for (_, t, _), own in zip(rows, full, strict=True):
+        counts = language.trigram_counts(sorted({t, *(t[: 1 << k] for k in range(2, 12))}))
+        rest = total - own
+        for band, c in zip(language.bands(counts), language.vectors(counts, model.idf) @ (rest / np.linalg.norm(rest)), strict=True):
+            found.setdefault(int(band), []).append(float(c))
+    high, low, least, n, near = language.noise(model), 0.0, 0.0, 0, 0
+    for band in range(1, model.limits.shape[1]):
+        c = sorted(found.get(band, []))
+        if len(c) >= language.LEAST_TEXTS:
+            low, least, n = c[int(language.BELOW * len(c))], c[0], n + 1
+        want = language.ABOVE_NOISE * high[band] if low >= language.APART * high[band] else min(language.REJECT * least, language.ABOVE_NOISE * high[band])
+        near += want < language.ABOVE_NOISE * high[band] and band > 7
+        assert abs(model.limits[0, band] - want) < 1e-3
+    assert n >= 4 and near
+
+
 def test_equal_blocks_of_all_near_sets():
     """Whatever the sizes, sets that link share a key: also where a set has fewer blocks than the bound asks for."""
     rng, least = np.random.default_rng(9), jaccard.LEAST_BLOCKS
