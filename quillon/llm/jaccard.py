@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, documents, fresh, key_filter, lean, passing, ready, salted, shared_folder, stored, tidied
+from .common import discard, documents, fresh, key_bit, key_filter, key_words, lean, passing, ready, salted, shared_folder, stored, tidied
 from .components import components
 from .shingles import mixed, shingle_set
 
@@ -348,8 +348,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs without those that another makes redundant: of each component the row of least id stays (nulls last, then by the text's hash).
 
-    Of rows equal in id and text one stays. Rows without words all stay. Only the rows that go are joined
-    back, by id and text. Columns of any names are kept as they are; an empty table stays empty.
+    Of rows equal in id and text one stays. Rows without words all stay. Only the rows that go, and a few
+    that a bit table of fixed size takes for such, are joined back, by id and text: the other texts are not
+    shuffled. Columns of any names are kept as they are; an empty table stays empty.
     """
     d = stored(classified(docs, percent).where(F.col("root").isNotNull()).select("doc_id", "text_hash", "root"))
     place = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")
@@ -358,7 +359,13 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = [fresh(docs, c) for c in ("id_of", "hash_of")]
     key = F.col("doc_id").cast("long").eqNullSafe(F.col(own[0])) & (F.xxhash64(F.col("text").cast("string")) == F.col(own[1]))
     named = lambda x: x.select(F.col("doc_id").alias(own[0]), F.col("text_hash").alias(own[1]))
-    left = docs.join(named(d.where(~F.col("stays")).distinct()), key, "left_anti")
+    gone = stored(named(d.where(~F.col("stays")).distinct()))
+    bits = [fresh(docs, c) for c in ("word_of", "bits_of")]
+    table = key_words(gone.select(F.xxhash64(*own).alias("key")), "key").toDF(*bits)
+    word, bit = key_bit(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    marked = docs.join(F.broadcast(table), word == F.col(bits[0]), "left")
+    hit = F.coalesce(F.col(bits[1]).bitwiseAND(bit) != 0, F.lit(False))
+    left = marked.where(~hit).drop(*bits).union(marked.where(hit).drop(*bits).join(gone, key, "left_anti"))
     repeated = stored(named(d.where("stays").groupBy("doc_id", "text_hash").count().where("count > 1")))
     if repeated.limit(1).count():
         again = left.join(repeated, key, "left_semi").dropDuplicates(["doc_id", "text"])

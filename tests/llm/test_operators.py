@@ -436,6 +436,28 @@ def test_one_of_each_without_ids(spark):
     assert sum(r.doc_id == 7 for r in got) == 1 and len(got) == 4 and sum(r.doc_id is None for r in got) == 2
 
 
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Only rows that may go meet the list of those that do, even where it is too long to be broadcast."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.bytes(4).hex() for _ in range(200))) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (400, rows[5][1]), (401, rows[6][1] + " more")], "doc_id long, text string").repartition(3)
+    sc, limit = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs.write.mode("overwrite").parquet(f"{spark.conf.get('spark.checkpoint.dir')}/whole")
+        left = jaccard.one_of_each(spark.read.parquet(f"{spark.conf.get('spark.checkpoint.dir')}/whole"))
+        before = written()
+        assert {r.doc_id for r in left.collect()} == set(range(400))
+        assert written() - before < 0.1 * sum(len(t) for _, t in rows) / 2  # hexadecimal digits may be packed to a half
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_jaccard_of_long_documents(spark):
     """Sets beyond 512 shingles, where wide sketches of equal and of doubled length meet, at and about the bound."""
     rng = np.random.default_rng(5)
